@@ -55,12 +55,15 @@ def described(docs: DataFrame, *more: Column) -> DataFrame:
 def rake(cells: DataFrame, temper: dict[str, float] = TEMPER, sweeps: int = SWEEPS) -> DataFrame:
     """cells: DIMS and mass. Adds factor, the cell's fitted multiplier; only ratios of factors have a meaning."""
     few = cells.count() <= FEW_CELLS
-    if few:
-        cells = cells.coalesce(1)  # one partition satisfies every window below, so no sweep shuffles
+    # one partition satisfies every window below, so no sweep shuffles
+    near = lambda df: df.coalesce(1) if few else df
+    cells = near(cells)
     for d in DIMS:
         cells = cells.withColumn(f"t_{d}", F.pow(F.sum("mass").over(Window.partitionBy(d)), F.lit(temper[d])))
     cells = cells.withColumn("factor", F.lit(1.0))
-    for _ in range(sweeps):
+    for k in range(sweeps):
+        if k and k % 2 == 0:
+            cells = near(stored(cells, "raked"))  # a plan of all sweeps at once takes longer to optimise than to run
         for d in DIMS:
             now = F.sum(F.col("mass") * F.col("factor")).over(Window.partitionBy(d))
             cells = cells.withColumn("now", now).withColumn("factor", F.when(F.col("now") > 0, F.col("factor") * F.col(f"t_{d}") / F.col("now")).otherwise(F.col("factor"))).drop("now")

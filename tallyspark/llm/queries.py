@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing
+from . import linededup, mixing, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,5 +21,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op8_mixing, op9_line_dedup)}
-ORACLES = {"op8_mixing": mixing.sql(), "op9_line_dedup": linededup.sql()}
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, index = warc.write(table(spark, sf_dir, "pages"))
+    found = warc.read(folder, index, keep_payload=False)
+    return found.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op2_warc, op8_mixing, op9_line_dedup)}
+ORACLES = {"op2_warc": warc.sql(), "op8_mixing": mixing.sql(), "op9_line_dedup": linededup.sql()}
