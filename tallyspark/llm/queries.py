@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, warc
+from . import linededup, mixing, tokenfile, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str = "byte_bpe_50k.json") -> str:
+    """The place of a public tokenizer's file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.read(*tokenfile.write(table(spark, sf_dir, "documents"), tokenizer()))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).withColumn("prob", F.round("prob", 9))
 
@@ -27,5 +38,5 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op8_mixing, op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_warc, op6_token_file, op8_mixing, op9_line_dedup)}
 ORACLES = {"op2_warc": warc.sql(), "op8_mixing": mixing.sql(), "op9_line_dedup": linededup.sql()}
