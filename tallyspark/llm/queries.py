@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, tokenfile, warc
+from . import linededup, media, mixing, tokenfile, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,13 @@ def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(*tokenfile.write(table(spark, sf_dir, "documents"), tokenizer()))
 
 
+def op7_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, found = media.extracted(media.store(table(spark, sf_dir, "documents")))
+    seconds = F.aggregate("spans", F.lit(0.0), lambda a, s: a + s["end"] - s["start"])
+    feature = F.format_string("%d segments, %.3f s, %s", F.size("spans"), seconds, "tensors_sha256")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).withColumn("prob", F.round("prob", 9))
 
@@ -38,5 +45,5 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op6_token_file, op8_mixing, op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_warc, op6_token_file, op7_audio_features, op8_mixing, op9_line_dedup)}
 ORACLES = {"op2_warc": warc.sql(), "op8_mixing": mixing.sql(), "op9_line_dedup": linededup.sql()}
