@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, media, mixing, tokenfile, warc
+from . import decontam, linededup, media, mixing, pii, tokenfile, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def tokenizer(name: str = "byte_bpe_50k.json") -> str:
     """The place of a public tokenizer's file on this machine."""
     import public_tokenizers
@@ -39,11 +43,19 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    n = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *n, F.sha2(said(base), 256).alias("base_sha256"), said("spans").alias("spans"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, index = warc.write(table(spark, sf_dir, "pages"))
     found = warc.read(folder, index, keep_payload=False)
     return found.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op6_token_file, op7_audio_features, op8_mixing, op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op5_decontamination, op6_token_file, op7_audio_features, op8_mixing, op9_line_dedup)}
 ORACLES = {"op2_warc": warc.sql(), "op8_mixing": mixing.sql(), "op9_line_dedup": linededup.sql()}
