@@ -131,3 +131,17 @@ def joined(many: DataFrame, few: DataFrame, key: str, how: str = "inner") -> Dat
     salts = F.explode(F.array(*(F.lit(i) for i in range(SALTS))))
     dealt = many.withColumn("_salt", F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in many.columns)), F.lit(SALTS)).cast("int"))
     return dealt.join(few.withColumn("_salt", salts), [key, "_salt"], how).drop("_salt")
+
+
+def joined_wide(many: DataFrame, few: DataFrame, key: str, weights: DataFrame | None = None) -> DataFrame:
+    """Like joined(), for a few whose rows are too wide to repeat: only keys with over a thousandth of the rows of
+    weights (a stored table with the same keys as many; many itself if none is given) get salt. There are under 1000."""
+    if bytes_of(few) <= BROADCAST_BYTES and few.count() <= BROADCAST_ROWS:
+        return many.join(F.broadcast(few), key)
+    weights = many if weights is None else weights
+    n = weights.count()
+    heavy = F.broadcast(weights.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max(1000, n // 1000)).select(key, F.lit(True).alias("_heavy")))
+    spread = F.when(F.col("_heavy"), F.array(*(F.lit(i) for i in range(SALTS)))).otherwise(F.array(F.lit(0)))
+    own = [F.col(f"`{c}`") for c in many.columns if c not in ("text", "sketch")]
+    dealt = many.join(heavy, key, "left").withColumn("_salt", F.when(F.col("_heavy"), F.pmod(F.xxhash64(*own), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_heavy")
+    return dealt.join(few.join(heavy, key, "left").withColumn("_salt", F.explode(spread)).drop("_heavy"), [key, "_salt"]).drop("_salt")
