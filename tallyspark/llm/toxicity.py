@@ -33,7 +33,7 @@ from .common import session
 SPAN, DECAY = 5, 0.7
 GAPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN + 1 - a)]
 MAX_DOCS, LANDMARKS, NEGATIVES = 4_000, 96, 3_000
-FLOOR = -0.6
+FLOOR, SURE = -0.6, 1.4
 #: Kernel value to a landmark from which a toxic text has a word to learn from.
 NEAR = 0.4
 END, START, OTHER = 63, 1, 62
@@ -144,7 +144,7 @@ class Machine:
             elif words:
                 v = np.fromiter(map(get, words), float, len(words))
                 out[i] = np.partition(v, len(v) - 2)[:-3:-1]
-        return out
+        return np.minimum(out, SURE)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         w = self.worst(texts)
@@ -152,7 +152,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(a + b * w[:, 0] + c * w[:, 1], -30, 30)))
 
 
-def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, l2: float = 0.05) -> np.ndarray:
+def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, l2: float = 0.01) -> np.ndarray:
     """Squared-hinge linear SVM by Newton steps; the last weight is the bias."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w, ridge = np.zeros(x.shape[1]), l2 * np.eye(x.shape[1])
@@ -166,7 +166,7 @@ def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, l2: float = 0.05) -> np.
     return w
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0) -> tuple[float, float, float]:
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.3) -> tuple[float, float, float]:
     x = np.hstack([np.ones((len(x), 1)), x])
     w, ridge = np.zeros(3), l2 * np.diag([1e-3, 1, 1])
     for _ in range(40):
@@ -212,7 +212,7 @@ def covering(bags: list[set[str]], clean: Counter, n_clean: int, many: int) -> l
     return marks
 
 
-def trained(rows: list[tuple[str | None, int]], landmarks: int = LANDMARKS, negatives: int = NEGATIVES, rounds: int = 3) -> Machine:
+def trained(rows: list[tuple[str | None, int]], landmarks: int = LANDMARKS, negatives: int = NEGATIVES, rounds: int = 5) -> Machine:
     """A machine from (text, toxic) rows."""
     rng = np.random.default_rng(3)
     own = [[w.strip(SIGNS) for w in tokens(t)] for t, _ in rows]
@@ -250,7 +250,7 @@ def trained(rows: list[tuple[str | None, int]], landmarks: int = LANDMARKS, nega
             break
         x = kernel_to(worst + spelt + hard, marks) @ root
         label = np.array([1.0] * (len(worst) + len(spelt)) + [-1.0] * len(hard))
-        share = np.array([1.0] * len(worst) + [0.3 * len(worst) / max(1, len(spelt))] * len(spelt) + [2 * len(worst) / len(hard)] * len(hard))
+        share = np.array([1.0] * len(worst) + [0.15 * len(worst) / max(1, len(spelt))] * len(spelt) + [4 * len(worst) / len(hard)] * len(hard))
         w = svm(x, label, share)
         alpha = root @ w[:-1]
         table = np.zeros(1 << 18)
