@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, media, mixing, neardup, pii, tokenfile, toxicity, warc
+from . import decontam, linededup, lm, media, mixing, neardup, pii, tokenfile, toxicity, warc
 from .common import crc_mod
 
 
@@ -13,6 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lm.trained(docs.filter(crc_mod("doc_id", 10) != 0))
+    found = lm.scored(docs, model, ((crc_mod("doc_id", 10) == 0),))
+    return found.select("doc_id", F.col("_x0").alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     machine = toxicity.trained(toxicity.training_rows(docs, labels.filter(crc_mod("doc_id", 5) != 0)))
@@ -70,5 +77,5 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op4_toxicity, op5_decontamination, op6_token_file, op7_audio_features, op8_mixing, op9_line_dedup, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op3_lm_scores, op4_toxicity, op5_decontamination, op6_token_file, op7_audio_features, op8_mixing, op9_line_dedup, op10_near_duplicates)}
 ORACLES = {"op2_warc": warc.sql(), "op8_mixing": mixing.sql(), "op9_line_dedup": linededup.sql()}
