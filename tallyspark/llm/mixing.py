@@ -1,9 +1,10 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame functions only.
 
 Token mass is summed to cells (source, language, topic). Each sweep rakes the cells to the three target
-marginals in turn. A document's inclusion probability is its cell's fitted factor over the largest one, so the
-expected token shares of the sample meet the targets and no probability exceeds 1. A document is taken when a
-hash of its id, as a number in [0, 1), is below its probability: the choice is reproducible on any cluster.
+marginals in turn, then trims factors over BOOST (the mean factor is 1). A document's inclusion probability is its
+cell's factor over BOOST: about 1 / BOOST of all tokens stay, and the expected token shares of the sample meet the
+targets as far as no cell needs more than BOOST times its share. A document is taken when a hash of its id, as a
+number in [0, 1), is below its probability: the choice is reproducible on any cluster.
 
 Defined cases: null source or language count as '(none)'; a null text is empty; an empty text has no tokens and
 the topic 'empty', and its cell's factor follows from the marginals that have mass; equal or null ids share one
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 from .common import stored
 
 #: Target of a marginal: its observed share to this power, normalised. Below 1 this lifts small groups.
-TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.7}
+TEMPER = {"source": 0.7, "lang": 0.7, "topic": 0.8}
 SWEEPS = 8
+#: Most that a cell may be raised over its natural share.
+BOOST = 1.5
 #: Cells up to this many are fitted in one partition and broadcast; more are fitted by shuffles and joined with salt.
 FEW_CELLS = 100_000
 SALTS = 16
@@ -53,13 +56,16 @@ def described(docs: DataFrame, *more: Column) -> DataFrame:
 
 
 def rake(cells: DataFrame, temper: dict[str, float] = TEMPER, sweeps: int = SWEEPS) -> DataFrame:
-    """cells: DIMS and mass. Adds factor, the cell's fitted multiplier; only ratios of factors have a meaning."""
+    """cells: DIMS and mass. Adds factor, the cell's fitted multiplier."""
     few = cells.count() <= FEW_CELLS
     # one partition satisfies every window below, so no sweep shuffles
     near = lambda df: df.coalesce(1) if few else df
     cells = near(cells)
+    total = cells.agg(F.sum("mass")).first()[0] or 0.0
     for d in DIMS:
-        cells = cells.withColumn(f"t_{d}", F.pow(F.sum("mass").over(Window.partitionBy(d)), F.lit(temper[d])))
+        part = lambda over, d=d: F.pow(F.sum("mass").over(over), F.lit(temper[d]))
+        sums = cells.groupBy(d).agg(F.pow(F.sum("mass"), F.lit(temper[d])).alias("t")).agg(F.sum("t")).first()[0] or 1.0
+        cells = cells.withColumn(f"t_{d}", part(Window.partitionBy(d)) * F.lit(float(total)) / F.lit(float(sums)))
     cells = cells.withColumn("factor", F.lit(1.0))
     for k in range(sweeps):
         if k and k % 2 == 0:
@@ -67,6 +73,7 @@ def rake(cells: DataFrame, temper: dict[str, float] = TEMPER, sweeps: int = SWEE
         for d in DIMS:
             now = F.sum(F.col("mass") * F.col("factor")).over(Window.partitionBy(d))
             cells = cells.withColumn("now", now).withColumn("factor", F.when(F.col("now") > 0, F.col("factor") * F.col(f"t_{d}") / F.col("now")).otherwise(F.col("factor"))).drop("now")
+        cells = cells.withColumn("factor", F.least("factor", F.lit(BOOST)))
     return cells.select(*DIMS, "mass", "factor")
 
 
@@ -74,9 +81,8 @@ def with_probability(docs: DataFrame, temper: dict[str, float] = TEMPER, sweeps:
     """One struct column `doc` with the row as it came, and DIMS, n_tokens, prob and kept beside it."""
     cells = stored(described(docs).groupBy(*DIMS).agg(F.sum("n_tokens").cast("double").alias("mass")), "cells")
     fitted = stored(rake(cells, temper, sweeps), "fitted")
-    top = fitted.filter("mass > 0").agg(F.max("factor")).first()[0] or 1.0
     # a cell without mass holds no tokens, so its documents stay
-    prob = F.when(F.col("mass") > 0, F.least(F.lit(1.0), F.col("factor") / F.lit(float(top)))).otherwise(F.lit(1.0))
+    prob = F.when(F.col("mass") > 0, F.col("factor") / F.lit(BOOST)).otherwise(F.lit(1.0))
     fitted = fitted.select(*DIMS, prob.alias("prob"))
     found = described(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
     if fitted.count() <= FEW_CELLS:
@@ -115,16 +121,18 @@ described AS (SELECT doc_id, coalesce(CAST(source AS VARCHAR), '(none)') AS sour
     WHEN length(body) / (length(body) - length(replace(body, chr(10), '')) + 1) < 200 THEN 'lines' ELSE 'prose' END AS topic,
   CAST(len(regexp_extract_all(body, '[^ \t\n\x0B\f\r]+')) AS BIGINT) AS n_tokens FROM src),
 cells AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS mass FROM described GROUP BY ALL),
-r0 AS (SELECT *, {", ".join(f"pow(sum(mass) OVER (PARTITION BY {d}), {temper[d]}) AS t_{d}" for d in DIMS)}, CAST(1 AS DOUBLE) AS factor FROM cells)"""
+r0 AS (SELECT *, {", ".join(f"pow(sum(mass) OVER (PARTITION BY {d}), {temper[d]}) * (SELECT sum(mass) FROM cells) / (SELECT sum(t) FROM (SELECT pow(sum(mass), {temper[d]}) AS t FROM cells GROUP BY {d})) AS t_{d}" for d in DIMS)}, CAST(1 AS DOUBLE) AS factor FROM cells)"""
     k = 0
     for _ in range(sweeps):
         for d in DIMS:
+            made = f"CASE WHEN now > 0 THEN factor * t_{d} / now ELSE factor END"
+            made = f"least({made}, {BOOST})" if d == DIMS[-1] else made
             out += f""",
 s{k} AS (SELECT *, sum(mass * factor) OVER (PARTITION BY {d}) AS now FROM r{k}),
-r{k + 1} AS (SELECT * EXCLUDE (factor, now), CASE WHEN now > 0 THEN factor * t_{d} / now ELSE factor END AS factor FROM s{k})"""
+r{k + 1} AS (SELECT * EXCLUDE (factor, now), {made} AS factor FROM s{k})"""
             k += 1
     out += f""",
-fitted AS (SELECT source, lang, topic, CASE WHEN mass > 0 THEN least(1.0, factor / (SELECT max(factor) FROM r{k} WHERE mass > 0)) ELSE 1.0 END AS prob FROM r{k}),
+fitted AS (SELECT source, lang, topic, CASE WHEN mass > 0 THEN factor / {BOOST} ELSE 1.0 END AS prob FROM r{k}),
 mixed AS (SELECT doc_id, source, lang, topic, n_tokens, prob,
   CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0 < prob AS kept
   FROM described JOIN fitted USING (source, lang, topic))
