@@ -50,7 +50,7 @@ PIECE = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
 class Encoder:
     """Whole texts to ids through the tokenizers library, each distinct piece once."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -73,9 +73,13 @@ class Encoder:
         if len(self.pieces) + len(new) > self.most:
             self.pieces.clear()
             new = list(set().union(*(x for x in cut if x is not None)))
-        for i in range(0, len(new), 5_000):
-            part = new[i : i + 5_000]
-            self.pieces.update(zip(part, (self.packed(e.ids) for e in self.tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
+        # a letter before a last '.' or ',' always ends its token: encode the word once, with and without the sign
+        stem = {p: p[:-1] for p in new if p[-1] in ".," and len(p) > 1 and p[-2].isalpha()}
+        first = list({*stem.values(), *(x for p in stem if (x := p[-1])), *(p for p in new if p not in stem)}.difference(self.pieces))
+        for i in range(0, len(first), 5_000):
+            part = first[i : i + 5_000]
+            self.pieces.update(zip(part, (self.packed(e.ids) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+        self.pieces.update((p, self.pieces[base] + self.pieces[p[-1]]) for p, base in stem.items())
         get = self.pieces.__getitem__
         return [self.packed(self.tokenizer.encode(t, add_special_tokens=False).ids) if x is None else b"".join(map(get, x)) for t, x in zip(texts, cut, strict=True)]
 
