@@ -118,7 +118,7 @@ def segments(mel: np.ndarray) -> list[tuple[int, int]]:
     energy = 10 * np.log10((10 ** (mel / 10)).sum(1))
     mid = np.median(energy)
     # 1: on, -1: off, 0: as before
-    state = np.where(energy > mid + RISE_DB, 1, np.where(energy < mid + FALL_DB, -1, 0))
+    state = np.where(energy > mid + RISE_DB, 1, np.where(energy <= mid + FALL_DB, -1, 0))
     at = np.maximum.accumulate(np.where(state != 0, np.arange(len(state)), -1))
     on = np.concatenate([[False], (at >= 0) & (state[np.maximum(at, 0)] > 0), [False]])
     edge = np.flatnonzero(on[1:] != on[:-1])

@@ -46,6 +46,8 @@ for _i in range(1 << 16):
     elif _i > 127 and chr(_i).isalpha():
         CODES[_i] = 28 + _i % 34
 CODES[0], CODES[2] = END, START
+#: Words may hold the two characters that mark their ends here.
+MARKS = {0: 1, 2: 1}
 
 
 def tokens(text: str | None) -> list[str]:
@@ -68,7 +70,7 @@ class Occurrences:
     """The subsequences of a list of words, with gaps: word number, code and weight, a gap pattern at a time."""
 
     def __init__(self, words: list[str]):
-        flat = "".join(f"\0\2{w.strip(SIGNS)}" for w in words) + "\0"
+        flat = "".join(f"\0\2{w.strip(SIGNS).translate(MARKS)}" for w in words) + "\0"
         raw = np.frombuffer(flat.encode("utf-32-le", "replace"), np.uint32)
         self.codes = CODES[np.minimum(raw, (1 << 16) - 1)].astype(np.int32)
         self.n, self.word = len(words), np.cumsum(self.codes == END) - 1
