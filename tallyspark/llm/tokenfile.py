@@ -43,7 +43,7 @@ END_ID = 2
 DICT_DOCS, DICT_BYTES, DICT_PIECE, LEVEL = 1_000, 32 << 10, 8 << 10, 3
 MAGIC, HEAD, ROW, TAIL = b"TKZ1", "<4s32sI", "<qIIQI", "<QQ"
 #: A text with one of these, or with a special token, is encoded whole: engines differ on what they call space here.
-RARE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
+RARE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 PIECE = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
 
 
