@@ -10,10 +10,11 @@ samples give bucket keys. Texts with equal words collapse to one representative
 
 Links without all pairs: in each bucket the member with the most bucket neighbours is the leader, and every member
 that is not yet of its class is compared with it. LEADERS such rounds, with classes joined in between, leave only
-members whose class differs from their bucket's; these, and nothing else, are compared with one another, within
-weights that allow the threshold. So no link between two classes is lost, while a bucket of one class costs one
-comparison a member. Pairs whose samples agree too little for the threshold (7 standard errors) are dropped, the
-others are verified by weighted Jaccard similarity from their whole texts. Classes are the connected components of
+members whose class differs from their bucket's; these are a query set, compared with all members of their bucket in
+blocks of BLOCK by BLOCK. So no link between two classes is lost, while a bucket of one class costs one comparison a
+member, and no pair becomes a row before it is verified. Pairs whose samples agree too little for the threshold (4
+standard errors: a miss of 3e-5 at the threshold) are dropped, the others are verified by weighted Jaccard similarity
+from their whole texts. Classes are the connected components of
 the links, by label propagation with pointer jumping over stored tables.
 
 Defined cases: null and empty texts have no shingle and are classes of their own; texts of one to four words are one
@@ -41,6 +42,8 @@ BANDS, ROWS = 16, 4
 HASHES = BANDS * ROWS
 TABLE = 1 << 16
 LEADERS = 2
+#: Members of a block; a task holds the samples, then the shingles, of two blocks at a time.
+BLOCK = 256
 
 
 def weighted(h: np.ndarray, common: np.ndarray, idf: np.ndarray, top: float) -> tuple[np.ndarray, np.ndarray]:
@@ -179,9 +182,9 @@ def bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(ids)], ["bucket", "doc_id"])
 
 
-#: Fewest equal samples at which a pair is verified: 8 standard errors under what the threshold leads to expect.
 def least_agreement(threshold: float) -> int:
-    return max(0, math.floor(HASHES * threshold - 7 * math.sqrt(HASHES * threshold * (1 - threshold))))
+    """Fewest equal samples at which a pair is verified: 4 standard errors under what the threshold leads to expect."""
+    return max(0, math.floor(HASHES * threshold - 4 * math.sqrt(HASHES * threshold * (1 - threshold))))
 
 
 def agreeing(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
@@ -258,18 +261,15 @@ def linked(own: DataFrame, docs: DataFrame, table: tuple[np.ndarray, np.ndarray,
         leaders = now.groupBy("bucket").agg(first, F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 != l1")
         leaders = stored(leaders.select("bucket", (-F.col("x.least")).alias("leader"), F.col("x.total").alias("t"), F.col("x.label").alias("of")), "leaders")
         now = joined(now, leaders, "bucket")
-        if k < LEADERS:
+        if k == LEADERS:
+            found = across(stored(now.select("bucket", "doc_id", "total", "label", "of"), "rest"), own, docs, table, threshold)
+        else:
             pairs = now.filter("label != of")
             near = F.least("total", "t") >= F.greatest("total", "t") * (threshold - 1e-9)
             pairs = pairs.filter(near).select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b"))
-            pool = now.filter("doc_id != leader").select("bucket", "doc_id", "total", "degree")
-        else:
-            pairs = across(stored(now.select("bucket", "doc_id", "total", "label"), "rest"), threshold)
-        pairs = stored(pairs.distinct(), "pairs")
-        if k < LEADERS:
-            pool = stored(pool, "pool")
-        if pairs.limit(1).count():
-            found = verified(agreeing(pairs, own, threshold), docs, table, threshold)
+            pool = stored(now.filter("doc_id != leader").select("bucket", "doc_id", "total", "degree"), "pool")
+            found = verified(agreeing(stored(pairs.distinct(), "pairs"), own, threshold), docs, table, threshold)
+        if found.limit(1).count():
             links = found if links is None else stored(links.unionByName(found), "links")
             labels = components(links)
     if links is None:
@@ -278,13 +278,114 @@ def linked(own: DataFrame, docs: DataFrame, table: tuple[np.ndarray, np.ndarray,
     return links, labels
 
 
-def across(rest: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of a bucket's members of different classes, from neighbouring weight bins only."""
-    # weights within the threshold of each other are in the same bin or in adjacent ones
-    rest = rest.withColumn("bin", F.floor(F.log("total") / math.log(1 / threshold)).cast("int"))
-    other = rest.select("bucket", F.col("doc_id").alias("b"), F.col("total").alias("t"), F.col("label").alias("of"), F.explode(F.array(F.col("bin"), F.col("bin") + 1, F.col("bin") - 1)).alias("bin"))
-    met = rest.join(other, ["bucket", "bin"]).filter("doc_id < b AND label != of").filter(F.least("total", "t") >= F.greatest("total", "t") * (threshold - 1e-9))
-    return met.select(F.col("doc_id").alias("a"), "b")
+def grouped(rows: DataFrame, name: str) -> DataFrame:
+    """bucket, block and members: lists of (doc_id, label, total, sketch)."""
+    return rows.groupBy("bucket", "block").agg(F.collect_list(F.struct("doc_id", "label", "total", "sketch")).alias(name))
+
+
+def fields(column: pa.ListArray, i: int) -> tuple[np.ndarray, ...]:
+    """doc_id, label, total and samples of one list of members."""
+    x = column[i].values
+    sketch = np.frombuffer(b"".join(x.field("sketch").to_pylist()), np.uint32).reshape(-1, HASHES)
+    return (*(x.field(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "label", "total")), sketch)
+
+
+def met(least: int, threshold: float):
+    """mapInArrow: two blocks of a bucket -> one row with the pairs between them that samples and weights allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i in range(b.num_rows):
+                (a, la, ta, sa), (c, lc, tc, sc) = fields(b.column(1), i), fields(b.column(2), i)
+                equal = np.zeros((len(a), len(c)), np.int16)
+                for k in range(HASHES):
+                    equal += sa[:, None, k] == sc[None, :, k]
+                ok = (equal >= least) & (la[:, None] != lc[None]) & (np.minimum(ta[:, None], tc[None]) >= np.maximum(ta[:, None], tc[None]) * (threshold - 1e-9))
+                # where both are of the query set the pair turns up twice
+                ok &= ~np.isin(c, a)[None] | (a[:, None] < c[None])
+                x, y = np.nonzero(ok)
+                if len(x):
+                    out.append((a[x], c[y]))
+            if out:
+                key = [int(h) for h in np.random.default_rng().integers(0, 1 << 62, len(out))]
+                kind = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([x for x, _ in out], kind), pa.array([y for _, y in out], kind)], ["part", "a", "b"])
+
+    return run
+
+
+def shingled(docs: DataFrame, table: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
+    """doc_id, and its shingles s and weights w."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            own = [weighted(hashes.of(words_of(t)), *table) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.view(np.int64) for x, _ in own], pa.list_(pa.int64())), pa.array([w for _, w in own], pa.list_(pa.float64()))], ["doc_id", "s", "w"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, s array<long>, w array<double>")
+
+
+def shared_weights(s: list[np.ndarray], w: list[np.ndarray], step: int = 2_048) -> np.ndarray:
+    """(n, n) sums of minima of the documents' weights. Only shingles of two or more documents matter; they are taken in
+    steps, and each weight as often as it has distinct levels, so that minima become products."""
+    n, out = len(s), np.zeros((len(s), len(s)))
+    flat, of, weight = np.concatenate(s), np.repeat(np.arange(n), [len(x) for x in s]), np.concatenate(w)
+    column, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+    keep = count[at] > 1
+    of, at, weight = of[keep], at[keep], weight[keep]
+    if not len(at):
+        return out
+    _, at = np.unique(at, return_inverse=True)
+    for first in range(0, at.max() + 1, step):
+        here = (at >= first) & (at < first + step)
+        x = np.zeros((n, min(step, at.max() + 1 - first)))
+        x[of[here], at[here] - first] = weight[here]
+        low = np.zeros(x.shape[1])
+        while (x > low).any():
+            level = np.where(x > low, x, np.inf).min(0)
+            rise = np.where(np.isfinite(level), level - low, 0)
+            has = (x > low).astype(float)
+            out += (has * rise) @ has.T
+            low = np.where(np.isfinite(level), level, np.inf)
+    return out
+
+
+def similar(threshold: float):
+    """mapInArrow: part, a, b (pairs) and docs (doc_id, s, w) -> the pairs that are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                a, c = (b.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (1, 2))
+                x = b.column(3)[i].values
+                ids = x.field("doc_id").to_numpy(zero_copy_only=False)
+                s, w = ([v.values.to_numpy(zero_copy_only=False) for v in x.field(k)] for k in ("s", "w"))
+                order = np.argsort(ids)
+                j, k = (order[np.searchsorted(ids, v, sorter=order)] for v in (a, c))
+                total, least = np.array([v.sum() for v in w]), shared_weights(s, w)[j, k]
+                ok = least >= (threshold - 1e-9) * (total[j] + total[k] - least)
+                if ok.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[ok], c[ok])), pa.array(np.maximum(a[ok], c[ok]))], ["a", "b"])
+
+    return run
+
+
+def across(rest: DataFrame, own: DataFrame, docs: DataFrame, table: tuple[np.ndarray, np.ndarray, float], threshold: float) -> DataFrame:
+    """rest: bucket, doc_id, total, label and of (the bucket's main class), stored. Links between members of different
+    classes: whoever is not of the main class, against all of its bucket, block by block."""
+    counts = stored(rest.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n")), "rest-sizes")
+    rest = joined(rest, counts, "bucket").join(own.select("doc_id", "sketch"), "doc_id")
+    rest = stored(rest.withColumn("block", F.pmod(F.xxhash64("doc_id"), "n")).drop("n"), "rest-blocks")
+    blocks = grouped(rest.filter("label != of"), "l").drop("block").join(grouped(rest, "r").drop("block"), "bucket")
+    pairs = stored(blocks.select("bucket", "l", "r").mapInArrow(met(least_agreement(threshold), threshold), "part long, a array<long>, b array<long>"), "met")
+    named = stored(pairs.select("part", F.explode(F.array_distinct(F.concat("a", "b"))).alias("doc_id")), "met-ids")
+    ids = stored(named.select("doc_id").distinct(), "met-docs")
+    texts = joined(docs, ids, "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sets = named.join(stored(shingled(texts, table), "met-shingles"), "doc_id").groupBy("part").agg(F.collect_list(F.struct("doc_id", "s", "w")).alias("docs"))
+    found = pairs.join(sets, "part").select("part", "a", "b", "docs").mapInArrow(similar(threshold), "a long, b long")
+    return stored(found.distinct(), "links")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -443,6 +443,19 @@ def test_consistent_sampling_estimates_weighted_jaccard():
     assert abs(got - true) < 0.06
 
 
+def test_blocks_of_members_by_brute_force():
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 60, r.integers(1, 40))).astype(np.int64) for _ in range(30)]
+    idf = r.random(60) + 0.1
+    weights = [idf[s] * r.integers(1, 4, len(s)) for s in sets]
+    got = neardup.shared_weights(sets, weights, step=7)
+    for i in range(30):
+        for j in range(30):
+            if i != j:
+                a, b = dict(zip(sets[i], weights[i], strict=True)), dict(zip(sets[j], weights[j], strict=True))
+                assert got[i, j] == pytest.approx(sum(min(v, b[k]) for k, v in a.items() if k in b))
+
+
 def test_near_duplicates_odd(odd):
     got = rows(neardup.classes(odd))
     assert len(got) == len(ODD)
