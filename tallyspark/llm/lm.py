@@ -130,14 +130,17 @@ class EliasFano:
         top, low = top[within], v[within] & np.uint64((1 << self.bits) - 1)
         first = np.where(top > 0, self.select(np.maximum(top - 1, 0), False) - (top - 1), 0)
         last = self.select(top, False) - top
-        live = np.flatnonzero(first < last)
+        # a bucket of a frequent context can be long: halve it
+        end, live = last.copy(), np.flatnonzero(first < last)
         while len(live):
-            here = self.lows(first[live])
-            hit = here == low[live]
-            out[within[live[hit]]] = first[live[hit]]
-            live = live[here < low[live]]
-            first[live] += 1
-            live = live[first[live] < last[live]]
+            mid = (first[live] + end[live]) >> 1
+            under = self.lows(mid) < low[live]
+            first[live] = np.where(under, mid + 1, first[live])
+            end[live] = np.where(under, end[live], mid)
+            live = live[first[live] < end[live]]
+        can = np.flatnonzero(first < last)
+        hit = can[self.lows(first[can]) == low[can]]
+        out[within[hit]] = first[hit]
         return out
 
 
@@ -291,24 +294,23 @@ def words_at(folder: str, listed: tuple, bits: int) -> Words:
 def pair_counts(folder: str, listed: tuple, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = words_at(folder, listed, bits)
-        pending, size = [], 0
 
-        def flush() -> pa.RecordBatch:
-            key, n = np.unique(np.concatenate(pending), return_counts=True)
+        def flush(texts: list[list[bytes]]) -> pa.RecordBatch:
+            ids = [level.ids[place] for place in level.places(texts)]
+            key, n = np.unique(np.concatenate([x[:-1] << 32 | x[1:] for x in ids]), return_counts=True)
             shard = np.searchsorted(level.base, key >> 32, "right") - 1
             return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(key), pa.array(n)], ["shard", "key", "n"])
 
+        texts, size = [], 0
         for b in batches:
-            ends = [[END, *words_of(t), END] for t in b.column(0).to_pylist()]
-            for place in level.places(ends):
-                ids = level.ids[place]
-                pending.append(ids[:-1] << 32 | ids[1:])
-                size += len(ids)
-            if size > 2 * BLOCK_TOKENS:
-                yield flush()
-                pending, size = [], 0
-        if pending:
-            yield flush()
+            own = [[END, *words_of(t), END] for t in b.column(0).to_pylist()]
+            texts += own
+            size += sum(map(len, own))
+            if size > BLOCK_TOKENS:
+                yield flush(texts)
+                texts, size = [], 0
+        if texts:
+            yield flush(texts)
 
     return run
 
