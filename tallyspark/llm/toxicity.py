@@ -9,10 +9,15 @@ Training is multiple-instance: a labelled text is toxic if its worst word is. La
 training texts, and words of the others; a squared-hinge SVM in the Nystroem space is refitted with each toxic text's
 worst words and with the hardest words of the clean ones. The trained machine folds into one weight for each
 subsequence, so a new word costs a few table look-ups a character and each distinct word is scored once a worker.
-A document's score is a logistic function of its two worst words.
 
-Training rows: at most `max_docs` labelled texts, chosen by a hash of their id. Scoring covers every text whole.
-Defined cases: a null text is empty; a text without words has the lowest score there is; without labels of both
+A text's score takes in all its words, each occurrence on its own: a logistic function of the four largest decision
+values, of the log of the sum of all values over FLOOR for a word, and of the number of words. It is taken of the
+whole text and of overlapping passages of PASSAGE words, and the largest of these counts, so a long text does not hide
+a passage.
+
+Training rows: at most `max_docs` labelled texts, chosen by a hash of their id; each toxic one among them gives the
+machine words to learn from. Scoring covers every text whole.
+Defined cases: a null text is empty; a text without words scores 0; without labels of both
 kinds no machine can be fitted and every score is 0; rows with equal ids are scored alike by their texts.
 """
 
@@ -25,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +40,11 @@ SPAN, DECAY = 5, 0.7
 GAPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN + 1 - a)]
 MAX_DOCS, LANDMARKS, NEGATIVES = 4_000, 96, 3_000
 FLOOR, SURE = -0.6, 1.4
-#: Kernel value to a landmark from which a toxic text has a word to learn from.
-NEAR = 0.4
+#: Words of a passage; one starts at every half of it.
+PASSAGE = 200
+TOP = 4
+#: Weights by which every score is 0.
+NEVER = np.array([-30.0] + [0.0] * (TOP + 2))
 END, START, OTHER = 63, 1, 62
 SIGNS = string.punctuation + "«»“”„’‘…"
 
@@ -108,10 +117,31 @@ class Occurrences:
         return np.sqrt(np.maximum(out, 1e-12))
 
 
+def evidence(values: np.ndarray) -> np.ndarray:
+    """Of the decision values of a text's words in order, a row for the whole text and for each passage: the TOP largest
+    values over FLOOR, the log of ten times their sum for a word (of 20 words more), a third of the log of the length."""
+    v = np.minimum(values, SURE) - FLOOR
+    n, step = len(v), PASSAGE // 2
+    sizes, parts = np.array([n]), [np.pad(v, (0, max(0, TOP - n)))[None]]
+    if n > PASSAGE:
+        k = -(-(n - PASSAGE) // step) + 1
+        parts.append(sliding_window_view(np.pad(v, (0, (k - 1) * step + PASSAGE - n)), PASSAGE)[::step])
+        sizes = np.array([n] + [PASSAGE] * (k - 1) + [n - (k - 1) * step])
+        if not v.any():
+            sizes, parts[1] = sizes[[0, 1, -1]], parts[1][[0, -1]]  # the passages between are alike
+    top = np.concatenate([np.sort(np.partition(p, p.shape[1] - TOP)[:, -TOP:])[:, ::-1] for p in parts])
+    total = np.concatenate([p.sum(1) for p in parts])
+    return np.column_stack([top, np.log1p(10 * total / (sizes + 20)), np.log1p(sizes) / 3])
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
 class Machine:
-    """The folded machine: a weight for each subsequence, a bias, and the logistic function of the two worst words."""
+    """The folded machine: a weight for each subsequence, a bias, and the weights (bias first) of a text's evidence."""
 
-    def __init__(self, table: np.ndarray, bias: float, logit: tuple[float, float, float], most: int = 400_000):
+    def __init__(self, table: np.ndarray, bias: float, logit: np.ndarray, most: int = 400_000):
         self.table, self.bias, self.logit, self.most = table.astype(np.float32), bias, logit, most
         self.seen: dict[str, float] = {}
 
@@ -129,8 +159,8 @@ class Machine:
             out[can] = np.maximum(FLOOR, s[can] / norms + self.bias)
         return out
 
-    def worst(self, texts: list[str | None]) -> np.ndarray:
-        """(n, 2): the largest and second largest decision values among each text's words."""
+    def of_texts(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The evidence of each text."""
         own = [tokens(t) for t in texts]
         new = list(set().union(*own).difference(self.seen))
         if len(self.seen) + len(new) > self.most:
@@ -138,20 +168,16 @@ class Machine:
             new = list(set().union(*own))
         for i in range(0, len(new), 50_000):
             self.seen.update(zip(new[i : i + 50_000], self.of_words(new[i : i + 50_000]).tolist(), strict=True))
-        out = np.full((len(texts), 2), FLOOR)
         get = self.seen.__getitem__
-        for i, words in enumerate(own):
-            if len(words) == 1:
-                out[i, 0] = get(words[0])
-            elif words:
-                v = np.fromiter(map(get, words), float, len(words))
-                out[i] = np.partition(v, len(v) - 2)[:-3:-1]
-        return np.minimum(out, SURE)
+        return [evidence(np.fromiter(map(get, words), float, len(words))) for words in own]
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        w = self.worst(texts)
-        a, b, c = self.logit
-        return 1 / (1 + np.exp(-np.clip(a + b * w[:, 0] + c * w[:, 1], -30, 30)))
+        found = self.of_texts(texts)
+        if not found:
+            return np.zeros(0)
+        first = np.cumsum([0] + [len(x) for x in found[:-1]])
+        best = np.maximum.reduceat(self.logit[0] + np.concatenate(found) @ self.logit[1:], first)
+        return np.where([x[0, -1] > 0 for x in found], sigmoid(best), 0.0)
 
 
 def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, l2: float = 0.01) -> np.ndarray:
@@ -168,14 +194,20 @@ def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, l2: float = 0.01) -> np.
     return w
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.3) -> tuple[float, float, float]:
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.3) -> np.ndarray:
     x = np.hstack([np.ones((len(x), 1)), x])
-    w, ridge = np.zeros(3), l2 * np.diag([1e-3, 1, 1])
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    w, ridge = np.zeros(x.shape[1]), l2 * np.diag([1e-3] + [1] * (x.shape[1] - 1))
+    for _ in range(60):
+        p = sigmoid(x @ w)
         h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge
         w += np.clip(np.linalg.solve(h, x.T @ (y - p) - ridge @ w), -4, 4)
-    return tuple(w.tolist())
+    return w
+
+
+def calibrated(found: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Weights of the evidence: learned from whole texts, then from the part of each text that these put highest."""
+    w = logistic(np.array([x[0] for x in found]), y)
+    return logistic(np.array([x[np.argmax(x @ w[1:])] for x in found]), y)
 
 
 def kernel_to(words: list[str], marks: list[str]) -> np.ndarray:
@@ -221,7 +253,7 @@ def trained(rows: list[tuple[str | None, int]], landmarks: int = LANDMARKS, nega
     y = np.array([int(toxic) for _, toxic in rows])
     bad, good = [set(own[i]) - {""} for i in np.flatnonzero(y == 1)], [set(own[i]) - {""} for i in np.flatnonzero(y == 0)]
     if not any(bad) or not any(good):
-        return Machine(np.zeros(1 << 18), FLOOR, (-30.0, 0.0, 0.0))
+        return Machine(np.zeros(1 << 18), FLOOR, NEVER)
     clean = Counter(w for bag in good for w in bag)
     marks = covering(bad, clean, len(good), landmarks)
     pool = sorted(clean)
@@ -244,8 +276,6 @@ def trained(rows: list[tuple[str | None, int]], landmarks: int = LANDMARKS, nega
     for k in range(rounds):
         worst = []
         for ws in words_of_bad:
-            if max((near[number[w]] for w in ws), default=0) < NEAR:
-                continue  # nothing in it is like what marks the toxic texts: the label may be wrong
             ranked = sorted(ws, key=lambda w: -value_of[number[w]])
             worst += [w for w in ranked[:2] if k == 0 or value_of[number[w]] > FLOOR / 2] or ranked[:1]
         if not worst:
@@ -258,13 +288,13 @@ def trained(rows: list[tuple[str | None, int]], landmarks: int = LANDMARKS, nega
         table = np.zeros(1 << 18)
         mw, mc, mv = Occurrences(marks).grouped()
         np.add.at(table, mc, alpha[mw] * mv / Occurrences(marks).norms()[mw])
-        machine = Machine(table, float(w[-1]), (0.0, 1.0, 0.0))
+        machine = Machine(table, float(w[-1]), NEVER)
         value_of = machine.of_words(flat)
         of_pool = machine.of_words(pool)
         hard = list(dict.fromkeys(hard + [pool[i] for i in np.argsort(-of_pool)[: negatives // 2]]))
     if machine is None:
-        return Machine(np.zeros(1 << 18), FLOOR, (-30.0, 0.0, 0.0))
-    machine.logit = logistic(machine.worst([t for t, _ in rows]), y)
+        return Machine(np.zeros(1 << 18), FLOOR, NEVER)
+    machine.logit = calibrated(machine.of_texts([t for t, _ in rows]), y)
     return machine
 
 

@@ -181,6 +181,38 @@ def test_toxicity_learns_and_bears_inserted_signs():
     assert toxicity.tokens("you i d i o t and a b") == ["you", "idiot", "and", "a", "b"]
 
 
+def test_toxicity_takes_in_all_words():
+    r, clean = random.Random(7), toxic_rows()
+    clean = [t for t, y in clean if not y]
+    mark = lambda: "achl" + r.choice(["ich", "ig", "eit"]) + r.choice(["en", "er", "au", "st", "tz", "be"])
+
+    def text(marks):
+        words = " ".join(r.sample(clean, 3)).split()[:100]
+        for _ in range(marks):
+            words.insert(r.randrange(len(words)), mark())
+        return " ".join(words)
+
+    own = [(text(6 if i % 4 == 0 else 2 * (i % 8 == 1)), int(i % 4 == 0)) for i in range(500)]
+    machine = toxicity.trained(own[:400])
+    score = machine.scores([t for t, _ in own[400:]])
+    assert ((score >= 0.5) == np.array([y for _, y in own[400:]], bool)).mean() > 0.95
+    # a toxic passage in a long text; the words round it change nothing
+    long = [w for t in clean * 3 for w in t.split()][:20_000]
+    hidden = " ".join([*long[:9_000], text(6), *long[9_000:]])
+    assert machine.scores([" ".join(long), hidden]).round().tolist() == [0, 1]
+
+
+def test_toxicity_evidence_by_brute_force():
+    v = np.random.default_rng(2).uniform(toxicity.FLOOR, 2, 730)
+    for n in (0, 1, 3, 200, 201, 300, 301, 730):
+        parts = [v[:n]] + ([v[i : min(i + 200, n)] for i in range(0, n - 100, 100)] if n > 200 else [])
+        got = toxicity.evidence(v[:n])
+        assert len(got) == len(parts)
+        for row, p in zip(got, parts, strict=True):
+            over = sorted(np.minimum(p, toxicity.SURE) - toxicity.FLOOR, reverse=True)
+            assert row == pytest.approx([*(over + [0] * 4)[:4], np.log1p(10 * sum(over) / (len(p) + 20)), np.log1p(len(p)) / 3])
+
+
 def test_subsequence_kernel_by_brute_force():
     def phi(w):
         w, out = "\2" + w, Counter()
