@@ -3,12 +3,12 @@
 Payloads are kept as mono 8-bit PCM WAV files in a binary column. Features come from the stored bytes: samples are
 resampled by a windowed-sinc polyphase filter, cut into frames that overlap by half, and turned into log-mel energies;
 a segment begins where a frame's energy passes the upper threshold and ends where it falls under the lower one (both
-relative to the file's own median). Each segment is stored as tensors of the fixed shape (FRAMES, MELS), the last
+relative to the file's own median, or to NOISE_DB where no frame stands out from the median). Each segment is stored as tensors of the fixed shape (FRAMES, MELS), the last
 padded with its own floor, each with its time span.
 
 Texts as media: `payload` gives the UTF-8 of a text with zero bytes up to a positive multiple of 64.
-Defined cases: a null text is empty (64 zero bytes); files shorter than a frame are one padded frame; a silent or
-even file has no segment and no tensor; equal payloads give equal values. Long files are resampled in blocks.
+Defined cases: a null text is empty (64 zero bytes); files shorter than a frame are one padded frame, and the last
+frame of others is padded; a silent file has no segment and no tensor, an even one is a single segment; equal payloads give equal values. Long files are resampled in blocks.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ RATE, UP, DOWN, TAPS = 16_000, 1, 2, 16
 FRAME, HOP, MELS, FRAMES = 256, 128, 20, 32
 #: Hysteresis thresholds in dB over the file's median frame energy.
 RISE_DB, FALL_DB = 0.3, 0.0
+#: Level in dB between silence (-67) and the least that 8-bit samples can say: a file of one frame has no other floor.
+NOISE_DB = -60.0
 BLOCK = 1 << 18
 
 
@@ -105,9 +107,8 @@ def window(frame: int = FRAME) -> np.ndarray:
 
 
 def log_mel(x: np.ndarray, rate: int) -> np.ndarray:
-    """(frames, MELS) log energies in dB of frames of FRAME samples that start every HOP."""
-    if len(x) < FRAME:
-        x = np.pad(x, (0, FRAME - len(x)))
+    """(frames, MELS) log energies in dB of frames of FRAME samples that start every HOP, the last one padded."""
+    x = np.pad(x, (0, FRAME - len(x) if len(x) < FRAME else -(len(x) - FRAME) % HOP))
     frames = sliding_window_view(x, FRAME)[::HOP]
     out = [10 * np.log10((np.abs(np.fft.rfft(frames[i : i + 4096] * window(), axis=1)) ** 2).astype(np.float32) @ mel_bank(rate) + 1e-8) for i in range(0, len(frames), 4096)]
     return np.concatenate(out)
@@ -117,6 +118,8 @@ def segments(mel: np.ndarray) -> list[tuple[int, int]]:
     """Frame spans [start, end) where the energy, once over the upper threshold, has not yet fallen under the lower."""
     energy = 10 * np.log10((10 ** (mel / 10)).sum(1))
     mid = np.median(energy)
+    if not (energy > mid + RISE_DB).any():
+        mid = NOISE_DB
     # 1: on, -1: off, 0: as before
     state = np.where(energy > mid + RISE_DB, 1, np.where(energy <= mid + FALL_DB, -1, 0))
     at = np.maximum.accumulate(np.where(state != 0, np.arange(len(state)), -1))
@@ -130,6 +133,7 @@ def features(wav: bytes) -> tuple[np.ndarray, list[tuple[float, float]]]:
     rate, samples = from_wav(wav)
     x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
     x -= x.mean()  # a constant offset would drown the rest
+    x = np.pad(x, (0, TAPS * max(UP, DOWN)))  # what the filter still holds of the last samples
     mel = log_mel(resampled(x), rate * UP // DOWN)
     step, parts, spans = HOP * DOWN / (UP * rate), [], []
     for a, b in segments(mel):

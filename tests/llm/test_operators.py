@@ -361,6 +361,24 @@ def test_media_features():
     assert media.segments(mel) == [(10, 20)] and len(quiet)
 
 
+def test_media_short_texts_and_tails():
+    r = random.Random(5)
+    texts = ["".join(r.choice("abcdefgh ij") for _ in range(n)) for n in (*range(5, 64, 4), 64, 64, 200, 500, 700, 767, 800, 1000)]
+    found = [media.features(media.to_wav(media.payload(t))) for t in texts]
+    assert all(spans for _, spans in found)
+    assert len({mel.tobytes() for mel, _ in found}) == len(texts)
+    for n in (1, 200, 257, 300, 400, 1000):
+        x = np.zeros(n, np.float32)
+        x[-1] = 1
+        mel = media.log_mel(x, 8_000)
+        assert len(mel) == 1 + -(-max(0, n - media.FRAME) // media.HOP)
+        assert n < media.FRAME or mel[-1].max() > -60
+    # the last byte of a payload without padding counts
+    a, b = ("word " * 400)[:1920], ("word " * 400)[:1919] + "#"
+    assert media.features(media.to_wav(a.encode()))[0].tobytes() != media.features(media.to_wav(b.encode()))[0].tobytes()
+    assert media.features(media.to_wav(media.payload("")))[1] == []
+
+
 # --- mixing
 
 
