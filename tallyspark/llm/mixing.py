@@ -3,7 +3,9 @@
 Token mass is summed to cells (source, language, topic). Each sweep rakes the cells to the three target
 marginals in turn, then trims factors over BOOST (the mean factor is 1). A document's inclusion probability is its
 cell's factor over BOOST: about 1 / BOOST of all tokens stay, and the expected token shares of the sample meet the
-targets as far as no cell needs more than BOOST times its share. A document is taken when a hash of its id, as a
+targets as far as no cell needs more than BOOST times its share. With `targets` (weights of the values of any
+marginals; the others are tempered) no factor is trimmed: cells are raked until every marginal is met to `tolerance`, a
+document's probability is its cell's factor over the largest one, and targets that cannot be met raise. A document is taken when a hash of its id, as a
 number in [0, 1), is below its probability: the choice is reproducible on any cluster.
 
 Defined cases: null source or language count as '(none)'; a null text is empty; an empty text has no tokens and
@@ -26,6 +28,8 @@ BOOST = 1.5
 #: Cells up to this many are fitted in one partition and broadcast; more are fitted by shuffles and joined with salt.
 FEW_CELLS = 100_000
 SALTS = 16
+#: Explicit targets are met to this part of all tokens, in so many sweeps at most.
+TOLERANCE, MOST_SWEEPS = 1e-6, 200
 DIMS = ("source", "lang", "topic")
 SYMBOLS = "#$%&*@=<>{}[]|^~_+/"
 DIGITS = "0123456789"
@@ -77,12 +81,60 @@ def rake(cells: DataFrame, temper: dict[str, float] = TEMPER, sweeps: int = SWEE
     return cells.select(*DIMS, "mass", "factor")
 
 
-def with_probability(docs: DataFrame, temper: dict[str, float] = TEMPER, sweeps: int = SWEEPS) -> DataFrame:
+def raked_to(cells: DataFrame, targets: dict[str, dict[str, float]], temper: dict[str, float] = TEMPER, tolerance: float = TOLERANCE, most: int = MOST_SWEEPS) -> DataFrame:
+    """cells: DIMS and mass. Adds factor, untrimmed, by which all marginals meet their targets to tolerance. A value
+    without a weight in its marginal's targets gets none. Raises if the targets cannot be met, with the distance left."""
+    few = cells.count() <= FEW_CELLS
+    near = lambda df: df.coalesce(1) if few else df
+    cells = near(cells.filter("mass > 0"))
+    total = cells.agg(F.sum("mass")).first()[0]
+    if not total:
+        return cells.withColumn("factor", F.lit(1.0))
+    for d in DIMS:
+        masses = cells.groupBy(d).agg(F.sum("mass").alias("mass"))
+        if d in targets:
+            wanted = {str(v): float(w) for v, w in targets[d].items() if w}
+            if not wanted or min(wanted.values()) < 0:
+                raise ValueError(f"{d}: targets must be weights of 0 or more, and one over 0")
+            lacking = wanted.keys() - {r[0] for r in masses.filter(F.col(d).isin(*wanted)).select(d).collect()}
+            if lacking:
+                raise ValueError(f"{d}: no tokens for the targets of {sorted(lacking)}")
+            pairs = F.create_map(*(F.lit(x) for v, w in wanted.items() for x in (v, w / sum(wanted.values()))))
+            want = F.coalesce(F.try_element_at(pairs, F.col(d)), F.lit(0.0)) * F.lit(float(total))
+        else:
+            sums = masses.agg(F.sum(F.pow("mass", F.lit(temper[d])))).first()[0]
+            want = F.pow(F.sum("mass").over(Window.partitionBy(d)), F.lit(temper[d])) * F.lit(float(total) / float(sums))
+        cells = cells.withColumn(f"t_{d}", want)
+    cells = cells.withColumn("factor", F.lit(1.0))
+    now = lambda d: F.sum(F.col("mass") * F.col("factor")).over(Window.partitionBy(d))
+    left, before = {}, float("inf")
+    for _ in range(0, most, 2):
+        for d in DIMS * 2:
+            cells = cells.withColumn("now", now(d)).withColumn("factor", F.when(F.col("now") > 0, F.col("factor") * F.col(f"t_{d}") / F.col("now")).otherwise(F.col("factor"))).drop("now")
+        cells = near(stored(cells, "raked"))
+        gaps = cells.select(*(F.abs(now(d) - F.col(f"t_{d}")).alias(d) for d in DIMS)).agg(*(F.max(d).alias(d) for d in DIMS)).first()
+        left = {d: gaps[d] / total for d in DIMS}
+        if max(left.values()) <= tolerance:
+            return cells.select(*DIMS, "mass", "factor")
+        if max(left.values()) > 0.999 * before:
+            break  # it goes round: no factors meet all targets
+        before = max(left.values())
+    raise ValueError(f"targets not met; largest distance as a part of all tokens: {left}")
+
+
+def with_probability(
+    docs: DataFrame, temper: dict[str, float] = TEMPER, sweeps: int = SWEEPS, targets: dict[str, dict[str, float]] | None = None, tolerance: float = TOLERANCE
+) -> DataFrame:
     """One struct column `doc` with the row as it came, and DIMS, n_tokens, prob and kept beside it."""
     cells = stored(described(docs).groupBy(*DIMS).agg(F.sum("n_tokens").cast("double").alias("mass")), "cells")
-    fitted = stored(rake(cells, temper, sweeps), "fitted")
+    if targets is None:
+        fitted, highest = stored(rake(cells, temper, sweeps), "fitted"), BOOST
+    else:
+        fitted = raked_to(cells, targets, temper, tolerance)
+        highest = fitted.agg(F.max("factor")).first()[0] or 1.0
+        fitted = stored(fitted.unionByName(cells.filter("mass = 0").withColumn("factor", F.lit(0.0))), "fitted")
     # a cell without mass holds no tokens, so its documents stay
-    prob = F.when(F.col("mass") > 0, F.col("factor") / F.lit(BOOST)).otherwise(F.lit(1.0))
+    prob = F.when(F.col("mass") > 0, F.col("factor") / F.lit(highest)).otherwise(F.lit(1.0))
     fitted = fitted.select(*DIMS, prob.alias("prob"))
     found = described(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
     if fitted.count() <= FEW_CELLS:
@@ -94,15 +146,19 @@ def with_probability(docs: DataFrame, temper: dict[str, float] = TEMPER, sweeps:
     return found.withColumn("kept", chance(F.col("doc_id")) < F.col("prob"))
 
 
-def mixed(docs: DataFrame, temper: dict[str, float] = TEMPER, sweeps: int = SWEEPS) -> DataFrame:
+def mixed(
+    docs: DataFrame, temper: dict[str, float] = TEMPER, sweeps: int = SWEEPS, targets: dict[str, dict[str, float]] | None = None, tolerance: float = TOLERANCE
+) -> DataFrame:
     """docs: doc_id, text, source, lang. Returns doc_id, source, lang, topic, n_tokens, prob and kept for every row."""
     docs = docs.select("doc_id", "text", "source", "lang")
-    return with_probability(docs, temper, sweeps).select("doc_id", *DIMS, "n_tokens", "prob", "kept")
+    return with_probability(docs, temper, sweeps, targets, tolerance).select("doc_id", *DIMS, "n_tokens", "prob", "kept")
 
 
-def mixed_documents(docs: DataFrame, temper: dict[str, float] = TEMPER, sweeps: int = SWEEPS) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, temper: dict[str, float] = TEMPER, sweeps: int = SWEEPS, targets: dict[str, dict[str, float]] | None = None, tolerance: float = TOLERANCE
+) -> DataFrame:
     """The sampled rows of docs, with the columns that docs has."""
-    return with_probability(docs, temper, sweeps).filter("kept").select("doc.*")
+    return with_probability(docs, temper, sweeps, targets, tolerance).filter("kept").select("doc.*")
 
 
 def chance(doc_id: Column) -> Column:

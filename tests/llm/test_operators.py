@@ -394,6 +394,20 @@ def test_mixing_meets_marginals(docs):
     assert 0.5 < mass.sum() / got.n_tokens.sum() <= 1
 
 
+def test_mixing_meets_stated_targets(spark):
+    own = [(i, "word " * (40 + i) + "7" * (20 * (i % 3 == 0)), "en" if i % 5 else "de", "a" if i % 7 > 1 else "b") for i in range(60)]
+    docs = spark.createDataFrame(own, SCHEMA).coalesce(1)
+    targets = {"lang": {"en": 1, "de": 1}, "source": {"a": 3, "b": 1}}
+    got = rows(mixing.mixed(docs, targets=targets, tolerance=1e-3))
+    mass = got.n_tokens * got.prob
+    assert got.prob.between(0, 1).all() and got.prob.max() == pytest.approx(1)
+    for d, want in targets.items():
+        share = (mass.groupby(got[d]).sum() / mass.sum())[list(want)]
+        assert np.abs(share - np.array(list(want.values())) / sum(want.values())).max() < 2e-3
+    with pytest.raises(ValueError, match="no tokens"):
+        mixing.mixed(docs, targets={"lang": {"none such": 1}})
+
+
 def test_mixing_odd(odd):
     got = rows(mixing.mixed(odd))
     assert len(got) == len(ODD) and set(got[got.n_tokens == 0].topic) <= {"empty", "lines", "prose"} and (got[got.topic == "empty"].prob == 1).all()
