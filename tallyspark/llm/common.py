@@ -5,21 +5,26 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch. Whole texts travel in these batches, so a batch of long texts must stay small.
-BATCH_ROWS = 512
+#: Rows and bytes of one Arrow batch at most (a longer text is a batch of its own). Whole texts travel in these batches.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 #: White space of the data contracts; str.strip and re classes differ outside ASCII.
 SPACE = " \t\n\x0b\x0c\r"
+SPACE_BYTES = frozenset(SPACE.encode())
 
 
 def session(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches by rows; every Python operator of this package calls this first."""
+    """Bound the Arrow batches by rows and bytes; every Python operator of this package calls this first."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
@@ -113,6 +118,101 @@ def shingle_hashes(h: np.ndarray, width: int = 5) -> np.ndarray:
     return mix(out)
 
 
+PIECE_BYTES = 1 << 17
+#: A byte's part of its word's hash; capital letters count as small ones.
+BYTE_VALUE = np.random.default_rng(0x5EED).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+BYTE_VALUE[65:91] = BYTE_VALUE[97:123]
+BASE = 0xD1342543DE82EF95
+
+
+@lru_cache(8)
+def powers(n: int, inverse: bool) -> np.ndarray:
+    """BASE (or its inverse) to the powers 0 to n - 1, modulo 2**64."""
+    out = np.full(n, pow(BASE, -1, 1 << 64) if inverse else BASE, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def is_space(data: np.ndarray) -> np.ndarray:
+    """Where bytes are white space; uint8 arithmetic wraps, so that 9 to 13 become 0 to 4."""
+    return (data - np.uint8(9) <= 4) | (data == 32)
+
+
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 of all texts of a string column, and the n + 1 places where texts begin; nulls are empty."""
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    at = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8) if len(column) else np.zeros(0, np.uint8)
+    return (data[at[0] : at[-1]], at - at[0]) if len(at) else (data, np.zeros(1, np.int64))
+
+
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (uint64) of the words of all texts, in order, and the n + 1 places where each text's words begin. Words are
+    those of words_of(). A word's hash is a polynomial of its bytes, taken from running sums over pieces of the column."""
+    data, bounds = text_bytes(column)
+    out, total, counts = [], 0, np.zeros(len(bounds), np.int64)
+    i = 0
+    while i < len(data):
+        end = min(len(data), i + PIECE_BYTES)
+        while end < len(data) and data[end] not in SPACE_BYTES:  # to the next space, or the next text
+            step = data[end : end + 4096]
+            stop = np.flatnonzero(is_space(step))
+            end += int(stop[0]) if len(stop) else len(step)
+            cut = np.searchsorted(bounds, end, "right") - 1
+            if bounds[cut] > i and bounds[cut] >= end - len(step):
+                end = int(bounds[cut])
+                break
+        part = data[i:end]
+        inside = ~is_space(part)
+        edge = np.searchsorted(bounds, [i, end])
+        first = bounds[edge[0] : edge[1]] - i
+        opens = inside.copy()
+        opens[1:] &= ~inside[:-1]
+        opens[first] = inside[first]
+        closes = inside.copy()
+        closes[:-1] &= ~inside[1:]
+        last = first[first > 0] - 1
+        closes[last] = inside[last]
+        start, stop = np.flatnonzero(opens), np.flatnonzero(closes)
+        n = max(2 * PIECE_BYTES, 1 << int(len(part) - 1).bit_length())
+        sums = np.cumsum(BYTE_VALUE.take(part.astype(np.intp)) * powers(n, False)[: len(part)])
+        before = np.where(start > 0, sums[np.maximum(start - 1, 0)], np.uint64(0))
+        h = (sums[stop] - before) * powers(n, True)[start]
+        out.append(mix(h + (stop - start + 1).astype(np.uint64) * MIX))
+        counts[edge[0] : edge[1]] = total + np.searchsorted(start, first)
+        total += len(start)
+        i = end
+    counts[np.searchsorted(bounds, len(data)) :] = total
+    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), counts
+
+
+def shingles_of(h: np.ndarray, first: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle hashes of many texts at once (word hashes and places, as word_hashes() gives them), and where each
+    text's begin; a non-empty text of fewer words is one shingle. Equal to shingle_hashes() text by text."""
+    n = np.diff(first)
+    many = np.where(n >= width, n - width + 1, np.minimum(n, 1))
+    at = np.concatenate([[0], np.cumsum(many)])
+    # the word at which each shingle begins
+    begin = np.arange(at[-1]) - np.repeat(at[:-1] - first[:-1], many)
+    out = np.empty(len(begin), np.uint64)
+    for i in range(0, len(begin), 1 << 15):
+        own = begin[i : i + (1 << 15)]
+        x = np.full(len(own), width, np.uint64)
+        for k in range(width):
+            x = (x ^ h[np.minimum(own + k, len(h) - 1)]) * MIX
+            x ^= x >> np.uint64(29)
+        out[i : i + len(own)] = mix(x)
+    for k in np.flatnonzero((n > 0) & (n < width)):
+        x = np.full(1, n[k], np.uint64)
+        for w in h[first[k] : first[k + 1]]:
+            x = (x ^ w) * MIX
+            x ^= x >> np.uint64(29)
+        out[at[k]] = mix(x)[0]
+    return out, at
+
+
 #: A side with at most so many rows and bytes may be broadcast; a larger one is joined by shuffle with salt.
 BROADCAST_ROWS, BROADCAST_BYTES, SALTS = 1_000_000, 32 << 20, 16
 

@@ -50,7 +50,7 @@ def op7_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents")).withColumn("prob", F.round("prob", 9))
+    return mixing.mixed(table(spark, sf_dir, "documents")).withColumn("prob", F.round("prob", 6))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
