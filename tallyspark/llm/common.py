@@ -43,14 +43,25 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tallyspark/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet below the shared folder and read it again: lost executors recompute nothing before it."""
     spark = df.sparkSession
-    path = new_dir(spark, name)
-    df.write.parquet(path)
+    path, key = new_dir(spark, name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")  # what this write shuffles is of no use after it
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of new_dir() that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
@@ -233,15 +244,15 @@ def joined(many: DataFrame, few: DataFrame, key: str, how: str = "inner") -> Dat
     return dealt.join(few.withColumn("_salt", salts), [key, "_salt"], how).drop("_salt")
 
 
-def joined_wide(many: DataFrame, few: DataFrame, key: str, weights: DataFrame | None = None) -> DataFrame:
+def joined_wide(many: DataFrame, few: DataFrame, key: str, salted: tuple[str, ...], weights: DataFrame | None = None) -> DataFrame:
     """Like joined(), for a few whose rows are too wide to repeat: only keys with over a thousandth of the rows of
-    weights (a stored table with the same keys as many; many itself if none is given) get salt. There are under 1000."""
+    weights (a stored table with the same keys as many; many itself if none is given) get salt, from the columns salted.
+    There are under 1000."""
     if bytes_of(few) <= BROADCAST_BYTES and few.count() <= BROADCAST_ROWS:
         return many.join(F.broadcast(few), key)
     weights = many if weights is None else weights
     n = weights.count()
     heavy = F.broadcast(weights.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max(1000, n // 1000)).select(key, F.lit(True).alias("_heavy")))
     spread = F.when(F.col("_heavy"), F.array(*(F.lit(i) for i in range(SALTS)))).otherwise(F.array(F.lit(0)))
-    own = [F.col(f"`{c}`") for c in many.columns if c not in ("text", "sketch")]
-    dealt = many.join(heavy, key, "left").withColumn("_salt", F.when(F.col("_heavy"), F.pmod(F.xxhash64(*own), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_heavy")
+    dealt = many.join(heavy, key, "left").withColumn("_salt", F.when(F.col("_heavy"), F.pmod(F.xxhash64(*salted), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_heavy")
     return dealt.join(few.join(heavy, key, "left").withColumn("_salt", F.explode(spread)).drop("_heavy"), [key, "_salt"]).drop("_salt")
