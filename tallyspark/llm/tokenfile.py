@@ -8,9 +8,10 @@ read by two small reads: its index row and its frame.
 Documents are dealt by ranges of doc_id, one file a range, so that files in order hold ascending ids. Only one total
 per file meets on the driver, to place each file's first id in the whole.
 
-Encoding: a text is cut where the tokenizer's byte-level pre-tokenizer always cuts (a run of non-space with one
-space before it; runs of white space), and each distinct piece goes through the tokenizers library once a worker.
-Texts with rare white space or special tokens go through it whole, so the ids are the library's own in all cases.
+Encoding: texts are cut where the tokenizer's byte-level pre-tokenizer always cuts (a run of non-space with one
+space before it; runs of white space), many at once by numpy, pieces are told apart by 64-bit hashes, and each distinct
+piece goes through the tokenizers library once a worker. Texts with rare white space or special tokens, and texts of
+tokenizers with another pre-tokenizer, go through it whole, so the ids are the library's own in all cases.
 
 The dictionary is trained on a bounded sample: about DICT_DOCS documents chosen by a hash of their id, cut to pieces
 of DICT_PIECE bytes. It affects sizes only.
@@ -22,6 +23,7 @@ arbitrary but fixed order (by a hash of the text). An empty table gives no files
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import struct
@@ -37,14 +39,58 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, new_dir, session, stored, write_file
+from .common import MIX, filesystem, is_space, mix, new_dir, session, stored, write_file
 
 END_ID = 2
 DICT_DOCS, DICT_BYTES, DICT_PIECE, LEVEL = 1_000, 32 << 10, 8 << 10, 3
+#: Bytes of text for a file, about.
+FILE_BYTES = 256 << 20
 MAGIC, HEAD, ROW, TAIL = b"TKZ1", "<4s32sI", "<qIIQI", "<QQ"
-#: A text with one of these, or with a special token, is encoded whole: engines differ on what they call space here.
-RARE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
-PIECE = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
+#: A text with one of these, or with a special token, or of more bytes, is encoded whole: engines differ on what they call space here.
+RARE, MOST_BYTES = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]"), 8 << 20
+#: Bytes of texts that are cut together.
+PART_BYTES = 1 << 20
+#: A byte's part of the hash of its piece, and a multiplier for each further place.
+BYTE_VALUE = np.random.default_rng(0x70).integers(1, 1 << 63, 256, dtype=np.uint64)
+FACTOR = np.uint64(0xD1342543DE82EF95)
+
+
+#: Kinds of bytes: 1 letter, 2 digit, 3 other ASCII sign but the apostrophe, which may join what follows; 0 the rest.
+KIND = np.zeros(256, np.uint8)
+KIND[33:127] = 3
+KIND[[*range(65, 91), *range(97, 123)]] = 1
+KIND[48:58] = 2
+KIND[39] = 0
+
+
+def pieces(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where pieces begin in UTF-8 texts (bounds: the n + 1 places where texts begin): a word takes one space before it, and
+    is cut between letters, digits and other signs; of other white space before a word the last sign is a piece, the rest
+    another; white space at a text's end is one piece. The byte-level pre-tokenizer cuts at all these places."""
+    space, edge = is_space(data), np.zeros(len(data) + 1, bool)
+    edge[bounds] = True
+    opens, same = edge[:-1].copy(), space[1:] == space[:-1]
+    opens[1:] |= ~same
+    begin = np.flatnonzero(opens)
+    end = np.append(begin[1:], len(data))
+    run = space[begin]
+    first, last = begin[run], end[run]
+    before_word = ~edge[last]
+    spaced = before_word & (data[last - 1] == 32)
+    opens[last[spaced]] = False
+    opens[first[before_word & (last - first == 1)]] = True
+    opens[last[before_word] - 1] = True
+    kind = KIND.take(data)
+    opens[1:] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+    return np.flatnonzero(opens)
+
+
+def piece_hashes(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    size = np.diff(np.append(begin, len(data)))
+    power = np.multiply.accumulate(np.full(int(size.max()), FACTOR))
+    value = BYTE_VALUE.take(data.astype(np.intp))
+    value *= power.take(np.arange(len(data)) - np.repeat(begin, size))
+    return mix(np.add.reduceat(value, begin) + size.astype(np.uint64) * MIX)
 
 
 class Encoder:
@@ -54,34 +100,94 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.pieces = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
+        made = json.loads(self.tokenizer.to_str())
+        cut = made["pre_tokenizer"] or {}
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        #: Only this pre-tokenizer is known to cut where pieces() does; texts of others are encoded whole.
+        self.known_cut = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and made["normalizer"] is None and len(line) == 1
+        self.line = line[0] if line else -1
+        self.clear()
+
+    def clear(self) -> None:
+        #: Numbers of pieces by hash; where the ids of a numbered piece begin in ids, and how many they are.
+        self.number: dict[int, int] = {}
+        self.ids, self.at, self.many = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def packed(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
+    def whole(self, text: str) -> bytes:
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def add(self, keys: list[int], texts: list[str]) -> None:
+        """Number these pieces. Words go through the library together, a line each: a line end is a token of its own."""
+        space = [t[-1].isspace() for t in texts]
+        words = [t for t, x in zip(texts, space, strict=True) if not x]
+        spaces = [t for t, x in zip(texts, space, strict=True) if x]
+        made, many = [self.ids], [self.many]
+        for e in self.tokenizer.encode_batch_fast(["\n".join(words[i : i + 1_000]) for i in range(0, len(words), 1_000)], add_special_tokens=False):
+            ids = np.array(e.ids, np.int64)
+            ends = np.flatnonzero(ids == self.line)
+            many.append(np.diff(np.concatenate([[-1], ends, [len(ids)]])) - 1)
+            made.append(ids[ids != self.line].astype(self.kind))
+        for e in self.tokenizer.encode_batch_fast(spaces, add_special_tokens=False):
+            many.append(np.array([len(e.ids)]))
+            made.append(np.array(e.ids, self.kind))
+        n = len(self.many)
+        order = sorted(range(len(texts)), key=space.__getitem__)
+        self.number.update(zip((keys[i] for i in order), range(n, n + len(texts)), strict=True))
+        self.ids, self.many = np.concatenate(made), np.concatenate(many)
+        self.at = np.cumsum(self.many) - self.many
+
+    def flat(self, which: np.ndarray) -> np.ndarray:
+        """The ids of these numbered pieces, one after another."""
+        many = self.many[which]
+        ends = np.cumsum(many)
+        return self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.at[which] - ends + many, many)]
+
+    def cut(self, texts: list[bytes]) -> list[bytes]:
+        """Non-empty UTF-8 texts without anything rare."""
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        bounds = np.cumsum([0] + [len(t) for t in texts])
+        begin = pieces(data, bounds)
+        keys, first, at = np.unique(piece_hashes(data, begin), return_index=True, return_inverse=True)
+        keys = keys.tolist()
+        if len(self.number) > self.most:
+            self.clear()
+        if new := [i for i, h in enumerate(keys) if h not in self.number]:
+            begins, ends = begin[first[new]], np.append(begin[1:], len(data))[first[new]]
+            raw = data.tobytes()
+            self.add([keys[i] for i in new], [raw[i:j].decode() for i, j in zip(begins.tolist(), ends.tolist(), strict=True)])
+        which = np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))[at]
+        ids = self.flat(which)
+        ends = np.concatenate([[0], np.cumsum(self.many[which])])[np.searchsorted(begin, bounds)] * self.width
+        out = ids.tobytes()
+        return [out[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed; without an end id."""
-        cut = [None if RARE.search(t) or self.special.search(t) else PIECE.findall(t) for t in texts]
-        new = set()
-        for x in cut:
-            if x is not None:
-                new.update(x)
-        new = list(new.difference(self.pieces))
-        if len(self.pieces) + len(new) > self.most:
-            self.pieces.clear()
-            new = list(set().union(*(x for x in cut if x is not None)))
-        # a letter before a last '.' or ',' always ends its token: encode the word once, with and without the sign
-        stem = {p: p[:-1] for p in new if p[-1] in ".," and len(p) > 1 and p[-2].isalpha()}
-        first = list({*stem.values(), *(x for p in stem if (x := p[-1])), *(p for p in new if p not in stem)}.difference(self.pieces))
-        for i in range(0, len(first), 5_000):
-            part = first[i : i + 5_000]
-            self.pieces.update(zip(part, (self.packed(e.ids) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        self.pieces.update((p, self.pieces[base] + self.pieces[p[-1]]) for p, base in stem.items())
-        get = self.pieces.__getitem__
-        return [self.packed(self.tokenizer.encode(t, add_special_tokens=False).ids) if x is None else b"".join(map(get, x)) for t, x in zip(texts, cut, strict=True)]
+        out: list[bytes | None] = [None] * len(texts)
+        part, size = [], 0
+        for i, t in enumerate(texts):
+            if not t:
+                out[i] = b""
+            elif not self.known_cut or len(t) > MOST_BYTES or RARE.search(t) or self.special.search(t):
+                out[i] = self.whole(t)
+            else:
+                part.append((i, t.encode()))
+                size += len(part[-1][1])
+            if size > PART_BYTES:
+                for (k, _), ids in zip(part, self.cut([x for _, x in part]), strict=True):
+                    out[k] = ids
+                part, size = [], 0
+        if part:
+            for (k, _), ids in zip(part, self.cut([x for _, x in part]), strict=True):
+                out[k] = ids
+        return out
 
 
 @lru_cache(2)
@@ -145,7 +251,8 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int | None = END_ID) ->
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     folder, data = new_dir(spark, "tokens"), trained(docs, tokenizer_path)
     write_file(f"{folder}/{hashlib.sha256(data).hexdigest()}.dict", data)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // FILE_BYTES + 1)
     dealt = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     return folder, stored(dealt.mapInArrow(writer(tokenizer_path, folder, data, end_id), "part long, file string, n_docs long, n_tokens long"), "token-files")
 
