@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value of the data format: what stands between a project's slug and a worktree's name.
 MARKER = "--claude-worktrees-"
+#: The ports that go without saying.
 PORTS = {"http": "80", "https": "443", "ftp": "21", "ws": "80", "wss": "443"}
 
 
@@ -33,8 +34,12 @@ def parent_path(path: Column) -> Column:
     return F.when(found == "", path).otherwise(found)
 
 
+#: Fixed value: where home folders lie.
+HOME = r"^(/(Users|home)/[^/]+|[A-Za-z]:\\Users\\[^\\]+)"
+
+
 def display_path(path: Column) -> Column:
-    return F.regexp_replace(path, r"^(/(Users|home)/[^/]+|[A-Za-z]:\\Users\\[^\\]+)", "~")
+    return F.regexp_replace(path, HOME, "~")
 
 
 def display_name(path: Column) -> Column:

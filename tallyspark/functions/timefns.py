@@ -69,6 +69,15 @@ def zoned_instant(day: Column, ms: Column, tz: str) -> Column:
     return F.when(second != first, wall - second).otherwise(guess).cast("long")
 
 
+#: Days without activity after which a project is stale.
+STALE_DAYS = 90
+
+
+def days_since(day: Column, today: str) -> Column:
+    """Whole days from a date to today, 0 at least."""
+    return F.greatest(F.lit(0), F.datediff(F.to_date(F.lit(today)), F.to_date(day)))
+
+
 def floor_hour(ms: Column) -> Column:
     return ms - F.pmod(ms, F.lit(HOUR_MS))
 

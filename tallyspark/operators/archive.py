@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .events import KEY, total
+from .events import KEY, TOKENS, total
 
 MOST_PAGE, MOST_PAIRS = 5_000, 5_000
 PAIR = ["project_slug", "session_id"]
@@ -39,6 +39,69 @@ def forgotten(log: DataFrame, pairs: DataFrame, machine_id: str | None = None) -
     return both.filter(~hit).drop("_hit"), both.filter(hit).drop("_hit")
 
 
+def forgotten_in_batches(log: DataFrame, pairs: DataFrame, machine_id: str | None = None, most: int = MOST_PAIRS) -> tuple[DataFrame, DataFrame]:
+    """Forget any number of pairs in requests of at most `most` pairs: (rows that stay, a row for each batch: batch,
+    n_pairs, n_removed). Batches go by rank of the pairs; all are dealt with in one join."""
+    pairs = pairs.select(*PAIR).distinct()
+    ranked = pairs.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(*PAIR)) - 1) / most))
+    rows = log.filter(F.col("machine_id") == machine_id) if machine_id is not None else log
+    hits = rows.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n"))
+    told = ranked.join(hits, PAIR, "left").groupBy("batch").agg(F.count(F.lit(1)).alias("n_pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_removed"))
+    return forgotten(log, pairs, machine_id)[0], told
+
+
+def applied(replica: DataFrame, rows: DataFrame, epoch: str, of: str) -> tuple[DataFrame, str, int]:
+    """A pulled page on a replica: (replica, epoch, cursor). A page of another epoch replaces it. Of rows with one key the
+    fuller stays, the one that is held of equals; the cursor is the page's last seq even if no row of it won."""
+    cursor = rows.agg(F.max("seq")).first()[0] or 0
+    if epoch != of:
+        return compacted(rows), epoch, cursor
+    held = replica.withColumn("_feed", F.lit(0)).unionByName(rows.withColumn("_feed", F.lit(1)))
+    over = Window.partitionBy(*KEY).orderBy(total().desc(), "_feed", "seq")
+    return held.withColumn("_rn", F.row_number().over(over)).filter("_rn = 1").drop("_rn", "_feed"), epoch, max(cursor, replica.agg(F.max("seq")).first()[0] or 0)
+
+
+def pulled(replica: DataFrame, hub: DataFrame, epoch: str, of: str, most: int = MOST_PAGE) -> tuple[DataFrame, int]:
+    """A replica after pulling everything a hub has beyond it, all of it if the epochs differ: (replica, pages). Broken
+    rows (no key or negative counts) are left out. Page borders don't change the result, so the pages are one job."""
+    since = 0 if epoch != of else replica.agg(F.max("seq")).first()[0] or 0
+    fresh = hub.filter(F.col("seq") > since).filter(F.col("message_id").isNotNull() & (F.least(*TOKENS) >= 0))
+    pages = -(-hub.filter(F.col("seq") > since).count() // most)
+    return applied(replica, fresh, epoch, of)[0], pages
+
+
+def rebuilt(rescan: DataFrame, archive: DataFrame, replica: DataFrame) -> DataFrame:
+    """The store anew: transcripts first, then the archive, then what others have sent."""
+    from .events import united
+
+    return united(rescan, archive, replica)
+
+
+def exchanged(mine: DataFrame, hub: DataFrame, floor: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Limit samples of both sides: (mine with the hub's that are newer than my latest, what the hub still lacks: mine
+    after its latest or the retained floor, whichever is earlier)."""
+    latest = lambda df: df.agg(F.max("captured_at")).first()[0] or 0
+    own, theirs = latest(mine), latest(hub)
+    push = mine.filter(F.col("captured_at") > min(theirs, floor) if floor else F.col("captured_at") > theirs)
+    return merged_samples(mine, hub.filter(F.col("captured_at") > own)), push.join(hub.select("captured_at"), "captured_at", "left_anti")
+
+
+def storage_totals(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
+    """segment, n_files and n_bytes of each root; a root that isn't there has none. Listing only, no file is opened."""
+    out = spark.createDataFrame([(k,) for k in sorted(roots)], "segment string")
+    found = None
+    for name, root in roots.items():
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            continue
+        part = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.lit(name).alias("segment"), "length")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return out.withColumns({"n_files": F.lit(0).cast("long"), "n_bytes": F.lit(0).cast("long")})
+    sums = found.groupBy("segment").agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("n_bytes"))
+    return out.join(sums, "segment", "left").na.fill(0, ["n_files", "n_bytes"])
+
+
 def unbacked(log: DataFrame, transcripts: DataFrame, me: str) -> DataFrame:
     """Sessions of mine in the log that no transcript has any more: rows, by rows, slug and session."""
     mine = log.filter(F.col("machine_id") == me)

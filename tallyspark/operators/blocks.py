@@ -59,8 +59,9 @@ def in_window(events: DataFrame, windows: DataFrame, how: str = "left") -> DataF
 
 def window_peaks(windows: DataFrame, samples: DataFrame) -> DataFrame:
     """windows with peak: the largest utilisation sampled in [start, end], null if none was."""
-    s = samples.select("captured_at", "util")
-    met = windows.join(s, (F.col("captured_at") >= F.col("start")) & (F.col("captured_at") <= F.col("end")), "left")
+    w = windows.withColumn("_h", F.explode(F.sequence(T.floor_hour(F.col("start")), T.floor_hour(F.col("end")), F.lit(T.HOUR_MS))))
+    s = samples.select("captured_at", "util", T.floor_hour(F.col("captured_at")).alias("_hour"))
+    met = w.join(s, (F.col("_h") == F.col("_hour")) & (F.col("captured_at") >= F.col("start")) & (F.col("captured_at") <= F.col("end")), "left")
     return met.groupBy(*windows.columns).agg(F.max("util").alias("peak"))
 
 
@@ -161,6 +162,14 @@ def with_limit(found: DataFrame, samples: DataFrame) -> DataFrame:
     return out.withColumn("limit_pct", pct).drop("peak", "_latest")
 
 
+def active_frame(found: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Of each key the active block (start, end) and the block before it (prev_start, prev_end, null if there is none):
+    what an intraday frame of the running block compares. found: blocks with active."""
+    over = Window.partitionBy(*(keys or [])).orderBy("start")
+    out = found.withColumns({"prev_start": F.lag("start").over(over), "prev_end": F.lag("end").over(over)}).filter("active")
+    return out.select(*(keys or []), "start", "end", "source", "prev_start", "prev_end")
+
+
 def starting_within(found: DataFrame, tz: str, since: str | None = None, until: str | None = None) -> DataFrame:
     """Blocks or gaps whose start's local date (YYYY-MM-DD) is within the bounds."""
     day = T.local_date(T.from_ms(F.col("start")), tz)

@@ -32,8 +32,8 @@ def series(events: DataFrame, axes: list[str], labels: DataFrame, label: str = "
         long = long.filter(F.col("model") != "Unknown")
     cube = long.groupBy(label, *axes).agg(F.sum("value").alias("value"))
     grid = labels.select(label)
-    for a in axes:  # axis domains are small: one row a value
-        grid = grid.crossJoin(F.broadcast(cube.select(a).distinct()))
+    for a in axes:  # the dense series are the product of labels and axis values, by definition
+        grid = grid.crossJoin(cube.select(a).distinct())
     return grid.join(cube, [label, *axes], "left").na.fill(0, ["value"])
 
 

@@ -1,4 +1,4 @@
-"""Machines, project identities and merge assertions. These are small dimensions: they are resolved once and broadcast."""
+"""Machines, project identities and merge assertions. Facts join them as Spark sees fit: by broadcast while they are small."""
 
 from __future__ import annotations
 
@@ -39,7 +39,7 @@ def alias_targets(machines: DataFrame) -> DataFrame:
 
 def folded(rows: DataFrame, key: str, mapping: DataFrame, sums: list[str], others: list[str] = []) -> DataFrame:  # noqa: B006
     """rows summed by the target of their key; keys without one stand for themselves."""
-    own = rows.join(F.broadcast(mapping.withColumnsRenamed({mapping.columns[0]: key, mapping.columns[1]: "_to"})), key, "left")
+    own = rows.join(mapping.withColumnsRenamed({mapping.columns[0]: key, mapping.columns[1]: "_to"}), key, "left")
     own = own.withColumn(key, F.coalesce("_to", key)).drop("_to")
     return own.groupBy(key, *others).agg(*(F.sum(c).alias(c) for c in sums))
 
@@ -107,7 +107,7 @@ def worktree_fold(report: DataFrame, sums: list[str], others: list[str] = [], gr
     own = report.withColumn("_slug", paths.parent_slug(F.col("project_slug")))
     key = F.col("_slug")
     if groups is not None:
-        own = own.join(F.broadcast(groups.select(F.col("project_slug").alias("_slug"), "group_key")), "_slug", "left")
+        own = own.join(groups.select(F.col("project_slug").alias("_slug"), "group_key"), "_slug", "left")
         key = F.coalesce("group_key", "_slug")
     return own.groupBy(key.alias("group"), *others).agg(F.min("_slug").alias("representative"), F.count_distinct("project_slug").alias("n_members"), *(F.sum(c).alias(c) for c in sums))
 
@@ -122,6 +122,20 @@ def roster(machines: DataFrame, clients: DataFrame, events: DataFrame, pushes: D
     return out.orderBy(F.col("live").desc_nulls_last(), F.col("last_seen").desc_nulls_last(), "name")
 
 
+def merge_candidates(catalog: DataFrame, anchor: str) -> DataFrame:
+    """What a project may be merged into: catalog (anchor, identity, label, path) by anchor, without those of its own
+    identity; best first by rank: 100 less the number of path parts that both end with, 10,000 if not even the last is
+    the same; then by label."""
+    over = Window.partitionBy("anchor").orderBy("label", "path")
+    once = catalog.withColumn("_rn", F.row_number().over(over)).filter("_rn = 1").drop("_rn")
+    own = once.filter(F.col("anchor") == anchor).select(F.col("identity").alias("_identity"), F.col("path").alias("_path"))  # one row
+    both = once.filter(F.col("anchor") != anchor).crossJoin(F.broadcast(own)).filter("identity != _identity")
+    parts = lambda c: F.reverse(F.filter(F.split(c, r"[/\\\\]"), lambda s: s != ""))
+    same = F.aggregate(F.arrays_zip(parts(F.col("path")).alias("a"), parts(F.col("_path")).alias("b")), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")),
+        lambda acc, x: F.struct((acc["n"] + (acc["on"] & F.coalesce(x["a"] == x["b"], F.lit(False))).cast("int")).alias("n"), (acc["on"] & F.coalesce(x["a"] == x["b"], F.lit(False))).alias("on")))["n"]
+    return both.withColumn("rank", F.when(same == 0, 10_000).otherwise(100 - same)).select("anchor", "label", "rank").orderBy("rank", "label")
+
+
 def options(report: DataFrame) -> DataFrame:
     """Project options by slug; ambiguous names carry their path."""
     same = F.count(F.lit(1)).over(Window.partitionBy("name")) > 1

@@ -159,6 +159,23 @@ def top_family(events: DataFrame, keys: list[str]) -> DataFrame:
     return per.groupBy(*keys).agg(F.max(F.when(F.col("cost") > 0, F.struct("cost", "family")))["family"].alias("top_family"))
 
 
+def shares(report: DataFrame, value: str = "cost") -> DataFrame:
+    """report with share, each row's part of the sum over these rows in whole percent (.5 up), null where that is 0."""
+    whole = F.sum(value).over(Window.partitionBy())
+    return report.withColumn("share", F.when(whole > 0, T.half_up(100 * F.col(value) / whole)))
+
+
+def series_summary(rows: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """Total, largest and mean value of each series; null for one without values."""
+    return rows.groupBy(*keys).agg(F.sum(value).alias("total"), F.max(value).alias("most"), F.avg(value).alias("mean"))
+
+
+def bar_scaled(report: DataFrame, value: str = "cost") -> DataFrame:
+    """report with bar, each value's part of the largest one in these rows, 0 at least."""
+    most = F.greatest(F.max(value).over(Window.partitionBy()), F.lit(0.0))
+    return report.withColumn("bar", F.when(most > 0, F.greatest(F.col(value), F.lit(0.0)) / most).otherwise(0.0))
+
+
 def token_bands(report: DataFrame) -> DataFrame:
     """Each row's tokens by band, long: key columns, band, value."""
     keys = [c for c in report.columns if c not in (*SUMS, "n_events", "models", "breakdown")]

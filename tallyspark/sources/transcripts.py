@@ -53,7 +53,9 @@ def parsed(rows: DataFrame) -> DataFrame:
 def identity(path: Column, root: str) -> tuple[Column, Column]:
     """Project slug and session of a file below a root: its first folder, and the next part without its ending, so that
     files of nested agents belong to their parent session; a file at the root itself has the slug ''."""
-    parts = F.split(F.regexp_replace(path, "^.*?" + root.rstrip("/").replace(".", r"\.") + "/", ""), "/")
+    root = root.rstrip("/").removeprefix("file://") + "/"
+    at = F.instr(path, F.lit(root))
+    parts = F.split(F.when(at > 0, F.substring(path, at + len(root), F.length(path))).otherwise(path), "/")
     strip = lambda c: F.regexp_replace(c, r"\.jsonl$", "")
     return F.when(F.size(parts) > 1, parts[0]).otherwise(""), F.when(F.size(parts) > 1, strip(parts[1])).otherwise(strip(parts[0]))
 
