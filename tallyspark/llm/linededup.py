@@ -1,31 +1,36 @@
 """Line dedup with two Bloom filters: once-seen and twice-seen hashes name the suspects, exact text confirms them.
 
-1. Every document gives the distinct 64-bit hashes of its long line keys; only these 8 bytes are dealt, by hash,
-   to filter shards. A shard task streams its hashes through a once-seen and a twice-seen Bloom filter of fixed
-   size and returns the hashes that the twice-seen filter holds: each key that repeats, and a few that don't.
-2. Lines whose hash is suspected, and no others, are shuffled by their whole key, which counts documents and finds
+1. Every document gives the distinct 64-bit hashes of its long line keys. These 8 bytes, once a task, are dealt by hash
+   range to filter shards. A shard streams its hashes through a once-seen and a twice-seen Bloom filter of fixed size
+   (twice |= once & new; once |= new), keeps no hash, and stores its twice-seen filter as a file in the shared folder.
+2. The hashes pass their shard's filter again: those that it holds are suspects. None that repeats is missing; of the
+   others a few pass.
+3. Only suspected lines travel with their text: they are shuffled by their whole key, which counts documents and finds
    the largest document id exactly. Keys under the threshold and false suspects end here.
-3. Each document drops the confirmed keys that it isn't the keeper of.
+4. Each document drops the confirmed keys that it isn't the keeper of.
 
-A key of a third of all documents is one hash per input task in step 1 and a partial count in step 2; its join with
-the documents that hold it is salted. Defined cases: null text is one empty line; lines repeated inside a document
-count once; rows with equal ids count as one document; a null id is a document that is never the largest.
-Empty tables give empty results.
+A key of a third of all documents is one hash per input task in step 1 and a partial count in step 3; its join with
+the documents that hold it is salted. Few suspects are found among a task's lines by broadcast; many are joined by hash
+alone, with the document's row and the line's place, and the texts of the lines that are left follow by row. Defined
+cases: null text is one empty line; lines repeated inside a document count once; rows with equal ids count as one
+document; a null id is a document that is never the largest. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, joined, mix, session, stored
+from .common import BROADCAST_BYTES, BROADCAST_ROWS, SPACE, bytes_of, filesystem, joined, mix, new_dir, session, stored, write_file
 
 MIN_CHARS, MIN_DOCS = 40, 5
-#: Hashes a shard takes on average, and bits of each of its two filters (16 a hash, 4 probes: 0.2 % false suspects).
+#: Hashes a shard takes on average at most, and bits of each of its two filters (16 a hash, 4 probes: 0.2 % false suspects).
 SHARD_HASHES, FILTER_BITS, PROBES = 1_000_000, 1 << 24, 4
 UPPER, LOWER, BLANK = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "' \\t\\n\\u000B\\f\\r'"
 
@@ -53,18 +58,16 @@ class Bloom:
         return found
 
 
-def repeated(batches: Iterator[tuple[np.ndarray, np.ndarray]], bits: int = FILTER_BITS) -> np.ndarray:
-    """The distinct hashes that the twice-seen filter holds after all have passed; none that repeats is missing.
+def twice_seen(batches: Iterator[tuple[np.ndarray, np.ndarray]], bits: int = FILTER_BITS) -> Bloom:
+    """The twice-seen filter after all hashes have passed: it holds every one that repeats.
     batches: hashes, and for each whether it is known to repeat already."""
-    once, twice, met = Bloom(bits), Bloom(bits), []
+    once, twice = Bloom(bits), Bloom(bits)
     for h, known in batches:
         own, at, n = np.unique(h.view(np.uint64), return_inverse=True, return_counts=True)
         again = (n > 1) | once.has(own) | (np.bincount(at, known, len(own)) > 0)
         twice.add(own[again])
         once.add(own[~again])
-        met.append(own)
-    met = np.unique(np.concatenate(met)) if met else np.zeros(0, np.uint64)
-    return met[twice.has(met)]
+    return twice
 
 
 def local_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,9 +78,48 @@ def local_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(own[i : i + 100_000]), pa.array(n[i : i + 100_000] > 1)], ["h", "again"])
 
 
-def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found = repeated((b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches)
-    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["h"])
+def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
+    """Batches whose first column is the shard, in order of it -> each shard with its batches."""
+
+    def parts() -> Iterator[tuple[int, pa.RecordBatch]]:
+        for b in batches:
+            s = b.column(0).to_numpy(zero_copy_only=False)
+            edge = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]])).tolist() if len(s) else []
+            for i, j in zip(edge[:-1], edge[1:], strict=True):
+                yield int(s[i]), b.slice(i, j - i)
+
+    for shard, own in groupby(parts(), lambda x: x[0]):
+        yield shard, (b for _, b in own)
+
+
+def filters(folder: str, bits: int):
+    """mapInArrow: shard, h, again -> a filter file a shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, place = filesystem(folder)
+        for shard, own in by_shard(batches):
+            twice = twice_seen(((b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)) for b in own), bits)
+            part = f"{uuid.uuid4().hex}.part"
+            write_file(f"{folder}/{part}", twice.data.tobytes())
+            fs.move(f"{place}/{part}", f"{place}/{shard}.bloom")  # a retried task puts the same in its place
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32())], ["shard"])
+
+    return run
+
+
+def suspects(folder: str, bits: int):
+    """mapInArrow: shard, h -> the hashes that their shard's filter holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, place = filesystem(folder)
+        for shard, own in by_shard(batches):
+            twice = Bloom(bits)
+            with fs.open_input_file(f"{place}/{shard}.bloom") as f:
+                twice.data = np.frombuffer(f.read(), np.uint8)
+            for b in own:
+                yield b.filter(pa.array(twice.has(b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))).select(["h"])
+
+    return run
 
 
 def key_of(line: Column) -> Column:
@@ -93,14 +135,31 @@ def long_keys(text: Column, least: int) -> Column:
     return F.array_distinct(F.filter(F.transform(lines_of(text), key_of), lambda k: F.length(k) >= least))
 
 
+def held_by_row(docs: DataFrame, found: DataFrame, min_chars: int) -> DataFrame:
+    """doc_id and key of suspected lines where suspects are too many to broadcast: only hashes are joined with them, with
+    row and place; the texts of rows with suspected lines are read again from a stored copy, by row."""
+    rows = stored(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "line-rows", "zstd")
+    lines = rows.select("row", F.posexplode(long_keys(F.col("text"), min_chars)).alias("at", "key")).select("row", "at", F.xxhash64("key").alias("h"))
+    places = stored(joined(lines, found, "h").groupBy("row").agg(F.collect_list("at").alias("places")), "line-places")
+    both = rows.join(places, "row").withColumn("keys", long_keys(F.col("text"), min_chars))
+    return both.select("doc_id", F.explode(F.transform("places", lambda i: F.col("keys")[i])).alias("key"))
+
+
 def dropped_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id and drop: of each document that loses lines, the keys that it loses."""
     spark = session(docs.sparkSession)
     keys = docs.select("doc_id", F.explode(long_keys(F.col("text"), min_chars)).alias("key"))
     hashes = stored(keys.select(F.xxhash64("key").alias("h")).mapInArrow(local_hashes, "h long, again boolean"), "line-hashes")
-    parts = max(hashes.count() // SHARD_HASHES + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = stored(hashes.repartition(parts, "h").mapInArrow(suspects, "h long"), "line-suspects")
-    held = joined(keys.withColumn("h", F.xxhash64("key")), found, "h")
+    shards, folder = hashes.count() // SHARD_HASHES + 1, new_dir(spark, "line-filters")
+    shards = max(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shard = F.floor((F.shiftrightunsigned("h", 33) * shards) / (1 << 31)).cast("int")
+    dealt = hashes.select(shard.alias("shard"), "h", "again").repartitionById(shards, "shard")
+    stored(dealt.mapInArrow(filters(folder, FILTER_BITS), "shard int"), "line-filters-done")
+    found = stored(dealt.select("shard", "h").mapInArrow(suspects(folder, FILTER_BITS), "h long").distinct(), "line-suspects")
+    if bytes_of(found) <= BROADCAST_BYTES and found.count() <= BROADCAST_ROWS:
+        held = keys.withColumn("h", F.xxhash64("key")).join(F.broadcast(found), "h")
+    else:
+        held = held_by_row(docs, found, min_chars)
     held = stored(held.groupBy("key", "doc_id").agg(F.lit(1).alias("one")), "line-held")
     sure = held.groupBy("key").agg(F.count("one").alias("n_docs"), F.max("doc_id").alias("keeper")).filter(F.col("n_docs") >= min_docs)
     lost = joined(held, stored(sure, "line-sure"), "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
