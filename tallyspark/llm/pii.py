@@ -1,7 +1,7 @@
 """Personal data: patterns, and a linear-chain conditional random field over word shapes for what patterns miss.
 
-The field is trained once on the driver, from a small table of labelled sentences (sentence, position, token, tag);
-`labelled()` makes the default one from templates. Its weights (under 1 MB) travel with the tasks. Inside a task the
+The field is trained once on the driver, from a small table of labelled sentences (sentence, position, token, tag), at
+most MOST_TOKENS tokens of it; `labelled_table()` makes the default one from templates. Its weights (under 1 MB) travel with the tasks. Inside a task the
 tokens near an anchor (a token with a digit or '@', or a spelt-out address) form windows; all windows of an Arrow
 batch are decoded together by Viterbi, one numpy step a position. A token away from every anchor has only letters
 and is outside by definition of the kinds, so whole texts are covered.
@@ -18,20 +18,22 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import session
+from .common import SPACE, session
 
 KINDS = ("email", "ip", "card", "phone", "secret", "id")
 #: email is [A-Za-z0-9._%+-]+ and then this; it is sought from each '@' backwards, so that a long run costs its length once.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 HOST = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: ip is [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+); chains of any length are cut to fours, so that a long run of digits costs its length once.
+CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]")
@@ -59,11 +61,26 @@ def emails(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def addresses(text: str) -> list[tuple[int, int, str]]:
+    """Leftmost non-overlapping fours of numbers with single dots between, all at most 255."""
+    out = []
+    for m in CHAIN.finditer(text):
+        parts = m.group().split(".")
+        at = m.start()
+        for i in range(0, len(parts) - len(parts) % 4, 4):
+            own = parts[i : i + 4]
+            end = at + sum(map(len, own)) + 3
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in own):
+                out.append((at, end, "ip"))
+            at = end + 1
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) by start, then by the order of kinds."""
     found = emails(text)
     if re.search("[0-9]", text):
-        found += [(m.start(), m.end(), "ip") for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m.group().split("."))]
+        found += addresses(text)
         for m in CARD.finditer(text):
             digits = NOT_DIGIT.sub("", m.group())
             if 12 <= len(digits) <= 19 and luhn(digits):
@@ -80,9 +97,9 @@ WORDS = frozenset("at dot call phone tel mobile fax card visa number password to
 
 
 def shape(token: str) -> str:
-    """Letters to a or A, digits to 9, runs to one sign; signs stay."""
-    s = "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in token[:64])
-    return re.sub(r"(.)\1+", r"\1", s)[:16]
+    """Letters to a or A, digits to 9, runs to one sign; signs stay. Of the whole token, however long."""
+    s = "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in token)
+    return re.sub(r"(.)\1+", r"\1", s)
 
 
 def traits(token: str) -> list[str]:
@@ -91,7 +108,7 @@ def traits(token: str) -> list[str]:
     digits = sum(c.isdigit() for c in token)
     mixed = "mixed" if digits >= 2 and len(core) >= 12 and s.count("9") >= 2 else "plain"
     word = core.lower()
-    return [f"s{s}", f"d{min(digits, 20)}", f"l{min(len(core), 24) // 4}", mixed, "@" * ("@" in token) + "=" * ("=" in token) + "." * ("." in core), f"w{word if word in WORDS else ''}", f"{s[:1]}{s[-1:]}{digits > 0}"]
+    return [f"s{s}", f"d{digits}", f"l{len(core) // 4}", mixed, "@" * ("@" in token) + "=" * ("=" in token) + "." * ("." in core), f"w{word if word in WORDS else ''}", f"{s[:1]}{s[-1:]}{digits > 0}"]
 
 
 def feature_ids(tokens: list[str]) -> np.ndarray:
@@ -204,40 +221,68 @@ def labelled(n: int = 400, seed: int = 7) -> list[tuple[list[str], list[str]]]:
 
 TOKEN = re.compile(r"\S+")
 ANCHOR = re.compile(r"[0-9@]")
-SPELT = re.compile(r"\S+ [(\[]?at[)\]]? \S+ [(\[]?dot[)\]]? \S+")
-REACH, MOST = 48, 200
+AT, DOT = re.compile(r" [(\[]?at[)\]]? (?=\S)"), re.compile(r" [(\[]?dot[)\]]? (?=\S)")
+SPACES = re.compile(r"[ \t\n\r\x0b\x0c]")
+#: Characters around an anchor that are decoded with it, and more up to whole tokens; tokens that are padded to one length together.
+REACH, PADDED = 48, 40_000
 TRIM_LEFT, TRIM_RIGHT = "\"'([<", "\"').,;:]>!?"
 
 
+def token_end(text: str, at: int) -> int:
+    m = SPACES.search(text, at)
+    return m.start() if m else len(text)
+
+
+def token_start(text: str, at: int, least: int) -> int:
+    return 1 + max([least - 1, *(text.rfind(c, least, at) for c in SPACE)])
+
+
+def spelt(text: str) -> Iterator[int]:
+    """Where addresses like 'name at host dot org' begin, and where they end."""
+    for m in AT.finditer(text):
+        if dot := DOT.match(text, token_end(text, m.end())):
+            yield token_start(text, m.start(), max(0, m.start() - REACH))
+            yield token_end(text, dot.end()) - 1
+
+
 def windows(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Token spans of the stretches around anchors; a stretch of many tokens is given in pieces of MOST."""
+    """Token spans of the stretches around anchors; stretches are disjoint and hold whole tokens."""
     anchors = [m.start() for m in ANCHOR.finditer(text)]
     if " dot" in text or "dot)" in text or "dot]" in text:
-        anchors = sorted([*anchors, *(i for m in SPELT.finditer(text) for i in (m.start(), m.end() - 1))])
-    i = 0
+        anchors = sorted([*anchors, *spelt(text)])
+    i = end = 0
     while i < len(anchors):
-        first = last = anchors[i]
-        while i < len(anchors) and anchors[i] - last <= 2 * REACH:
-            last = anchors[i]
+        if anchors[i] < end:
             i += 1
-        a, b = max(0, first - REACH), min(len(text), last + REACH)
-        while a > 0 and not text[a - 1].isspace() and a > first - 4 * REACH:
-            a -= 1
-        while b < len(text) and not text[b].isspace() and b < last + 4 * REACH:
-            b += 1
-        found = [(m.start(), m.end()) for m in TOKEN.finditer(text, a, b)]
-        for j in range(0, len(found), MOST):
-            yield found[j : j + MOST]
+            continue
+        a = token_start(text, max(end, anchors[i] - REACH), end)
+        end = token_end(text, min(len(text), anchors[i] + REACH))
+        while i < len(anchors) and anchors[i] - REACH <= end:
+            if anchors[i] + REACH > end:
+                end = token_end(text, min(len(text), anchors[i] + REACH))
+            i += 1
+        yield [(m.start(), m.end()) for m in TOKEN.finditer(text, a, end)]
+
+
+def batches_of(own: list[tuple[int, list[tuple[int, int]]]]) -> Iterator[list[tuple[int, list[tuple[int, int]]]]]:
+    """Stretches, shortest first, so many at a time that padding them to one length stays within PADDED tokens; a longer
+    one is decoded by itself, in one run."""
+    part: list[tuple[int, list[tuple[int, int]]]] = []
+    for x in sorted(own, key=lambda x: len(x[1])):
+        if part and (len(part) + 1) * len(x[1]) > PADDED:
+            yield part
+            part = []
+        part.append(x)
+    if part:
+        yield part
 
 
 def decoded(texts: list[str], model: tuple[np.ndarray, np.ndarray]) -> list[list[tuple[int, int, str]]]:
     """Spans by the field for each text: runs of tokens of one kind, without the punctuation around them."""
     w, move = model
-    own = [(i, s) for i, t in enumerate(texts) for s in windows(t)]
-    own.sort(key=lambda x: len(x[1]))
+    own = [(i, s) for i, t in enumerate(texts) for s in windows(t) if s]
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    for k in range(0, len(own), 256):
-        part = own[k : k + 256]
+    for part in batches_of(own):
         ids, mask = padded([feature_ids([texts[i][a:b] for a, b in s]) for i, s in part])
         path = viterbi(w[ids].sum(2), mask, move)
         for (i, s), tags in zip(part, path, strict=True):
@@ -261,24 +306,57 @@ def decoded(texts: list[str], model: tuple[np.ndarray, np.ndarray]) -> list[list
 
 def merged(base: list[tuple[int, int, str]], more: Iterable[tuple[int, int, str]]) -> list[tuple[int, int, str, bool]]:
     """Base spans, and those of more that overlap none of them; by start, then kind."""
-    out = [(*s, True) for s in base]
-    out += [(*s, False) for s in more if all(s[1] <= a or b <= s[0] for a, b, _ in base)]
+    held: list[list[int]] = []  # what base spans cover, disjoint and in order
+    for a, b, _ in sorted(base):
+        if held and a < held[-1][1]:
+            held[-1][1] = max(held[-1][1], b)
+        else:
+            held.append([a, b])
+    starts = [a for a, _ in held]
+
+    def free(a: int, b: int) -> bool:
+        k = bisect_left(starts, b)  # the last one that begins before b
+        return not k or held[k - 1][1] <= a
+
+    out = [(*s, True) for s in base] + [(*s, False) for s in more if free(s[0], s[1])]
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
 SPANS = "array<struct<kind:string,start:long,end:long,base:boolean>>"
 
 
-def find(docs: DataFrame, sentences: list[tuple[list[str], list[str]]] | None = None) -> DataFrame:
-    """docs: doc_id, text. Returns doc_id and spans: (kind, start, end, base) by start, then kind."""
-    session(docs.sparkSession)
-    model = trained(sentences or labelled())
+#: Most tokens of the labelled table that the field is fitted on.
+MOST_TOKENS = 100_000
+
+
+def labelled_table(spark: SparkSession) -> DataFrame:
+    """The default labelled table: sentence, position, token, tag."""
+    rows = [(i, k, t, g) for i, (tokens, tags) in enumerate(labelled()) for k, (t, g) in enumerate(zip(tokens, tags, strict=True))]
+    return spark.createDataFrame(rows, "sentence long, position long, token string, tag string")
+
+
+def sentences_of(table: DataFrame) -> list[tuple[list[str], list[str]]]:
+    """The sentences of a labelled table, at most MOST_TOKENS tokens of it; unknown tags are outside, null tokens go."""
+    out: dict[int, tuple[list[str], list[str]]] = {}
+    for r in table.filter("token IS NOT NULL").orderBy("sentence", "position", "token").limit(MOST_TOKENS).collect():
+        tokens, tags = out.setdefault(r["sentence"], ([], []))
+        tokens.append(r["token"])
+        tags.append(r["tag"] if r["tag"] in TAGS else "O")
+    return list(out.values())
+
+
+def find(docs: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """docs: doc_id, text. Returns doc_id and spans: (kind, start, end, base) by start, then kind. table: labelled
+    sentences (sentence, position, token, tag) to train the field on; an empty one finds base spans only."""
+    spark = session(docs.sparkSession)
+    sentences = sentences_of(labelled_table(spark) if table is None else table)
+    model = trained(sentences) if sentences else None
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            spans = [[{"kind": k, "start": a, "end": e, "base": own} for a, e, k, own in merged(base_spans(t), more)] for t, more in zip(texts, decoded(texts, model), strict=True)]
+            spans = [[{"kind": k, "start": a, "end": e, "base": own} for a, e, k, own in merged(base_spans(t), more)] for t, more in zip(texts, decoded(texts, model) if model else [[]] * len(texts), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, spans {SPANS}")
