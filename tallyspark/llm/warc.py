@@ -33,17 +33,32 @@ DATE = "2024-01-01T00:00:00Z"
 INDEX = "page_id long, file string, offset long, length long, url string, digest string, record_type string, refers_to long"
 
 
-def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC/1.1 record as a gzip member of its own."""
+def record_id(name: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
+
+
+def info(file: str) -> bytes:
+    """The warcinfo record that an archive begins with, as a gzip member of its own."""
+    body = b"format: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {record_id(file)}", f"WARC-Date: {DATE}", f"WARC-Filename: {file}", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}"]
+    return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n", 3, mtime=0)
+
+
+def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, revisit: bool, place: str, response: bool = False, to_url: str | None = None) -> bytes:
+    """One WARC/1.1 record as a gzip member of its own. The response of several equal payloads is named by their digest, so
+    that revisits in any archive can refer to it; all others by their place (archive and offset)."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     kind = "revisit" if revisit else "response"
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url}')}>", f"WARC-Date: {DATE}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id('sha1:' + digest if response else place)}", f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {url}", f"X-Page-ID: {'' if page_id is None else page_id}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response",
     ]
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id('sha1:' + digest)}",
+            f"WARC-Refers-To-Target-URI: {clean_url(to_url, refers_to)}", f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page-ID: {'' if refers_to is None else refers_to}",
+        ]
     head.append(f"Content-Length: {len(block)}")
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 3, mtime=0)
 
@@ -61,7 +76,7 @@ def parsed(member: bytes) -> dict:
     return {
         "page_id": int(fields["X-Page-ID"]) if fields["X-Page-ID"] else None, "url": fields["WARC-Target-URI"], "record_type": fields["WARC-Type"],
         "payload": None if revisit else payload, "payload_bytes": declared, "digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"),
-        "refers_to": int(fields["WARC-Refers-To"][10:-1]) if revisit and fields["WARC-Refers-To"] != "<urn:page:None>" else None,
+        "record_id": fields["WARC-Record-ID"], "refers_to_record": fields.get("WARC-Refers-To"), "refers_to": int(fields["X-Refers-To-Page-ID"]) if revisit and fields["X-Refers-To-Page-ID"] else None,
     }
 
 
@@ -84,9 +99,12 @@ def writer(folder: str):
                         fs.create_dir(path, recursive=True)
                         name, at = f"{uuid.uuid4().hex}.warc.gz", 0  # a retried task writes another file
                         out = fs.open_output_stream(f"{path}/{name}", compression=None)
+                        first = info(name)
+                        out.write(first)
+                        at = len(first)
                     url, payload = clean_url(r["url"], r["page_id"]), (r["html"] or "").encode("utf-8", "surrogatepass")
                     revisit = r["record_type"] == "revisit"
-                    data = record(r["page_id"], url, payload, r["digest"], r["refers_to"], revisit)
+                    data = record(r["page_id"], url, payload, r["digest"], r["refers_to"], revisit, f"{name}/{at}", r["to_url"] is not None and not revisit, r["to_url"])
                     out.write(data)
                     rows.append((r["page_id"], name, at, len(data), url, r["digest"], r["record_type"], r["refers_to"]))
                     at += len(data)
@@ -161,7 +179,8 @@ def write(pages: DataFrame, min_bytes: int = MIN_BYTES) -> tuple[str, DataFrame]
     marked = joined(pages, groups, "digest", "left")
     is_to = F.col("page_id").eqNullSafe(F.col("refers_to")) & (F.coalesce("url", F.lit("")) == F.col("to_url"))
     kind = F.when(F.col("to_url").isNull() | ~large | is_to, "response").otherwise("revisit")
-    marked = marked.select("page_id", "url", "html", "digest", kind.alias("record_type"), F.when(kind == "revisit", F.col("refers_to")).alias("refers_to"))
+    to_url = F.when(large, F.col("to_url")).alias("to_url")
+    marked = marked.select("page_id", "url", "html", "digest", kind.alias("record_type"), F.when(kind == "revisit", F.col("refers_to")).alias("refers_to"), to_url)
     folder = new_dir(spark, "warc")
     return folder, stored(marked.mapInArrow(writer(folder), INDEX), "warc-index")
 
