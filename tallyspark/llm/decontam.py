@@ -17,6 +17,7 @@ four words is one shingle of its own length; equal items and equal documents eac
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ from .common import MIX, WordHashes, mix, session, shingle_hashes
 
 WIDTH, THRESHOLD = 5, 0.8
 PERMS, ROWS, MISS = 256, (8, 6, 4, 3, 2, 1), 1e-6
-BLOCK_ITEMS, FILTER_BITS = 20_000, 22
+BLOCK_ITEMS, BLOCK_BYTES, FILTER_BITS = 5_000, 8 << 20, 22
 WORD = re.compile(r"\w+")
 
 
@@ -68,14 +69,14 @@ class Index:
         for i, n in enumerate(self.size.tolist()):
             self.classes[n.bit_length()].append(i)
         self.least = {c: min(self.size[i] for i in own) for c, own in self.classes.items()}
-        self.bands: dict[tuple[int, int], dict[tuple[int, int], list[int]]] = {}
+        #: Sorted band keys and the item of each.
+        self.bands: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         signatures = [self.signature(s) for s in self.sets]
         for c, own in self.classes.items():
             for r in ROWS:
-                table = self.bands[c, r] = defaultdict(list)
-                for i in own:
-                    for key in self.keys(signatures[i], r):
-                        table[key].append(i)
+                keys = np.concatenate([self.keys(signatures[i], r) for i in own])
+                order = np.argsort(keys)
+                self.bands[c, r] = keys[order], np.repeat(np.array(own, np.int32), PERMS // r)[order]
 
     def signature(self, shingles: np.ndarray) -> np.ndarray:
         out = np.full(PERMS, np.iinfo(np.uint64).max, np.uint64)
@@ -85,12 +86,12 @@ class Index:
         return out
 
     @staticmethod
-    def keys(signature: np.ndarray, r: int) -> list[tuple[int, int]]:
-        h = np.zeros(PERMS // r, np.uint64)
+    def keys(signature: np.ndarray, r: int) -> np.ndarray:
+        h = np.arange(1, PERMS // r + 1, dtype=np.uint64) * MIX
         for k in range(r):
             h = (h ^ signature[k::r][: PERMS // r]) * MIX
             h ^= h >> np.uint64(31)
-        return list(enumerate(h.tolist()))
+        return mix(h)
 
     def restricted(self, text: str | None) -> np.ndarray:
         """Numbers of the item shingles that the text has."""
@@ -130,8 +131,11 @@ class Index:
                 found.update(i for i in members if counts[i] >= self.need[i])
                 continue
             signature = self.signature(self.universe[own]) if signature is None else signature
-            for key in self.keys(signature, r):
-                found.update(self.bands[c, r].get(key, ()))
+            keys, items = self.bands[c, r]
+            wanted = self.keys(signature, r)
+            first, last = np.searchsorted(keys, wanted), np.searchsorted(keys, wanted, "right")
+            for i in np.flatnonzero(first < last):
+                found.update(items[first[i] : last[i]].tolist())
         mine = self.universe[own]
         out = []
         for i in sorted(found):
@@ -142,13 +146,25 @@ class Index:
 
 
 def blocks(items: DataFrame, id_col: str = "item_id") -> Iterator[list[tuple[int | None, str | None]]]:
-    """The items, at most about BLOCK_ITEMS at a time."""
+    """The items, at most about BLOCK_ITEMS and BLOCK_BYTES of text at a time (a longer item is a block of its own)."""
     items = items.select(F.col(id_col).cast("long").alias("item_id"), F.col("text").cast("string"))
-    n = items.count() // BLOCK_ITEMS + 1
+    size = items.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    n = max(size[0] // BLOCK_ITEMS, (size[1] or 0) // BLOCK_BYTES) + 1
     for k in range(n):
         yield [(r[0], r[1]) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
 
 
+INDEXES: dict[str, Index] = {}
+
+
+def index_of(key: str, block: list[tuple[int | None, str | None]], threshold: float) -> Index:
+    """The index of a block, built once a worker."""
+    if key not in INDEXES:
+        INDEXES.clear()
+        INDEXES[key] = Index(block, threshold)
+    return INDEXES[key]
+
+
 PAIRS = "doc_id long, item_id long, n_shared long, n_item long, containment double"
 
 
@@ -159,8 +175,8 @@ def pairs(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
     out = None
     for block in blocks(items):
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            index = Index(block, threshold)
+        def run(batches: Iterator[pa.RecordBatch], block=block, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            index = index_of(key, block, threshold)
             for b in batches:
                 rows = [(d, index.ids[i], n, int(index.size[i]), n / int(index.size[i])) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, n in index.match(t)]
                 if rows:
@@ -177,10 +193,21 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
     at = docs.columns.index("text")
     for block in blocks(items):
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            index = Index(block, threshold)
+        def run(batches: Iterator[pa.RecordBatch], block=block, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            index = index_of(key, block, threshold)
             for b in batches:
                 yield b.filter(pa.array([not index.match(t) for t in b.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
+
+
+def sql(documents: str = "documents", benchmark: str = "benchmark", threshold: float = THRESHOLD) -> str:
+    """The same in DuckDB SQL, by exact counting."""
+    words = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
+    grams = "[array_to_string(ws[i : i + k - 1], ' ') for i in range(1, len(ws) - k + 2)]"
+    return f"""WITH d AS (SELECT doc_id, row_number() OVER () AS n, {words} AS ws FROM {documents}),
+i AS (SELECT item_id, row_number() OVER () AS m, {words} AS ws FROM {benchmark}), sized AS (SELECT *, least(len(ws), {WIDTH}) AS k FROM i WHERE len(ws) > 0),
+s AS (SELECT DISTINCT m, item_id, k, unnest({grams}) AS g FROM sized), total AS (SELECT m, count(*) AS n_item FROM s GROUP BY m),
+dk AS (SELECT d.*, k FROM d, (SELECT DISTINCT k FROM sized) WHERE len(ws) >= k), dg AS (SELECT DISTINCT n, doc_id, k, unnest({grams}) AS g FROM dk)
+SELECT doc_id, item_id, count(*) AS n_shared, n_item, count(*) / n_item AS containment FROM dg JOIN s USING (k, g) JOIN total USING (m) GROUP BY n, doc_id, m, item_id, n_item HAVING count(*) >= ceil({threshold} * n_item - 1e-9)"""

@@ -78,4 +78,4 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op3_lm_scores, op4_toxicity, op5_decontamination, op6_token_file, op7_audio_features, op8_mixing, op9_line_dedup, op10_near_duplicates)}
-ORACLES = {"op2_warc": warc.sql(), "op8_mixing": mixing.sql(), "op9_line_dedup": linededup.sql()}
+ORACLES = {"op2_warc": warc.sql(), "op5_decontamination": decontam.sql(), "op8_mixing": mixing.sql(), "op9_line_dedup": linededup.sql()}
