@@ -26,9 +26,9 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, new_dir, session
+from .common import filesystem, new_dir, session, stored
 
-RATE, UP, DOWN, TAPS = 16_000, 1, 2, 16
+RATE, UP, DOWN, TAPS = 16_000, 2, 3, 16
 FRAME, HOP, MELS, FRAMES = 256, 128, 20, 32
 #: Hysteresis thresholds in dB over the file's median frame energy.
 RISE_DB, FALL_DB = 0.3, 0.0
@@ -203,7 +203,8 @@ def extracted(media: DataFrame, folder: str | None = None) -> tuple[str, DataFra
             out.close()
             file.close()
 
-    return folder, media.select("doc_id", "n_bytes", "media").mapInArrow(run, FEATURES)
+    # stored at once: tensors are written by the tasks of this one job, whatever is done with the rows later
+    return folder, stored(media.select("doc_id", "n_bytes", "media").mapInArrow(run, FEATURES), "features")
 
 
 NAMES = "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 file first_row spans tensors_sha256".split()
