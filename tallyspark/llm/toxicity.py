@@ -15,7 +15,7 @@ values, of the log of the sum of all values over FLOOR for a word, and of the nu
 whole text and of overlapping passages of PASSAGE words, and the largest of these counts, so a long text does not hide
 a passage.
 
-Training rows: at most `max_docs` labelled texts, chosen by a hash of their id; each toxic one among them gives the
+Training rows: at most `max_docs` labelled texts and `max_bytes` of them, chosen by a hash of their id; each toxic one among them gives the
 machine words to learn from. Scoring covers every text whole.
 Defined cases: a null text is empty; a text without words scores 0; without labels of both
 kinds no machine can be fitted and every score is 0; rows with equal ids are scored alike by their texts.
@@ -31,14 +31,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import session
 
 SPAN, DECAY = 5, 0.7
 GAPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN + 1 - a)]
-MAX_DOCS, LANDMARKS, NEGATIVES = 4_000, 96, 3_000
+MAX_DOCS, MAX_BYTES, LANDMARKS, NEGATIVES = 4_000, 64 << 20, 96, 3_000
 FLOOR, SURE = -0.6, 1.4
 #: Words of a passage; one starts at every half of it.
 PASSAGE = 200
@@ -298,13 +298,16 @@ def trained(rows: list[tuple[str | None, int]], landmarks: int = LANDMARKS, nega
     return machine
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> list[tuple[str | None, int]]:
-    """At most max_docs labelled texts, chosen by a hash of their id."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> list[tuple[str | None, int]]:
+    """At most max_docs labelled texts, whole, and max_bytes of them together, in order of a hash of their id."""
     ids = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).distinct()
-    few = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    few = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_docs)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = texts.join(F.broadcast(few), "doc_id").select("text", "toxic", "doc_id").collect()
-    return [(r[0], r[1]) for r in sorted(rows, key=lambda r: (r[2], r[0] or ""))[: 2 * max_docs]]
+    rows = texts.join(F.broadcast(few), "doc_id").withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)))
+    rows = rows.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id", "toxic", "text").limit(max_docs)
+    so_far = F.sum("size").over(Window.orderBy("order", "doc_id", "toxic", "text").rowsBetween(Window.unboundedPreceding, 0))  # over max_docs rows
+    kept = rows.withColumn("so_far", so_far).filter(F.col("so_far") <= max_bytes).select("text", "toxic", "doc_id").collect()
+    return [(r[0], r[1]) for r in sorted(kept, key=lambda r: (r[2], r[0] or "", r[1]))]
 
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:
