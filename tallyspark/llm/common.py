@@ -31,11 +31,14 @@ def session(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which executors and the driver share; a temporary one only where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.environ.get("TALLYSPARK_TEST_DIR")
+    """The folder in spark.checkpoint.dir, or that of setCheckpointDir, which executors and the driver share. Where neither
+    is set a temporary folder serves in local mode, and anything else is an error."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or os.environ.get("TALLYSPARK_TEST_DIR")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         os.environ["TALLYSPARK_TEST_DIR"] = found = "file://" + tempfile.mkdtemp(prefix="tallyspark-")
-    return (found if "://" in found else "file://" + os.path.abspath(found)).rstrip("/")
+    return (found if "://" in found or found.startswith("file:") else "file://" + os.path.abspath(found)).rstrip("/")
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
