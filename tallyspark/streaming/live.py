@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -44,35 +46,68 @@ def refreshed(report: DataFrame, held: DataFrame, changed: DataFrame, keys: list
     return report.join(touched, keys, "left_anti").unionByName(anew.select(*report.columns))
 
 
+#: Parts of a merged table, by a hash of the message id; a batch rewrites those that it changes.
+PARTS = 64
+
+
+def part() -> Column:
+    return F.pmod(F.xxhash64("message_id"), F.lit(PARTS)).cast("int")
+
+
+def manifest(spark: SparkSession, path: str) -> tuple[int, dict[int, int]]:
+    """The newest batch that is finished, and the version of each part; (-1, {}) before the first."""
+    try:
+        rows = spark.read.text(f"{path}/current").select(F.from_json("value", "batch long, parts map<string, long>").alias("m"))
+        newest = rows.agg(F.max_by("m", "m.batch").alias("m")).first()["m"]
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return -1, {}
+    return newest["batch"], {int(k): v for k, v in newest["parts"].items()}
+
+
+def files(path: str, parts: dict[int, int]) -> list[str]:
+    return [f"{path}/v{v}/part={k}" for k, v in sorted(parts.items())]
+
+
 def merge_stream(stream: DataFrame, path: str, on_change: Callable[[DataFrame, DataFrame, int], None] | None = None) -> DataStreamWriter:
-    """A foreachBatch writer that keeps path/<version> as the deduplicated table: each batch writes the next version
-    whole and then names it in path/current, so a replayed batch overwrites the version it was writing."""
+    """A foreachBatch writer that keeps a deduplicated table below path, in PARTS parts: each batch reads the parts that
+    its keys fall in, writes those that it changes as path/v<batch> and then names each part's version in path/current, so
+    a replayed batch overwrites what it was writing. Versions that neither this batch nor the one before names go."""
     spark = stream.sparkSession
 
-    def current() -> tuple[int, DataFrame | None]:
-        try:
-            v = spark.read.text(f"{path}/current").agg(F.max(F.col("value").cast("long"))).first()[0]
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return -1, None
-        return v, spark.read.parquet(f"{path}/v{v}")
+    def removed(old: dict[int, int], before: dict[int, int], now: dict[int, int]) -> None:
+        for f in set(files(path, old)) - set(files(path, before)) - set(files(path, now)):
+            at = spark._jvm.org.apache.hadoop.fs.Path(f)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    last: dict[int, int] = {}
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        version, held = current()
+        nonlocal last
+        version, parts = manifest(spark, path)
         if version >= batch_id:
             return
-        held = batch.limit(0) if held is None else held
-        changed = changes(held, batch)
-        applied(held, changed).write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        met = {r[0] for r in batch.select(part()).distinct().collect()}  # PARTS at most
+        own = files(path, {k: v for k, v in parts.items() if k in met})
+        held = spark.read.schema(batch.schema).parquet(*own) if own else batch.limit(0)
+        changed = changes(held, batch).persist()
+        touched = {r[0] for r in changed.select(part()).distinct().collect()}
+        now = parts
+        if touched:
+            rows = applied(held, changed).withColumn("part", part()).filter(F.col("part").isin(*touched))
+            rows.write.mode("overwrite").partitionBy("part").parquet(f"{path}/v{batch_id}")
+            now = parts | dict.fromkeys(touched, batch_id)
         if on_change:
-            on_change(changed, spark.read.parquet(f"{path}/v{batch_id}"), batch_id)
-        spark.createDataFrame([(str(batch_id),)], "value string").write.mode("append").text(f"{path}/current")
+            on_change(changed, spark.read.schema(batch.schema).parquet(*files(path, now)) if now else held, batch_id)
+        changed.unpersist()
+        spark.createDataFrame([(json.dumps({"batch": batch_id, "parts": now}),)], "value string").coalesce(1).write.mode("append").text(f"{path}/current")
+        removed(last, parts, now)
+        last = parts
 
     return stream.writeStream.foreachBatch(run)
 
 
 def table(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version that merge_stream has finished."""
-    v = spark.read.text(f"{path}/current").agg(F.max(F.col("value").cast("long"))).first()[0]
-    return spark.read.parquet(f"{path}/v{v}")
+    """The newest state that merge_stream has finished."""
+    return spark.read.parquet(*files(path, manifest(spark, path)[1]))
