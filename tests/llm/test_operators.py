@@ -732,3 +732,19 @@ def test_pipeline_stages(spark, docs):
     assert {r[0] for r in mixed.select("doc_id").collect()} == {r[0] for r in mixing.mixed(clean).filter("kept").select("doc_id").collect()}
     assert 0 < mixed.count() < clean.count()
     assert sorted(r[0] for r in tokens.select("doc_id").collect()) == sorted(r[0] for r in mixed.select("doc_id").collect())
+
+
+def test_pipeline_odd(spark, odd, tmp_path):
+    import corpus_pipeline as p
+
+    items = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    leaks = items.select(F.col("item_id").alias("doc_id"), "text", F.lit("en").alias("lang"), F.lit("a").alias("source"))
+    for name, df in (("odd", odd), ("none", odd.limit(0)), ("leaks", leaks)):
+        folder = str(tmp_path / name)
+        df.write.parquet(f"{folder}/documents.parquet")
+        for t in ("labels", "benchmark"):
+            spark.read.parquet(f"{DATA}/{t}.parquet").write.parquet(f"{folder}/{t}.parquet")
+        got = p.run(spark, folder)
+        assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+        # every leak goes, and what follows bears the empty corpus
+        assert 0 < got.count() < len(ODD) if name == "odd" else got.count() == 0
