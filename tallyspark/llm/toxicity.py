@@ -40,6 +40,8 @@ SPAN, DECAY = 5, 0.7
 GAPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN + 1 - a)]
 MAX_DOCS, MAX_BYTES, LANDMARKS, NEGATIVES = 4_000, 64 << 20, 96, 3_000
 FLOOR, SURE = -0.6, 1.4
+#: Words whose subsequences are laid out together.
+MANY = 20_000
 #: Words of a passage; one starts at every half of it.
 PASSAGE = 200
 TOP = 4
@@ -150,6 +152,8 @@ class Machine:
 
     def of_words(self, words: list[str]) -> np.ndarray:
         """Decision values, FLOOR at least; the norm is only computed where the value can exceed FLOOR."""
+        if len(words) > MANY:
+            return np.concatenate([self.of_words(words[i : i + MANY]) for i in range(0, len(words), MANY)])
         occ = Occurrences(words)
         s = occ.sums(self.table)
         out = np.full(len(words), FLOOR)
@@ -166,8 +170,8 @@ class Machine:
         if len(self.seen) + len(new) > self.most:
             self.seen.clear()
             new = list(set().union(*own))
-        for i in range(0, len(new), 50_000):
-            self.seen.update(zip(new[i : i + 50_000], self.of_words(new[i : i + 50_000]).tolist(), strict=True))
+        for i in range(0, len(new), MANY):
+            self.seen.update(zip(new[i : i + MANY], self.of_words(new[i : i + MANY]).tolist(), strict=True))
         get = self.seen.__getitem__
         return [evidence(np.fromiter(map(get, words), float, len(words))) for words in own]
 
@@ -249,13 +253,14 @@ def covering(bags: list[set[str]], clean: Counter, n_clean: int, many: int) -> l
 def trained(rows: list[tuple[str | None, int]], landmarks: int = LANDMARKS, negatives: int = NEGATIVES, rounds: int = 5) -> Machine:
     """A machine from (text, toxic) rows."""
     rng = np.random.default_rng(3)
-    own = [[w.strip(SIGNS) for w in tokens(t)] for t, _ in rows]
+    own = [{w.strip(SIGNS) for w in tokens(t)} - {""} for t, _ in rows]
     y = np.array([int(toxic) for _, toxic in rows])
-    bad, good = [set(own[i]) - {""} for i in np.flatnonzero(y == 1)], [set(own[i]) - {""} for i in np.flatnonzero(y == 0)]
+    bad, good = [own[i] for i in np.flatnonzero(y == 1)], [own[i] for i in np.flatnonzero(y == 0)]
     if not any(bad) or not any(good):
         return Machine(np.zeros(1 << 18), FLOOR, NEVER)
-    clean = Counter(w for bag in good for w in bag)
-    marks = covering(bad, clean, len(good), landmarks)
+    clean, n_good = Counter(w for bag in good for w in bag), len(good)
+    del own, good
+    marks = covering(bad, clean, n_good, landmarks)
     pool = sorted(clean)
     some = [pool[i] for i in rng.permutation(len(pool))[: max(landmarks // 2, 8)]]
     marks = list(dict.fromkeys(marks + some))
@@ -294,7 +299,10 @@ def trained(rows: list[tuple[str | None, int]], landmarks: int = LANDMARKS, nega
         hard = list(dict.fromkeys(hard + [pool[i] for i in np.argsort(-of_pool)[: negatives // 2]]))
     if machine is None:
         return Machine(np.zeros(1 << 18), FLOOR, NEVER)
-    machine.logit = calibrated(machine.of_texts([t for t, _ in rows]), y)
+    found = []
+    for i in range(0, len(rows), 256):
+        found += machine.of_texts([t for t, _ in rows[i : i + 256]])
+    machine.logit = calibrated(found, y)
     return machine
 
 
