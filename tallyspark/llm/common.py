@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -133,18 +132,32 @@ def shingle_hashes(h: np.ndarray, width: int = 5) -> np.ndarray:
 
 
 PIECE_BYTES = 1 << 17
-#: A byte's part of its word's hash; capital letters count as small ones.
-BYTE_VALUE = np.random.default_rng(0x5EED).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-BYTE_VALUE[65:91] = BYTE_VALUE[97:123]
-BASE = 0xD1342543DE82EF95
-
-
-@lru_cache(8)
-def powers(n: int, inverse: bool) -> np.ndarray:
-    """BASE (or its inverse) to the powers 0 to n - 1, modulo 2**64."""
-    out = np.full(n, pow(BASE, -1, 1 << 64) if inverse else BASE, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+#: Capital letters count as small ones.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: What is kept of 8 bytes when a word ends after so many of them.
+KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+
+
+def hashed_words(part: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of the words at start to stop (inclusive) of UTF-8 bytes: each word's length, then 8 bytes after another, are
+    mixed into a running value; long words take xxhash's. No sum of bytes by place, for which unlike words could be equal."""
+    low = LOWER.take(part)
+    wide = np.ndarray(len(low) + 1, "<u8", np.append(low, np.zeros(8, np.uint8)).tobytes(), strides=(1,))
+    size = stop - start + 1
+    h = size.astype(np.uint64) * MIX
+    left = np.flatnonzero(size <= LONG_WORD)
+    at = 0
+    while len(left):
+        h[left] = mix(h[left] ^ (wide[start[left] + at] & KEPT[np.minimum(size[left] - at, 8)])) + MIX
+        at += 8
+        left = left[size[left] > at]
+    if len(long := np.flatnonzero(size > LONG_WORD)):
+        raw = low.tobytes()
+        h[long] = [xxhash.xxh3_64_intdigest(raw[i : j + 1]) for i, j in zip(start[long].tolist(), stop[long].tolist(), strict=True)]
+    return h
 
 
 def is_space(data: np.ndarray) -> np.ndarray:
@@ -164,7 +177,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (uint64) of the words of all texts, in order, and the n + 1 places where each text's words begin. Words are
-    those of words_of(). A word's hash is a polynomial of its bytes, taken from running sums over pieces of the column."""
+    those of words_of(), hashed by hashed_words() a piece of the column at a time."""
     data, bounds = text_bytes(column)
     out, total, counts = [], 0, np.zeros(len(bounds), np.int64)
     i = 0
@@ -190,11 +203,7 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         last = first[first > 0] - 1
         closes[last] = inside[last]
         start, stop = np.flatnonzero(opens), np.flatnonzero(closes)
-        n = max(2 * PIECE_BYTES, 1 << int(len(part) - 1).bit_length())
-        sums = np.cumsum(BYTE_VALUE.take(part.astype(np.intp)) * powers(n, False)[: len(part)])
-        before = np.where(start > 0, sums[np.maximum(start - 1, 0)], np.uint64(0))
-        h = (sums[stop] - before) * powers(n, True)[start]
-        out.append(mix(h + (stop - start + 1).astype(np.uint64) * MIX))
+        out.append(hashed_words(part, start, stop))
         counts[edge[0] : edge[1]] = total + np.searchsorted(start, first)
         total += len(start)
         i = end

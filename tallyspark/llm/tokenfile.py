@@ -9,8 +9,9 @@ Documents are dealt by ranges of doc_id, one file a range, so that files in orde
 per file meets on the driver, to place each file's first id in the whole.
 
 Encoding: texts are cut where the tokenizer's byte-level pre-tokenizer always cuts (a run of non-space with one
-space before it; runs of white space), many at once by numpy, pieces are told apart by 64-bit hashes, and each distinct
-piece goes through the tokenizers library once a worker. Texts with rare white space or special tokens, and texts of
+space before it; runs of white space), many at once by numpy, and each distinct piece goes through the tokenizers library
+once a worker. Pieces are told apart by their bytes: those of up to 7 are numbers with their length, longer ones are
+looked up whole, so no hash decides an id. Texts with rare white space or special tokens, and texts of
 tokenizers with another pre-tokenizer, go through it whole, so the ids are the library's own in all cases.
 
 The dictionary is trained on a bounded sample: about DICT_DOCS documents chosen by a hash of their id, cut to pieces
@@ -39,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, filesystem, is_space, mix, new_dir, session, stored, write_file
+from .common import filesystem, is_space, new_dir, session, stored, write_file
 
 END_ID = 2
 DICT_DOCS, DICT_BYTES, DICT_PIECE, LEVEL = 1_000, 32 << 10, 8 << 10, 3
@@ -50,10 +51,6 @@ MAGIC, HEAD, ROW, TAIL = b"TKZ1", "<4s32sI", "<qIIQI", "<QQ"
 RARE, MOST_BYTES = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]"), 8 << 20
 #: Bytes of texts that are cut together.
 PART_BYTES = 1 << 20
-#: A byte's part of the hash of its piece, and a multiplier for each further place.
-BYTE_VALUE = np.random.default_rng(0x70).integers(1, 1 << 63, 256, dtype=np.uint64)
-FACTOR = np.uint64(0xD1342543DE82EF95)
-
 
 #: Kinds of bytes: 1 letter, 2 digit, 3 other ASCII sign but the apostrophe, which may join what follows; 0 the rest.
 KIND = np.zeros(256, np.uint8)
@@ -85,12 +82,15 @@ def pieces(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(opens)
 
 
-def piece_hashes(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    size = np.diff(np.append(begin, len(data)))
-    power = np.multiply.accumulate(np.full(int(size.max()), FACTOR))
-    value = BYTE_VALUE.take(data.astype(np.intp))
-    value *= power.take(np.arange(len(data)) - np.repeat(begin, size))
-    return mix(np.add.reduceat(value, begin) + size.astype(np.uint64) * MIX)
+#: Pieces of up to so many bytes are their own keys, with their length on top.
+SHORT = 7
+
+
+def short_keys(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes and the length of each piece of up to SHORT bytes as one number; of longer pieces this is no key yet."""
+    wide = np.ndarray(len(data), "<u8", np.append(data, np.zeros(8, np.uint8)).tobytes(), strides=(1,))
+    kept = np.minimum(size, SHORT).astype(np.uint64)
+    return (wide[begin] & ((np.uint64(1) << (kept * np.uint64(8))) - np.uint64(1))) | (kept << np.uint64(8 * SHORT))
 
 
 class Encoder:
@@ -113,8 +113,9 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        #: Numbers of pieces by hash; where the ids of a numbered piece begin in ids, and how many they are.
+        #: Numbers of pieces by key, and keys of long pieces; where the ids of a numbered piece begin in ids, and how many they are.
         self.number: dict[int, int] = {}
+        self.long: dict[bytes, int] = {}
         self.ids, self.at, self.many = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def packed(self, ids: list[int]) -> bytes:
@@ -154,13 +155,16 @@ class Encoder:
         data = np.frombuffer(b"".join(texts), np.uint8)
         bounds = np.cumsum([0] + [len(t) for t in texts])
         begin = pieces(data, bounds)
-        keys, first, at = np.unique(piece_hashes(data, begin), return_index=True, return_inverse=True)
-        keys = keys.tolist()
+        size = np.diff(np.append(begin, len(data)))
         if len(self.number) > self.most:
             self.clear()
+        key, raw, known = short_keys(data, begin, size), data.tobytes(), self.long
+        longer = np.flatnonzero(size > SHORT)
+        key[longer] = np.fromiter((known.setdefault(raw[i:j], len(known)) for i, j in zip(begin[longer].tolist(), (begin + size)[longer].tolist(), strict=True)), np.uint64, len(longer)) | np.uint64(1 << 63)
+        keys, first, at = np.unique(key, return_index=True, return_inverse=True)
+        keys = keys.tolist()
         if new := [i for i, h in enumerate(keys) if h not in self.number]:
-            begins, ends = begin[first[new]], np.append(begin[1:], len(data))[first[new]]
-            raw = data.tobytes()
+            begins, ends = begin[first[new]], (begin + size)[first[new]]
             self.add([keys[i] for i in new], [raw[i:j].decode() for i, j in zip(begins.tolist(), ends.tolist(), strict=True)])
         which = np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))[at]
         ids = self.flat(which)

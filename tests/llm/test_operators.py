@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -414,6 +415,22 @@ def test_encoder_equals_library():
     assert [np.frombuffer(b, e.kind).tolist() for b in e.encode(texts)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def thue_morse(n, a="a", b="b"):
+    """Two unlike words of n letters whose sums of bytes by powers agree for many bases."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+@pytest.mark.parametrize("n", [8, 64, 1024, 2048, 4096])
+def test_no_hash_decides_ids_or_words(n):
+    e, pair = tokenfile.Encoder(queries.tokenizer()), thue_morse(n)
+    texts = [*pair, " ".join(pair), pair[0][:-1], pair[0] + "a", "x" + pair[1], "\n" * 9 + pair[0] + "é" * 9]
+    assert [np.frombuffer(b, e.kind).tolist() for b in e.encode(texts)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    h, first = common.word_hashes(pa.array([*pair, *(p.upper() for p in pair), f"{pair[0]} {pair[1]}", "é" * n, "e" * n]))
+    assert len({*h.tolist()}) == 4 and first.tolist() == [0, 1, 2, 3, 4, 6, 7, 8]
+    assert h[0] == h[2] == h[4] and h[1] == h[3] == h[5]
+
+
 # --- media
 
 
