@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, lm, media, mixing, neardup, packing, pii, tokenfile, toxicity, warc
+from . import decontam, linededup, lm, media, mixing, neardup, packing, pii, repair, tokenfile, toxicity, warc
 from .common import crc_mod
 
 
@@ -77,9 +77,14 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.repaired_conversations(conversations, repair.damaged(conversations))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op3_lm_scores, op4_toxicity, op5_decontamination, op6_token_file, op7_audio_features, op8_mixing, op9_line_dedup, op10_near_duplicates, op12_packing)}
-ORACLES = {"op2_warc": warc.sql(), "op5_decontamination": decontam.sql(), "op8_mixing": mixing.sql(), "op9_line_dedup": linededup.sql()}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op3_lm_scores, op4_toxicity, op5_decontamination, op6_token_file, op7_audio_features, op8_mixing, op9_line_dedup, op10_near_duplicates, op11_conversation_repair, op12_packing)}
+ORACLES = {"op2_warc": warc.sql(), "op5_decontamination": decontam.sql(), "op8_mixing": mixing.sql(), "op9_line_dedup": linededup.sql(), "op11_conversation_repair": repair.sql()}
