@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, lm, media, mixing, neardup, packing, pii, repair, tokenfile, toxicity, warc
+from . import decontam, linededup, lm, media, mixing, neardup, negatives, packing, pii, repair, tokenfile, toxicity, warc
 from .common import crc_mod
 
 
@@ -86,5 +86,9 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op3_lm_scores, op4_toxicity, op5_decontamination, op6_token_file, op7_audio_features, op8_mixing, op9_line_dedup, op10_near_duplicates, op11_conversation_repair, op12_packing)}
-ORACLES = {"op2_warc": warc.sql(), "op5_decontamination": decontam.sql(), "op8_mixing": mixing.sql(), "op9_line_dedup": linededup.sql(), "op11_conversation_repair": repair.sql()}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mined(negatives.relabelled(table(spark, sf_dir, "embeddings")))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op3_lm_scores, op4_toxicity, op5_decontamination, op6_token_file, op7_audio_features, op8_mixing, op9_line_dedup, op10_near_duplicates, op11_conversation_repair, op12_packing, op13_hard_negatives)}
+ORACLES = {"op2_warc": warc.sql(), "op5_decontamination": decontam.sql(), "op8_mixing": mixing.sql(), "op9_line_dedup": linededup.sql(), "op11_conversation_repair": repair.sql(), "op13_hard_negatives": negatives.sql()}
