@@ -1,4 +1,8 @@
-"""JSONL transcripts to usage events: scan, parse, project. Batch and stream share the expressions."""
+"""JSONL transcripts to usage events: scan, parse, project. Batch and stream share the expressions.
+
+Files are read by byte ranges, a row a line, so a large file is many tasks and no file is ever in one row. A line's rank is
+(path, first byte of its range, place in that range): the order of the lines, without their number.
+"""
 
 from __future__ import annotations
 
@@ -8,46 +12,60 @@ from pyspark.sql import functions as F
 from ..functions import timefns as T
 
 SCHEMA = (
-    "type string, timestamp string, requestId string, cwd string, costUSD double, isApiErrorMessage boolean, message struct<id:string, model:string, usage:struct<"
+    "type string, timestamp string, requestId string, cwd string, costUSD double, isApiErrorMessage boolean, message struct<id:string, model:string, role:string, usage:struct<"
     "input_tokens:double, output_tokens:double, cache_creation_input_tokens:double, cache_read_input_tokens:double, "
     "cache_creation:struct<ephemeral_5m_input_tokens:double, ephemeral_1h_input_tokens:double>>>, _corrupt string"
 )
-#: Fixed values of the data format: the marker of records that count, and the model name of made-up ones.
-MARKER, SYNTHETIC = '"type":"assistant"', "<synthetic>"
+#: Fixed values of the data format: what records that count say, and the model name of made-up ones.
+MARKER, WORD, SYNTHETIC = r'"type"\s*:\s*"assistant"', '"assistant"', "<synthetic>"
+#: Fields that may be absent but not null.
+OPTIONAL = (
+    "costUSD", "requestId", "cwd", "isApiErrorMessage", "message.role", "message.usage", "message.usage.cache_creation_input_tokens", "message.usage.cache_read_input_tokens", "message.usage.cache_creation",
+)
+JSONL = dict(pathGlobFilter="*.jsonl", recursiveFileLookup=True)
+
+
+def read(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    """Lines of all *.jsonl files below a root (or of a list of files): path, line (their rank in it) and value."""
+    return lines(spark.read.text(root, lineSep="\n", **JSONL))
 
 
-def read(spark: SparkSession, root: str) -> DataFrame:
-    """Lines of all *.jsonl files below a root: path, line (0-based) and value. Files are read whole, because the rank of
-    a line is its place in its file; a transcript is small."""
-    files = spark.read.text(root, wholetext=True, pathGlobFilter="*.jsonl", recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return lines(files)
+def lines(text: DataFrame) -> DataFrame:
+    """Rows of a text source -> path, line and value. Carriage returns at line ends and lines of white space go."""
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    return trimmed(text.select(F.col("_metadata.file_path").alias("path"), at.alias("line"), "value"))
 
 
-def lines(files: DataFrame) -> DataFrame:
-    """path and whole value -> path, line and value; a last empty line and carriage returns go."""
-    out = files.select("path", F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    return out.withColumn("value", F.regexp_replace("value", "\r$", "")).filter(F.trim("value") != "")
+def trimmed(rows: DataFrame) -> DataFrame:
+    value = F.col("value")
+    return rows.withColumn("value", F.when(value.endswith("\r"), F.left(value, F.length(value) - 1)).otherwise(value)).filter(F.trim("value") != "")
 
 
 def may_count(value: Column) -> Column:
-    """False only for whole lines that certainly hold no usage: checked before any JSON is parsed."""
-    return ~(F.rtrim(value).endswith("}") & ~F.regexp_replace(value, r"\s", "").contains(MARKER))
+    """False only for whole lines that certainly hold no usage: checked before any JSON is parsed, the plain search first."""
+    return ~value.endswith("}") | (value.contains(WORD) & value.rlike(MARKER))
 
 
 def parsed(rows: DataFrame) -> DataFrame:
-    """rows with r, the record, and problem: null, 'invalid-json' or 'schema-mismatch'."""
-    out = rows.filter(may_count(F.col("value"))).withColumn("r", F.from_json("value", SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"}))
-    json = F.try_parse_json("value")
-    usage = F.col("r.message.usage")
-    bad = lambda c: F.isnan(c) | (F.abs(c) == float("inf"))
+    """rows with r, the record, and problem: null, 'invalid-json' or 'schema-mismatch'. Each line is parsed once; a second
+    look is taken only at what didn't fit the schema and at lines that hold a null."""
+    value = F.col("value")
+    # a generator of one row: filters on r stay above it, so that the parser doesn't run once for them and once for r
+    record = F.explode(F.array(F.from_json(value, SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"})))
+    out = rows.filter(may_count(value)).select("*", record.alias("r"))
+    message, usage, split = F.col("r.message"), F.col("r.message.usage"), F.col("r.message.usage.cache_creation")
     counts = [usage[c] for c in ("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens")]
-    missing = F.col("r.timestamp").isNull() | F.col("r.message.id").isNull() | F.col("r.message.model").isNull() | (usage.isNotNull() & (counts[0].isNull() | counts[1].isNull()))
-    # an explicit null is an error where an absent field is none
-    null_cost = F.is_variant_null(F.try_variant_get(json, "$.costUSD", "variant"))
-    wrong = F.col("r._corrupt").isNotNull() | missing | F.coalesce(null_cost, F.lit(False))
-    for c in counts:
-        wrong = wrong | F.coalesce(bad(c), F.lit(False))
-    return out.withColumn("problem", F.when(json.isNull(), "invalid-json").when((F.col("r.type") == "assistant") & wrong, "schema-mismatch"))
+    wrong = F.col("r._corrupt").isNotNull() | F.col("r.timestamp").isNull() | message["id"].isNull() | message["model"].isNull()
+    wrong = wrong | (usage.isNotNull() & (counts[0].isNull() | counts[1].isNull())) | (F.coalesce(message["role"], F.lit("assistant")) != "assistant")
+    wrong = wrong | (split.isNotNull() & (split["ephemeral_5m_input_tokens"].isNull() | split["ephemeral_1h_input_tokens"].isNull()))
+    for c in (*counts, F.col("r.costUSD")):
+        wrong = wrong | F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(False))
+    # the rare branch is evaluated apart, which keeps the code of the others small enough to be compiled
+    null = lambda v, path: F.coalesce(F.is_variant_null(F.try_variant_get(F.try_parse_json(v), f"$.{path}", "variant")), F.lit(False))
+    nulls = F.exists(F.array(value), lambda v: F.greatest(*(null(v, path) for path in OPTIONAL)))
+    nulls = F.when(value.contains("null") & value.rlike(r":\s*null"), nulls).otherwise(False)
+    invalid = F.when(F.col("r._corrupt").isNotNull(), F.try_parse_json(value).isNull()).otherwise(False)
+    return out.withColumn("problem", F.when(invalid, "invalid-json").when((F.col("r.type") == "assistant") & (wrong | nulls), "schema-mismatch"))
 
 
 def identity(path: Column, root: str) -> tuple[Column, Column]:
@@ -55,9 +73,9 @@ def identity(path: Column, root: str) -> tuple[Column, Column]:
     files of nested agents belong to their parent session; a file at the root itself has the slug ''."""
     root = root.rstrip("/").removeprefix("file://") + "/"
     at = F.instr(path, F.lit(root))
-    parts = F.split(F.when(at > 0, F.substring(path, at + len(root), F.length(path))).otherwise(path), "/")
-    strip = lambda c: F.regexp_replace(c, r"\.jsonl$", "")
-    return F.when(F.size(parts) > 1, parts[0]).otherwise(""), F.when(F.size(parts) > 1, strip(parts[1])).otherwise(strip(parts[0]))
+    below = F.when(at > 0, F.substring(path, at + len(root), F.length(path))).otherwise(path)
+    slug = F.when(F.contains(below, F.lit("/")), F.substring_index(below, "/", 1)).otherwise("")
+    return slug, F.regexp_replace(F.substring_index(F.substring_index(below, "/", 2), "/", -1), r"\.jsonl$", "")
 
 
 def usage(rows: DataFrame, root: str, machine_id: str) -> DataFrame:
@@ -82,11 +100,15 @@ def scanned(spark: SparkSession, roots: list[tuple[str, str]]) -> DataFrame:
     return out
 
 
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """path, size and modified of all *.jsonl files below a root. Their content isn't read."""
+    now = spark.read.format("binaryFile").options(**{k: str(v).lower() if v is True else v for k, v in JSONL.items()}).load(root)
+    return now.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
 def stale(spark: SparkSession, root: str, known: DataFrame) -> DataFrame:
     """Files whose path, size or time is not in known (path, size, modified): what an incremental scan must read."""
-    now = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", True).load(root)
-    now = now.select(F.col("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
-    return now.join(known, ["path", "size", "modified"], "left_anti")
+    return listed(spark, root).join(known, ["path", "size", "modified"], "left_anti")
 
 
 def session_frames(summary: DataFrame, events: DataFrame) -> DataFrame:

@@ -1,24 +1,26 @@
-"""Streams: transcripts to a deduplicated event table, and reports refreshed for the keys that a batch touched."""
+"""Streams: transcripts to a deduplicated event table, its change feed, and reports refreshed where the feed touched them."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import DataType, StructField, StructType
 
 from ..operators.events import KEY, deduplicated, total
-from ..sources import transcripts
+from ..sources import tail, transcripts
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def transcript_stream(spark: SparkSession, root: str, machine_id: str) -> DataFrame:
-    """Usage events of files that arrive below a root. A file is read once: land closed segments, not growing files."""
-    files = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", True).load(root)
-    rows = transcripts.lines(files.select(F.col("_metadata.file_path").alias("path"), "value"))
-    return transcripts.usage(transcripts.parsed(rows), root, machine_id)
+    """Usage events of transcripts below a root as they grow: each complete line once."""
+    return transcripts.usage(transcripts.parsed(tail.read_stream(spark, root)), root, machine_id)
 
 
 def changes(held: DataFrame, batch: DataFrame) -> DataFrame:
@@ -42,72 +44,127 @@ def applied(held: DataFrame, changed: DataFrame) -> DataFrame:
 def refreshed(report: DataFrame, held: DataFrame, changed: DataFrame, keys: list[str], fold: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """A report by keys after a change: only the keys that changed rows are in, before or after, are folded anew."""
     touched = changed.select(*keys).unionByName(changed.filter("before IS NOT NULL").select(*(F.col(f"before.{k}").alias(k) for k in keys))).distinct()
-    anew = fold(held.join(F.broadcast(touched) if touched.limit(100_001).count() <= 100_000 else touched, keys, "left_semi"))
+    anew = fold(held.join(touched, keys, "left_semi"))
     return report.join(touched, keys, "left_anti").unionByName(anew.select(*report.columns))
 
 
-#: Parts of a merged table, by a hash of the message id; a batch rewrites those that it changes.
-PARTS = 64
+# --- keyed state -------------------------------------------------------------------------------------------------
 
 
-def part() -> Column:
-    return F.pmod(F.xxhash64("message_id"), F.lit(PARTS)).cast("int")
+class Winner(StatefulProcessor):
+    """Of each key the event that counts; a batch's fuller row replaces it, under the rank of the first one. Events and ranks
+    travel as JSON; size and place are what Python compares."""
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "size long, ord string, event string")
 
-def manifest(spark: SparkSession, path: str) -> tuple[int, dict[int, int]]:
-    """The newest batch that is finished, and the version of each part; (-1, {}) before the first."""
-    try:
-        rows = spark.read.text(f"{path}/current").select(F.from_json("value", "batch long, parts map<string, long>").alias("m"))
-        newest = rows.agg(F.max_by("m", "m.batch").alias("m")).first()["m"]
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return -1, {}
-    return newest["batch"], {int(k): v for k, v in newest["parts"].items()}
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timers: Any) -> Iterator[Row]:
+        best = first = None
+        for r in rows:
+            place = tuple(r[c] for c in r.__fields__ if c.startswith("_place"))
+            if best is None or (-r["_size"], place) < best[:2]:
+                best = (-r["_size"], place, r["_event"])
+            if first is None or place < first[0]:
+                first = (place, r["_ord"])
+        size, ord_, event = self.held.get() if self.held.exists() else (None, None, None)
+        if size is None or -best[0] > size:
+            now = (-best[0], ord_ or first[1], best[2])
+            self.held.update(now)
+            yield Row(ord=now[1], event=now[2], before=event)
 
 
-def files(path: str, parts: dict[int, int]) -> list[str]:
-    return [f"{path}/v{v}/part={k}" for k, v in sorted(parts.items())]
+def leaves(name: str, kind: DataType) -> list[Column]:
+    """The plain columns of a rank, in order."""
+    return [x for f in kind.fields for x in leaves(f"{name}.{f.name}", f.dataType)] if isinstance(kind, StructType) else [F.col(name)]
 
 
-def merge_stream(stream: DataFrame, path: str, on_change: Callable[[DataFrame, DataFrame, int], None] | None = None) -> DataStreamWriter:
-    """A foreachBatch writer that keeps a deduplicated table below path, in PARTS parts: each batch reads the parts that
-    its keys fall in, writes those that it changes as path/v<batch> and then names each part's version in path/current, so
-    a replayed batch overwrites what it was writing. Versions that neither this batch nor the one before names go."""
-    spark = stream.sparkSession
+JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
 
-    def removed(old: dict[int, int], before: dict[int, int], now: dict[int, int]) -> None:
-        for f in set(files(path, old)) - set(files(path, before)) - set(files(path, now)):
-            at = spark._jvm.org.apache.hadoop.fs.Path(f)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
-    last: dict[int, int] = {}
+def winners(stream: DataFrame) -> DataFrame:
+    """The change feed of a stream of events: each event that wins its key, with before, the event that it replaces (null if
+    the key is new). State is the winner of each key ever seen, in RocksDB: a late fuller row wins at any age."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    kinds = {f.name: f.dataType for f in stream.schema.fields}
+    rest = StructType([f for f in stream.schema.fields if f.name != "ord"])
+    rows = stream.select(
+        *(F.struct(F.col(k).alias("k")).alias(f"_{k}") for k in KEY), total().alias("_size"), *(c.alias(f"_place{i}") for i, c in enumerate(leaves("ord", kinds["ord"]))),  # a null key is a key
+        F.to_json(F.struct("ord"), JSON).alias("_ord"), F.to_json(F.struct(*rest.names), JSON).alias("_event"),
+    )
+    out = rows.groupBy(*(f"_{k}" for k in KEY)).transformWithState(Winner(), "ord string, event string, before string", "Update", "None")
+    ord_ = F.from_json("ord", StructType([StructField("ord", kinds["ord"])]))["ord"]
+    read = lambda c: F.struct(*(F.from_json(c, rest, JSON)[n].alias(n) if n != "ord" else ord_.alias("ord") for n in stream.columns))
+    return out.select(read("event").alias("e"), F.when(F.col("before").isNotNull(), read("before")).alias("before")).select("e.*", "before")
+
+
+# --- the table and its reports -----------------------------------------------------------------------------------
+
+
+def merge_stream(stream: DataFrame, path: str, on_change: Callable[[DataFrame, DataFrame, int], None] | None = None) -> DataStreamWriter:
+    """A foreachBatch writer of the change feed below path, a folder a batch, so that a replayed batch replaces its own;
+    on_change gets (changes, table after them, batch number)."""
+    spark = stream.sparkSession
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        nonlocal last
-        version, parts = manifest(spark, path)
-        if version >= batch_id:
-            return
-        met = {r[0] for r in batch.select(part()).distinct().collect()}  # PARTS at most
-        own = files(path, {k: v for k, v in parts.items() if k in met})
-        held = spark.read.schema(batch.schema).parquet(*own) if own else batch.limit(0)
-        changed = changes(held, batch).persist()
-        touched = {r[0] for r in changed.select(part()).distinct().collect()}
-        now = parts
-        if touched:
-            rows = applied(held, changed).withColumn("part", part()).filter(F.col("part").isin(*touched))
-            rows.write.mode("overwrite").partitionBy("part").parquet(f"{path}/v{batch_id}")
-            now = parts | dict.fromkeys(touched, batch_id)
-        if on_change:
-            on_change(changed, spark.read.schema(batch.schema).parquet(*files(path, now)) if now else held, batch_id)
-        changed.unpersist()
-        spark.createDataFrame([(json.dumps({"batch": batch_id, "parts": now}),)], "value string").coalesce(1).write.mode("append").text(f"{path}/current")
-        removed(last, parts, now)
-        last = parts
-
-    return stream.writeStream.foreachBatch(run)
+        at = f"{path}/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(at)
+        changed = spark.read.schema(batch.schema).parquet(at)
+        if on_change and not changed.isEmpty():
+            on_change(changed, table(spark, path), batch_id)
+
+    return winners(stream).writeStream.outputMode("update").foreachBatch(run)
 
 
 def table(spark: SparkSession, path: str) -> DataFrame:
-    """The newest state that merge_stream has finished."""
-    return spark.read.parquet(*files(path, manifest(spark, path)[1]))
+    """The event table as the change feed leaves it: of each key the last change, which has the most tokens."""
+    try:
+        feed = spark.read.parquet(path).drop("before", "batch")
+    except AnalysisException as e:
+        raise FileNotFoundError(path) from e
+    return feed.groupBy(*KEY).agg(F.max_by(F.struct(*feed.columns), total()).alias("e")).select("e.*")
+
+
+def compacted(spark: SparkSession, path: str, upto: int) -> None:
+    """The feed's batches up to a finished one as one: of each key its last change. The query must not be running."""
+    feed = spark.read.parquet(path).filter(F.col("batch") <= upto)
+    last = feed.groupBy(*KEY).agg(F.max_by(F.struct(*(c for c in feed.columns if c != "batch")), total()).alias("e")).select("e.*")
+    last.write.mode("overwrite").parquet(f"{path}/_compacted")
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [r["batch"] for r in feed.select("batch").distinct().collect()]  # a row a batch
+    to = spark._jvm.org.apache.hadoop.fs.Path
+    for b in old:
+        if b != upto:
+            fs.delete(to(f"{path}/batch={b}"), True)
+    fs.delete(to(f"{path}/batch={upto}"), True)
+    fs.rename(to(f"{path}/_compacted"), to(f"{path}/batch={upto}"))
+
+
+@dataclass(frozen=True)
+class Family:
+    """A kind of report that is kept as files: part, the partition of an event's rows (a date, a bucket of projects), and
+    fold, which gives the report of events that have a column part, and keeps it."""
+
+    name: str
+    part: Column
+    fold: Callable[[DataFrame], DataFrame]
+
+
+def refresh_parts(spark: SparkSession, path: str, families: list[Family], changed: DataFrame, events: DataFrame) -> None:
+    """Fold those partitions of each report anew that changed events are in, before or after, and overwrite these alone; a
+    partition that has no rows any more goes. Running it again for the same changes does no harm."""
+    for family in families:
+        of = lambda df, c=family.part: df.select(c.cast("string").alias("part"))
+        touched = of(changed).unionByName(of(changed.filter("before IS NOT NULL").select("before.*"))).filter("part IS NOT NULL").distinct().persist()
+        rows = family.fold(events.withColumn("part", family.part.cast("string")).join(touched, "part", "left_semi"))
+        to = f"{path}/{family.name}"
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(to)
+        left = touched.join(events.select(family.part.cast("string").alias("part")).distinct(), "part", "left_anti")
+        for r in left.toLocalIterator():
+            at = spark._jvm.org.apache.hadoop.fs.Path(f"{to}/part={r['part']}")
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        touched.unpersist()
+
+
+def report(spark: SparkSession, path: str, family: Family) -> DataFrame:
+    """A kept report, all partitions."""
+    return spark.read.option("inferSchema", False).parquet(f"{path}/{family.name}")

@@ -11,7 +11,7 @@ from tallyspark.functions import timefns as T
 from tallyspark.operators import archive, blocks, compose, dims, intraday, reports
 from tallyspark.operators.events import Query, deduplicated, last_of_batch, searched, tree_filtered, united
 from tallyspark.plans import fixtures, params
-from tallyspark.sources import logs, transcripts
+from tallyspark.sources import logs, tail, transcripts
 from tallyspark.streaming import live
 
 H = 3_600_000
@@ -247,19 +247,138 @@ def test_transcripts(spark, tmp_path):
     assert known.count() == 3 and transcripts.stale(spark, str(tmp_path), known).count() == 0
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    root, out = tmp_path / "in", str(tmp_path / "out")
+def started(stream, out, cp, seen=None, more=None):
+    def on_change(changed, table, batch_id):
+        if seen is not None:
+            seen.append(sorted((r.message_id, r.input_tokens, r.before.input_tokens if r.before else None) for r in changed.collect()))
+        if more:
+            more(changed, table)
+
+    live.merge_stream(stream, out, on_change).option("checkpointLocation", cp).trigger(availableNow=True).start().awaitTermination()
+
+
+def text_of(**usage):
+    name = usage.pop("id", "m1")
+    return json.dumps(line(message={"id": name, "model": "x", "usage": {"input_tokens": 1, "output_tokens": 2, **usage}}))
+
+
+def test_stream_of_growing_files_equals_batch(spark, tmp_path):
+    root, out, cp = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
     root.mkdir()
     transcript_files(root)
     seen = []
-    stream = live.transcript_stream(spark, str(root), "me")
-    run = lambda: live.merge_stream(stream, out, lambda c, t, i: seen.append(c.count())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    run = lambda: started(live.transcript_stream(spark, str(root), "me"), out, cp, seen)
+    batch = lambda: sorted((r.message_id, r.session_id, r.input_tokens) for r in deduplicated(transcripts.scanned(spark, [(str(root), "me")])).collect())
+    stream = lambda: sorted((r.message_id, r.session_id, r.input_tokens) for r in live.table(spark, out).collect())
+    run()
+    # files without a last line end wait for it; sess.jsonl has one
+    assert seen == [[("m1", 1, None)]]
+    for f in ("alone.jsonl", "proj/sess/subagents/agent-1.jsonl"):
+        with (root / f).open("a") as g:
+            g.write("\n")
+    fuller = text_of(input_tokens=100)
+    with (root / "proj" / "sess.jsonl").open("a") as g:
+        g.write(fuller[:50])  # a line in the middle of being written
+    run()
+    assert seen[1] == [("m3", 3, None), ("m4", 3, None)]
+    with (root / "proj" / "sess.jsonl").open("a") as g:
+        g.write(fuller[50:] + "\n" + text_of(id="m5") + "\n")
+    (root / "proj" / "late.jsonl").write_text(text_of(input_tokens=7) + "\n" + text_of(id="m6") + "\r\n")
+    run()
+    assert seen[2] == [("m1", 100, 1), ("m5", 1, None), ("m6", 1, None)] and stream() == batch()
+    # cut and written anew: read from its start; a restarted query goes on from its log
+    (root / "proj" / "late.jsonl").write_text(text_of(id="m7") + "\n")
+    run()
+    run()
+    assert seen[3:] == [[("m7", 1, None)]]
+    (root / "alone.jsonl").unlink()
+    run()
+    assert len(seen) == 4
+    live.compacted(spark, out, 3)
+    assert {r[0] for r in stream()} == {"m1", "m3", "m4", "m5", "m6", "m7"}
+
+
+def test_tail_chunks_own_the_lines_that_begin_in_them(tmp_path, monkeypatch):
+    import random
+
+    r = random.Random(4)
+    text = b"".join(bytes(r.choice(b"ab") for _ in range(r.randint(0, 9))) + b"\n" for _ in range(60))
+    (tmp_path / "x.jsonl").write_bytes(text + b"open")
+    monkeypatch.setattr(tail, "CHUNK_BYTES", 7)
+    monkeypatch.setattr(tail, "STEP", 3)
+    reader = tail.TailReader(str(tmp_path))
+    end = reader.latestOffset()
+    assert end == {str(tmp_path / "x.jsonl"): len(text)}
+    got = [x for part in reader.partitions({}, end) for b in reader.read(part) for x in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+    want = text.decode().split("\n")[:-1]
+    assert [v for _, v in got] == want and [s for s, _ in got] == [len("\n".join([*want[:i], ""])) for i in range(len(want))]
+    cut = {str(tmp_path / "x.jsonl"): 20}
+    assert sum(b.num_rows for part in reader.partitions(end, cut) for b in reader.read(part)) == text[:20].count(b"\n") + (text[19:20] != b"\n")
+
+
+def test_scan_cuts_large_files(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "s.jsonl").write_text("".join(text_of(id=f"m{i}", input_tokens=i) + "\n" for i in range(5_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        rows = transcripts.scanned(spark, [(str(tmp_path), "me")])
+        assert rows.rdd.getNumPartitions() > 4
+        assert [r.input_tokens for r in rows.orderBy("ord").collect()] == list(range(5_000))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_nulls_roles_and_halves_are_mismatches(spark, tmp_path):
+    usage = {"input_tokens": 1, "output_tokens": 2}
+    bad = [line(requestId=None), line(cwd=None), line(isApiErrorMessage=None), line(message={"id": "m", "model": "x", "role": "user", "usage": usage}), line(message={"id": "m", "model": "x", "usage": None}),
+        line(message={"id": "m", "model": "x", "usage": {**usage, "cache_read_input_tokens": None}}), line(message={"id": "m", "model": "x", "usage": {**usage, "cache_creation": {"ephemeral_5m_input_tokens": 1}}}), line(costUSD="5")]
+    good = [line(extra=None), line(message={"id": "m", "model": "x", "role": "assistant", "content": [{"cwd": None}], "usage": usage}), {"type": "user", "cwd": None}]
+    (tmp_path / "a.jsonl").write_text("\n".join(json.dumps(x) for x in bad + good) + '\n{"type" : "assistant"\n{"no":1}\n[1]\n')
+    rows = transcripts.parsed(transcripts.read(spark, str(tmp_path))).groupBy("problem").count().collect()
+    assert {r.problem: r["count"] for r in rows}["schema-mismatch"] == len(bad) and {r.problem: r["count"] for r in rows}["invalid-json"] == 1
+
+
+def test_state_equals_batch_out_of_order(spark, tmp_path):
+    import random
+
+    r, root, out, cp = random.Random(9), tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
+    (root / "p").mkdir(parents=True)
+    for k in range(4):
+        rows = [json.dumps(line(requestId=r.choice(["", "q", "r"]), timestamp=f"2024-01-0{r.randint(1, 4)}T00:00:00Z", message={"id": f"m{r.randint(0, 9)}", "model": "x", "usage": {"input_tokens": r.randint(0, 5), "output_tokens": 0}})) for _ in range(40)]
+        (root / "p" / f"s{k}.jsonl").write_text("\n".join(rows) + "\n")
+        started(live.transcript_stream(spark, str(root), "me"), out, cp)
+    rows = transcripts.scanned(spark, [(str(root), "me")])
+    pick = lambda df: sorted((x.message_id, x.request_id, x.input_tokens, x.session_id, x.timestamp) for x in df.collect())
+    assert pick(live.table(spark, out)) == pick(deduplicated(rows))
+
+
+def test_kept_reports_rewrite_touched_parts_only(spark, tmp_path):
+    import os
+
+    root, out, cp, kept = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp"), str(tmp_path / "kept")
+    (root / "p").mkdir(parents=True)
+    sums = lambda df, *keys: df.groupBy("part", *keys).agg(F.sum("input_tokens").alias("n"), F.count(F.lit(1)).alias("n_events"))
+    families = [
+        live.Family("daily", F.date_format("ts", "yyyy-MM-dd"), lambda df: sums(df, F.date_format("ts", "yyyy-MM-dd").alias("date"))),
+        live.Family("projects", F.pmod(F.xxhash64("project_slug"), F.lit(8)), lambda df: sums(df, "project_slug")),
+        live.Family("sessions", F.pmod(F.xxhash64("session_id"), F.lit(8)), lambda df: sums(df, "session_id", "model")),
+    ]
+    run = lambda: started(live.transcript_stream(spark, str(root), "me"), out, cp, None, lambda c, t: live.refresh_parts(spark, kept, families, c, t))
+    files = lambda: {os.path.join(d, f) for d, _, names in os.walk(kept) for f in names if f.endswith(".parquet")}
+    at = lambda day, name, n: json.dumps(line(timestamp=f"2024-01-0{day}T00:00:00Z", message={"id": name, "model": "x", "usage": {"input_tokens": n, "output_tokens": 0}})) + "\n"
+    (root / "p" / "a.jsonl").write_text("".join(at(d, f"m{d}", 1) for d in (1, 2, 3)))
     run()
-    (root / "proj" / "more.jsonl").write_text(json.dumps(line(message={"id": "m1", "model": "claude-haiku-4-5", "usage": {"input_tokens": 100, "output_tokens": 2}})))
+    before = files()
+    # m3 moves to another day by a fuller row, so that its old day is empty; a new project comes
+    (root / "q").mkdir()
+    (root / "q" / "b.jsonl").write_text(at(2, "m3", 9) + at(2, "m9", 4))
     run()
-    table = live.table(spark, out)
-    assert {r.message_id: r.input_tokens for r in table.collect()} == {"m1": 100, "m3": 3, "m4": 3}
-    assert seen == [3, 1]
+    whole = live.table(spark, out)
+    for family in families:
+        want = family.fold(whole.withColumn("part", family.part.cast("string")))
+        assert sorted(map(str, (r.asDict() for r in live.report(spark, kept, family).select(*want.columns).withColumn("part", F.col("part").cast("string")).collect()))) == sorted(map(str, (r.asDict() for r in want.collect())))
+    daily = {f for f in before if "/daily/" in f}
+    assert len(daily & files()) == 1 and {f.split("part=")[1][:10] for f in daily & files()} == {"2024-01-01"}
 
 
 def test_refreshed_report_equals_full(spark):
