@@ -2,9 +2,11 @@
 
 The heuristic walk depends on order, but only hours matter to it: a block starts at a full hour, and within an hour
 it can change only right after the full hour itself. So events are first reduced to one row an hour (first, last and
-first-after-the-hour instants, a partial aggregate), the walk folds over the hours of each key with a higher-order
-function, and its result joins back to hourly sums. What is folded is bounded by the hours of the calendar that a key
-is active in, not by its events.
+first-after-the-hour instants, a partial aggregate). A block that began over five hours before an hour doesn't matter to
+it, so a stretch of CHUNK_HOURS can be entered in six ways only: in none of the blocks of the last five hours, or in one
+of them. Each stretch is walked from all six, the stretches of a key are then joined by where each is really entered, and
+its hours are walked once more from there. No list is longer than a stretch or the number of a key's stretches, and the
+result joins back to hourly sums.
 """
 
 from __future__ import annotations
@@ -72,25 +74,43 @@ def hours_of(events: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+#: Hours of a stretch of the walk.
+CHUNK_HOURS = 168
+
+
 def walked(hours: DataFrame, keys: list[str]) -> DataFrame:
     """keys, hour, at_hour (block start of an event at the full hour) and after (of all others of that hour)."""
-    state = "struct<start:bigint,prev:bigint,out:array<struct<hour:bigint,at_hour:bigint,after:bigint>>>"
-    zero = F.from_json(F.lit('{"out":[]}'), state)
+    long = lambda c: c.cast("long")
 
-    def step(acc: Column, h: Column) -> Column:
-        fresh = acc["start"].isNull() | (h["first"] - acc["start"] > SPAN) | (h["first"] - acc["prev"] > SPAN)
-        start = F.when(fresh, h["hour"]).otherwise(acc["start"])
+    def at_hour(start: Column, h: Column) -> Column:
         # a block may still hold an event at its very end, a full hour; what follows opens the next
-        after = F.when(h["last"] - start > SPAN, h["hour"]).otherwise(start)
-        row = F.struct(h["hour"].alias("hour"), start.alias("at_hour"), after.alias("after"))
-        return F.struct(after.alias("start"), h["last"].alias("prev"), F.concat(acc["out"], F.array(row)).alias("out"))
+        return F.when(~h["full"] | (h["hour"] - start <= SPAN), start).otherwise(h["hour"])
+
+    def after(at: Column, h: Column) -> Column:
+        return F.when(~h["inner"] | (h["hour"] - at < SPAN), at).otherwise(h["hour"])
+
+    size = CHUNK_HOURS * T.HOUR_MS
+    hour = F.struct("hour", (F.col("first") == F.col("hour")).alias("full"), F.col("inner").isNotNull().alias("inner"))
+    chunks = hours.groupBy(*keys, long(F.floor(F.col("hour") / size)).alias("_c")).agg(F.array_sort(F.collect_list(hour)).alias("hs"))
+    ways = F.sequence(F.lit(0), F.lit(SPAN // T.HOUR_MS))
+    entered = lambda k: F.when(k > 0, F.col("_c") * size - k * T.HOUR_MS)
+    exits = F.transform(ways, lambda k: F.aggregate("hs", long(entered(k)), lambda s, h: after(at_hour(s, h), h)))
+    lists = chunks.withColumn("exits", exits).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_c", "exits", "hs"))).alias("cs"))
 
-    # a gap over the span always ends a block: fold each stretch between gaps by itself
-    over = Window.partitionBy(*keys).orderBy("hour")
-    gap = (F.col("first") - F.lag("last").over(over) > SPAN).cast("int")
-    parts = hours.withColumn("_g", F.coalesce(gap, F.lit(0))).withColumn("_part", F.sum("_g").over(over))
-    lists = parts.groupBy(*keys, "_part").agg(F.array_sort(F.collect_list(F.struct("hour", "first", "last"))).alias("hs"))
-    return lists.select(*keys, F.inline(F.aggregate("hs", zero, step)["out"]))
+    def through(acc: Column, c: Column) -> Column:
+        back = (c["_c"] * size - acc["start"]) / T.HOUR_MS
+        way = F.when(back <= SPAN // T.HOUR_MS, back).otherwise(0).cast("int")
+        return F.struct(F.get(c["exits"], F.coalesce(way, F.lit(0))).alias("start"), F.concat(acc["out"], F.array(acc["start"])).alias("out"))
+
+    def step(acc: Column, h: Column) -> Column:
+        at = at_hour(acc["start"], h)
+        end = after(at, h)
+        return F.struct(end.alias("start"), F.concat(acc["out"], F.array(F.struct(h["hour"].alias("hour"), at.alias("at_hour"), end.alias("after")))).alias("out"))
+
+    begun = lists.withColumn("starts", F.aggregate("cs", F.from_json(F.lit('{"out":[]}'), "struct<start:bigint,out:array<bigint>>"), through)["out"])
+    parts = begun.select(*keys, F.inline(F.transform("cs", lambda c, i: F.struct(c["hs"].alias("hs"), F.get("starts", i).alias("start")))))
+    none = F.from_json(F.lit("[]"), "array<struct<hour:bigint,at_hour:bigint,after:bigint>>")
+    return parts.select(*keys, F.inline(F.aggregate("hs", F.struct("start", none.alias("out")), step)["out"]))
 
 
 def block_starts(events: DataFrame, keys: list[str]) -> DataFrame:
@@ -101,9 +121,10 @@ def block_starts(events: DataFrame, keys: list[str]) -> DataFrame:
     return found.withColumn("block", F.when(F.col("ms") == F.col("hour"), F.col("at_hour")).otherwise(F.col("after"))).drop("hour", "at_hour", "after")
 
 
-def blocks(events: DataFrame, keys: list[str] | None = None, samples: DataFrame | None = None, now: int | None = None, models: list[str] | None = None, machines: list[str] | None = None) -> DataFrame:
+def blocks(events: DataFrame, keys: list[str] | None = None, samples: DataFrame | None = None, now: int | None = None, models: list[str] | None = None, machines: list[str] | None = None, with_models: bool = False) -> DataFrame:
     """One row a block of each key: start, end (ms), source, first and last instants, sums of the events that match
-    models and machines (n_events, TOKENS, cost), sums of all events (all_tokens, all_io, all_cost), and, with now, active."""
+    models and machines (n_events, TOKENS, cost), sums of all events (all_tokens, all_io, all_cost), with with_models the
+    models of all events, sorted, and, with now, active."""
     keys = keys or []
     events = timed(events)
     if samples is not None:
@@ -121,6 +142,7 @@ def blocks(events: DataFrame, keys: list[str] | None = None, samples: DataFrame
         F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"), F.count_if(match).alias("n_events"),
         *(F.coalesce(F.sum(F.when(match, F.col(c))), F.lit(0)).alias(c) for c in [*TOKENS, "cost"]),
         F.sum(total()).alias("all_tokens"), F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("all_io"), F.sum("cost").alias("all_cost"),
+        *([F.array_sort(F.collect_set("model")).alias("models")] if with_models else []),
     )
     if now is None:
         return out
@@ -162,12 +184,23 @@ def with_limit(found: DataFrame, samples: DataFrame) -> DataFrame:
     return out.withColumn("limit_pct", pct).drop("peak", "_latest")
 
 
-def active_frame(found: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def active_frame(found: DataFrame, keys: list[str] | None = None, windows: DataFrame | None = None) -> DataFrame:
     """Of each key the active block (start, end) and the block before it (prev_start, prev_end, null if there is none):
-    what an intraday frame of the running block compares. found: blocks with active."""
-    over = Window.partitionBy(*(keys or [])).orderBy("start")
-    out = found.withColumns({"prev_start": F.lag("start").over(over), "prev_end": F.lag("end").over(over)}).filter("active")
-    return out.select(*(keys or []), "start", "end", "source", "prev_start", "prev_end")
+    what an intraday frame of the running block compares. found: blocks with active. With windows (start, end, source), also
+    exclusions and prev_exclusions: the real windows that overlap a heuristic block, whose events are none of the block's."""
+    keys = keys or []
+    over = Window.partitionBy(*keys).orderBy("start")
+    before = {"prev_start": F.lag("start").over(over), "prev_end": F.lag("end").over(over), "prev_source": F.lag("source").over(over)}
+    out = found.withColumns(before).filter("active").select(*keys, "start", "end", "source", *before)
+    if windows is None:
+        return out.drop("prev_source")
+    hours = lambda a, b: F.explode(F.sequence(T.floor_hour(a), T.floor_hour(b - 1), F.lit(T.HOUR_MS)))
+    w = windows.select(F.col("start").alias("_s"), F.col("end").alias("_e")).withColumn("_h", hours(F.col("_s"), F.col("_e")))
+    for source, a, b, name in (("source", "start", "end", "exclusions"), ("prev_source", "prev_start", "prev_end", "prev_exclusions")):
+        own = out.filter((F.col(source) == "heuristic") & F.col(a).isNotNull()).select(*keys, a, b).withColumn("_h", hours(F.col(a), F.col(b)))
+        met = own.join(w, "_h").filter((F.col("_s") < F.col(b)) & (F.col("_e") > F.col(a))).groupBy(*keys, a).agg(F.array_sort(F.collect_set(F.struct(F.col("_s").alias("start"), F.col("_e").alias("end")))).alias(name))
+        out = out.join(met, [*keys, a], "left").withColumn(name, F.coalesce(name, F.from_json(F.lit("[]"), "array<struct<start:bigint,end:bigint>>")))
+    return out.drop("prev_source")
 
 
 def starting_within(found: DataFrame, tz: str, since: str | None = None, until: str | None = None) -> DataFrame:
@@ -178,6 +211,8 @@ def starting_within(found: DataFrame, tz: str, since: str | None = None, until:
 
 
 def summary(found: DataFrame) -> DataFrame:
-    """Count, sums and the exact median of all tokens over finished blocks (0 if there is none)."""
+    """Count, sums and the exact median of all tokens over finished blocks (0 if there is none); where blocks have models,
+    their union too."""
     done = F.when(~F.col("active"), F.col("all_tokens")) if "active" in found.columns else F.col("all_tokens")
-    return found.agg(F.count(F.lit(1)).alias("n_blocks"), F.sum("all_tokens").alias("all_tokens"), F.sum("all_cost").alias("all_cost"), F.coalesce(F.median(done), F.lit(0.0)).alias("typical_tokens"))
+    more = [F.array_sort(F.array_distinct(F.flatten(F.collect_set("models")))).alias("models")] if "models" in found.columns else []
+    return found.agg(F.count(F.lit(1)).alias("n_blocks"), F.sum("all_tokens").alias("all_tokens"), F.sum("all_cost").alias("all_cost"), F.coalesce(F.median(done), F.lit(0.0)).alias("typical_tokens"), *more)

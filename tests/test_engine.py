@@ -146,6 +146,28 @@ def test_blocks_by_brute_force(spark):
     assert got == brute_blocks([x.ms for x in blocks.timed(df).collect()])
 
 
+def test_blocks_of_long_unbroken_stretches(spark):
+    import random
+    import time
+
+    r = random.Random(8)
+    steps = [r.choice([0, 1, 1, 1, 2, 5, 5, 3, 6, 0.5, 400]) for _ in range(6_000)]
+    busy = [float(i) + (i % 3) / 4 for i in range(80_000)]
+    for hours in (busy, [sum(steps[:0])] + [float(x) for x in __import__("itertools").accumulate(steps)]):
+        ms = [1_704_067_200_000 + int(h * H) for h in hours]
+        df = spark.createDataFrame([("k", m) for m in ms], "k string, ms long")
+        began = time.time()
+        got = {(x.hour, x.at_hour, x.after) for x in blocks.walked(blocks.hours_of(df, ["k"]), ["k"]).collect()}
+        assert time.time() - began < 30
+        starts, start = {}, None
+        for m in ms:
+            if start is None or m - start > 5 * H:
+                start = m - m % H
+            starts[m] = start
+        by = {h: (a, b) for h, a, b in got}
+        assert all(by[m - m % H][0 if m % H == 0 else 1] == s for m, s in starts.items()) and len(by) == len({m - m % H for m in ms})
+
+
 def sample(captured, util, reset):
     return (1_704_067_200_000 + int(captured * H), float(util), 1_704_067_200_000 + int(reset * H), 0)
 
