@@ -5,15 +5,70 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_dir
 from .events import KEY, TOKENS, total
 
 MOST_PAGE, MOST_PAIRS = 5_000, 5_000
 PAIR = ["project_slug", "session_id"]
 
 
+def ranked(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with their place in the order, from 0, without a gap: sorted by ranges and stored, each range counted, and a
+    row's place is that of its range's first row plus its own in the range. Only a count a range meets in one task. The order
+    should tell all rows apart; then the same rows get the same places whatever the partitions."""
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # the id counts the rows of a partition in its low 33 bits
+    dealt = dealt.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_own"))
+    path = new_dir(spark, "ranked")
+    dealt.write.parquet(path)
+    held = spark.read.schema(dealt.schema).parquet(path)
+    counts = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a range
+    return held.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
+
+
 def numbered(batch: DataFrame, after: int) -> DataFrame:
-    """A batch with seq, from after + 1 in order of ord. A batch is a push of bounded size."""
-    return batch.withColumn("seq", F.lit(after) + F.row_number().over(Window.orderBy("ord")))
+    """A batch with seq, from after + 1 in order of ord (ties: by key). The same batch gets the same numbers again."""
+    return ranked(batch, ["ord", *KEY], "seq").withColumn("seq", F.col("seq") + F.lit(after + 1))
+
+
+def appended(spark: SparkSession, path: str, batch: DataFrame, token: str) -> int:
+    """Append to a log of folders push=<token> what of a batch (one row a key) is new there or fuller than what it has, with
+    numbers after its last; returns how many rows. A token's folder is whole or not read, as its _SUCCESS says, so a push that
+    failed is done again and one that was done isn't. One writer at a time, as a log has one hub."""
+    from .events import unseen
+
+    held = log(spark, path)
+    if held is not None and not held.filter(F.col("push") == token).isEmpty():
+        return 0
+    fresh = batch if held is None else unseen(batch, held.select(*batch.columns))
+    last = 0 if held is None else held.agg(F.max("seq")).first()[0] or 0
+    numbered(fresh, last).write.mode("overwrite").parquet(f"{path}/push={token}")
+    return spark.read.parquet(f"{path}/push={token}").count()
+
+
+def log(spark: SparkSession, path: str) -> DataFrame | None:
+    """All finished pushes of a log, with push; None if there is none."""
+    to = spark._jvm.org.apache.hadoop.fs.Path
+    fs = to(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [str(s.getPath()).rpartition("/push=")[2] for s in fs.globStatus(to(f"{path}/push=*")) or [] if fs.exists(to(f"{s.getPath()}/_SUCCESS"))]
+    # a push without rows has a schema like all others
+    return spark.read.option("basePath", path).schema(spark.read.parquet(f"{path}/push={found[0]}").schema.add("push", "string")).parquet(*(f"{path}/push={x}" for x in found)) if found else None
+
+
+def stamped(batch: DataFrame, held: DataFrame) -> DataFrame:
+    """What a hub answers a push with: of each key of a batch the seq that the log has it under."""
+    own = held.groupBy(*KEY).agg(F.max_by("seq", F.struct(total(), -F.col("seq"))).alias("seq")).select(*(F.col(k).alias(f"_{k}") for k in KEY), "seq")
+    return batch.select(*KEY).join(own, [batch[k].eqNullSafe(own[f"_{k}"]) for k in KEY]).select(*KEY, "seq")
+
+
+def push_batches(events: DataFrame, stamps: DataFrame, most: int = 1_000) -> DataFrame:
+    """Events that no stamp (a key) covers, with batch: in order of time, `most` at a time."""
+    own = stamps.select(*(F.col(k).alias(f"_{k}") for k in KEY)).distinct()
+    left = events.join(own, [events[k].eqNullSafe(own[f"_{k}"]) for k in KEY], "left_anti")
+    return ranked(left, ["timestamp", "ord", *KEY], "_at").withColumn("batch", F.floor(F.col("_at") / most)).drop("_at")
 
 
 def page(log: DataFrame, since: int, limit: int, watermark: int | None = None) -> DataFrame:
@@ -43,10 +98,10 @@ def forgotten_in_batches(log: DataFrame, pairs: DataFrame, machine_id: str | Non
     """Forget any number of pairs in requests of at most `most` pairs: (rows that stay, a row for each batch: batch,
     n_pairs, n_removed). Batches go by rank of the pairs; all are dealt with in one join."""
     pairs = pairs.select(*PAIR).distinct()
-    ranked = pairs.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(*PAIR)) - 1) / most))
+    dealt = ranked(pairs, PAIR, "_at").withColumn("batch", F.floor(F.col("_at") / most)).drop("_at")
     rows = log.filter(F.col("machine_id") == machine_id) if machine_id is not None else log
     hits = rows.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n"))
-    told = ranked.join(hits, PAIR, "left").groupBy("batch").agg(F.count(F.lit(1)).alias("n_pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_removed"))
+    told = dealt.join(hits, PAIR, "left").groupBy("batch").agg(F.count(F.lit(1)).alias("n_pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_removed"))
     return forgotten(log, pairs, machine_id)[0], told
 
 

@@ -2,39 +2,58 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
-
-#: Most rows of a dimension that is resolved on the driver.
-MOST = 1_000_000
-
-
-def closure(parents: dict[str, str | None]) -> dict[str, str]:
-    """Each node's terminal ancestor; a cycle ends where it is first entered again, an unknown parent is terminal."""
-    out = {}
-    for node in parents:
-        at, seen = node, set()
-        while at not in seen:
-            seen.add(at)
-            nxt = parents.get(at)
-            if nxt is None or nxt == at:
-                break
-            at = nxt
-        out[node] = at
-    return out
+from ..sources.shared import stored
+
+
+def jumped(edges: DataFrame) -> DataFrame:
+    """edges (node, to; one row a node) -> node, end, low, last: where a node's path leads after at least as many steps as
+    there are nodes, a node without an edge being its own end, and the least node and newest edge (order) of those steps. Steps
+    double: each round joins the table with itself, and is stored. Rounds are the logarithm of the longest path, or of the
+    number of nodes where there is a cycle."""
+    nodes = edges.select("node").unionByName(edges.select(F.col("to").alias("node"))).filter("node IS NOT NULL").distinct()
+    own = F.coalesce("to", "node")
+    at = stored(nodes.join(edges, "node", "left").select("node", own.alias("end"), F.least("node", own).alias("low"), F.col("order").alias("last")), "jumps")
+    steps, n = 1, at.count()
+    while steps < n:
+        onward = at.select(F.col("node").alias("end"), F.col("end").alias("_end"), F.col("low").alias("_low"), F.col("last").alias("_last"))
+        then = stored(at.join(onward, "end").select("node", F.col("_end").alias("end"), F.least("low", "_low").alias("low"), F.greatest("last", "_last").alias("last"), (F.col("_end") != F.col("end")).alias("_moved")), "jumps")
+        steps *= 2
+        at, still = then.drop("_moved"), then.filter("_moved").isEmpty()
+        if still:
+            break
+    return at
+
+
+def in_cycles(edges: DataFrame) -> DataFrame:
+    """The nodes of edges (node, to, order) that lie on a cycle, with low, the cycle's least node, and last, its newest edge's
+    order. A path that has gone on for as many steps as there are nodes is in a cycle or at its end, and every node of a cycle
+    is where some path is then."""
+    far = jumped(edges)
+    met = far.select(F.col("end").alias("node")).distinct().join(edges.select("node"), "node", "left_semi")
+    return far.join(met, "node").select("node", "low", "last")
+
+
+def closed(edges: DataFrame) -> DataFrame:
+    """edges (node, to) -> node, target for all nodes, those without an edge too: the end of each one's path. A node on a cycle
+    is its own target, and one that leads to a cycle has the node where it gets there. No bound on nodes or lengths."""
+    edges = stored(edges.select("node", "to").filter("to IS NOT NULL AND to != node").withColumn("order", F.struct(F.lit(0))), "edges")
+    if edges.isEmpty():
+        return edges.select("node", F.col("to").alias("target"))
+    ring = in_cycles(edges).select("node", F.lit(True).alias("_ring"))
+    cut = edges.join(ring, "node", "left").withColumn("to", F.when(F.col("_ring").isNull(), F.col("to"))).drop("_ring")
+    return jumped(stored(cut, "edges")).select("node", F.col("end").alias("target"))
 
 
 def alias_targets(machines: DataFrame) -> DataFrame:
-    """machines (machine_id, merged_into) -> machine_id, target."""
-    rows = machines.select("machine_id", "merged_into").limit(MOST + 1).collect()
-    if len(rows) > MOST:
-        raise ValueError(f"more than {MOST} machines")
-    known = closure({r[0]: r[1] for r in rows})
-    return machines.sparkSession.createDataFrame(sorted(known.items()), "machine_id string, target string")
+    """machines (machine_id, merged_into) -> machine_id, target: the end of each alias chain; cycles end where they are
+    entered, and an id that is no machine may be an end."""
+    known = closed(machines.select(F.col("machine_id").alias("node"), F.col("merged_into").alias("to")))
+    own = machines.select("machine_id").distinct()
+    return own.join(known.withColumnRenamed("node", "machine_id"), "machine_id", "left").select("machine_id", F.coalesce("target", "machine_id").alias("target"))
 
 
 def folded(rows: DataFrame, key: str, mapping: DataFrame, sums: list[str], others: list[str] = []) -> DataFrame:  # noqa: B006
@@ -73,32 +92,38 @@ def adopted(own: DataFrame, hub: DataFrame, author: str, me: str, keys: list[str
     return latest(mine, keys, order).unionByName(hub.filter(F.col(author) != me))
 
 
-def resolved_merges(assertions: Iterable[tuple[str, str, str | None, str]], key_of: dict[str, str]) -> tuple[dict[str, str], list[tuple[str, str | None, str]]]:
-    """(author, source, target or None, updated_at) -> final target of each merged group, and (source group, target
-    group, status). The newest statement of each author, then anchor, then group counts; of those, older edges go
-    first and an edge that would close a cycle is a conflict."""
-    order = lambda a: (a[3], a[0], a[1])
-    per: dict = {}
-    for level in (lambda a: (a[0], a[1]), lambda a: a[1], lambda a: key_of.get(a[1], a[1])):
-        best: dict = {}
-        for a in per.values() if per else assertions:
-            k = level(a)
-            if k not in best or order(a) > order(best[k]):
-                best[k] = a
-        per = best
-    out, edges = [], {}
-    for source, a in sorted(per.items(), key=lambda x: order(x[1])):
-        target = None if a[2] is None else key_of.get(a[2], a[2])
-        if target is None or target == source:
-            out.append((source, target, "unmerged" if target is None else "redundant"))
-            continue
-        at = target
-        while at != source and at in edges:
-            at = edges[at]
-        out.append((source, target, "conflict" if at == source else "active"))
-        if at != source:
-            edges[source] = target
-    return closure({**{t: None for t in edges.values()}, **edges}), out
+#: Order of merge assertions.
+NEWER = ["updated_at", "author", "source"]
+
+
+def resolved_merges(assertions: DataFrame, groups: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """assertions (author, source, target or null, updated_at, and columns of any other kind) and groups (anchor, group_key,
+    the automatic fold; anchors that it lacks are their own) -> entries, targets, representatives.
+
+    entries: the assertion that counts of each source group, with source_key, target_key and status: the newest statement of
+    each author and source, then of each source, then of each source group; 'unmerged' without a target, 'redundant' within a
+    group, 'conflict' where it closes a cycle of older ones, else 'active'. As a group has one edge, a cycle's newest edge is
+    the one that closes it. targets: group, target for each group that an active edge touches. representatives: of each target
+    the newest active entry that names it directly, as target_key and that entry's columns."""
+    newest = assertions
+    for keys in (["author", "source"], ["source"]):
+        newest = latest(newest, keys, NEWER)
+    if groups is None:
+        keyed = newest.withColumns({"source_key": F.col("source"), "target_key": F.col("target")})
+    else:
+        of = lambda c: groups.select(F.col("anchor").alias(c), F.col("group_key").alias(f"{c}_key"))
+        keyed = newest.join(of("source"), "source", "left").join(of("target"), "target", "left")
+        keyed = keyed.withColumns({f"{c}_key": F.coalesce(f"{c}_key", c) for c in ("source", "target")})
+    keyed = stored(latest(keyed, ["source_key"], NEWER), "merges")
+    edges = stored(keyed.filter("target_key IS NOT NULL AND target_key != source_key").select(F.col("source_key").alias("node"), F.col("target_key").alias("to"), F.struct(*NEWER).alias("order")), "edges")
+    cycles = in_cycles(edges) if not edges.isEmpty() else edges.select("node", F.col("to").alias("low"), F.col("order").alias("last"))
+    closing = cycles.select(F.col("node").alias("source_key"), F.col("last").alias("_last"))
+    status = F.when(F.col("target_key").isNull(), "unmerged").when(F.col("target_key") == F.col("source_key"), "redundant").when(F.col("_last") == F.struct(*NEWER), "conflict").otherwise("active")
+    entries = stored(keyed.join(closing, "source_key", "left").withColumn("status", status).drop("_last"), "merges")
+    active = entries.filter("status = 'active'")
+    targets = closed(active.select(F.col("source_key").alias("node"), F.col("target_key").alias("to"))).withColumnRenamed("node", "group")
+    ends = targets.filter(F.col("group") == F.col("target")).select(F.col("group").alias("target_key"))
+    return entries, targets, latest(active.join(ends, "target_key", "left_semi"), ["target_key"], NEWER)
 
 
 def worktree_fold(report: DataFrame, sums: list[str], others: list[str] = [], groups: DataFrame | None = None) -> DataFrame:  # noqa: B006

@@ -12,22 +12,28 @@ EVENT = (
 
 
 def loaded(spark: SparkSession, path: str, strict: bool = True) -> tuple[str, DataFrame]:
-    """(epoch, events). A torn last line is tolerated; any other broken line fails if strict, else it is skipped."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "value")).filter("value != ''")
-    first = rows.filter("line = 0").select(F.from_json("value", "epoch string")["epoch"]).first()
-    if first is None or first[0] is None:
+    """(epoch, events) of a log file, or a folder of them in order of their names. A torn last line is tolerated; any other
+    broken line fails if strict, else it is skipped. Files are read by byte ranges."""
+    text = spark.read.text(path, lineSep="\n")
+    at = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    rows = text.select(at.alias("at"), "value").filter("value != ''").withColumn("e", F.from_json("value", EVENT + ", epoch string, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
+    head = F.col("e.epoch").isNotNull() & F.col("e.seq").isNull()
+    broken = ~head & (F.col("e._corrupt").isNotNull() | F.col("e.seq").isNull() | F.col("e.message_id").isNull())
+    told = rows.agg(F.min_by(F.when(head, F.col("e.epoch")), "at").alias("epoch"), F.count_if(head).alias("heads"), F.count_if(broken).alias("n"), (F.max(F.when(broken, F.col("at"))) == F.max("at")).alias("torn")).first()
+    if told["epoch"] is None:
         raise ValueError(f"{path}: no header")
-    body = rows.filter("line > 0").withColumn("e", F.from_json("value", EVENT + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
-    broken = body.filter("e._corrupt IS NOT NULL OR e.seq IS NULL OR e.message_id IS NULL").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("at")).first()
-    last = body.agg(F.max("line")).first()[0]
-    if strict and broken["n"] and not (broken["n"] == 1 and broken["at"] == last):
-        raise ValueError(f"{path}: {broken['n']} broken lines, the first is {broken['at']}")
-    return first[0], body.filter("e._corrupt IS NULL AND e.seq IS NOT NULL AND e.message_id IS NOT NULL").select("e.*").drop("_corrupt")
+    wrong = told["n"] + told["heads"] - 1
+    if strict and wrong and not (wrong == 1 and told["n"] == 1 and told["torn"]):
+        raise ValueError(f"{path}: {wrong} broken lines")
+    return told["epoch"], rows.filter(~head & ~broken).select("e.*").drop("epoch", "_corrupt")
 
 
 def rewritten(events: DataFrame, path: str, epoch: str) -> None:
-    """A log with these events in order of seq, as one text file below path. Logs are split by epoch, so one is small."""
+    """A log with these events in order of seq, as text files below path, a range of seq each; the first begins with the
+    header. Their names are in order."""
     spark = events.sparkSession
-    head = spark.createDataFrame([(-1, f'{{"epoch":"{epoch}"}}')], "seq long, value string")
+    head = spark.createDataFrame([(None, f'{{"epoch":"{epoch}"}}')], "seq long, value string")
     body = events.select("seq", F.to_json(F.struct(*events.columns)).alias("value"))
-    head.unionByName(body).repartition(1).sortWithinPartitions("seq").select("value").write.mode("overwrite").text(path)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both = head.unionByName(body).repartitionByRange(n, F.col("seq").asc_nulls_first()).sortWithinPartitions(F.col("seq").asc_nulls_first())
+    both.select("value").write.mode("overwrite").text(path)

@@ -6,6 +6,8 @@ Files are read by byte ranges, a row a line, so a large file is many tasks and n
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,8 +104,9 @@ def scanned(spark: SparkSession, roots: list[tuple[str, str]]) -> DataFrame:
 
 def listed(spark: SparkSession, root: str) -> DataFrame:
     """path, size and modified of all *.jsonl files below a root. Their content isn't read."""
-    now = spark.read.format("binaryFile").options(**{k: str(v).lower() if v is True else v for k, v in JSONL.items()}).load(root)
-    return now.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    now = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", True).load(root)
+    about = F.col("_metadata")
+    return now.select(about["file_path"].alias("path"), about["file_size"].alias("size"), about["file_modification_time"].alias("modified"))
 
 
 def stale(spark: SparkSession, root: str, known: DataFrame) -> DataFrame:
@@ -111,6 +114,44 @@ def stale(spark: SparkSession, root: str, known: DataFrame) -> DataFrame:
     return listed(spark, root).join(known, ["path", "size", "modified"], "left_anti")
 
 
+#: Version of what is kept; raise it when parsing changes, and all files are parsed anew.
+CACHE_VERSION = 1
+STAMP = ["path", "size", "modified"]
+
+
+def cached(spark: SparkSession, root: str, machine_id: str, cache: str, version: int = CACHE_VERSION) -> DataFrame:
+    """scanned() of one root, with what earlier calls parsed kept below cache: events of each run, and then the files that it
+    parsed by path, size and time. Only files that are new or differ are parsed; files that are gone, or were replaced, are in
+    no result. A run that broke off before its files were written left events that nothing refers to."""
+    at = f"{cache}/version={version}"
+    now = listed(spark, root)
+    known = kept(spark, f"{at}/files", ", ".join(("path string", "size long", "modified timestamp", "run string")))
+    new = [r["path"] for r in now.join(known, STAMP, "left_anti").select("path").collect()] if known is not None else None  # the paths that Spark is to read
+    run = "r" + uuid.uuid4().hex
+    if known is None or new:
+        events = usage(parsed(read(spark, root if known is None else new)), root, machine_id).withColumn("path", F.col("ord.path"))
+        events.write.parquet(f"{at}/events/run={run}")
+        stale_ = now if known is None else now.join(known, STAMP, "left_anti")
+        stale_.withColumn("run", F.lit(run)).write.mode("append").parquet(f"{at}/files")
+        known = kept(spark, f"{at}/files", None)
+    live = known.join(now, STAMP, "left_semi").select("path", "run")
+    events = spark.read.parquet(f"{at}/events")
+    return events.join(live, ["path", "run"], "left_semi").drop("path", "run")
+
+
+def kept(spark: SparkSession, path: str, schema: str | None) -> DataFrame | None:
+    """A table that may not be there yet."""
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = to.getFileSystem(spark._jsc.hadoopConfiguration()).exists(to)
+    return (spark.read.schema(schema) if schema else spark.read).parquet(path) if there else None
+
+
+def forget_cache(spark: SparkSession, cache: str) -> None:
+    """Drop everything that is kept; the next call parses all files."""
+    to = spark._jvm.org.apache.hadoop.fs.Path(cache)
+    to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
+
+
 def session_frames(summary: DataFrame, events: DataFrame) -> DataFrame:
     """NDJSON lines of a session: its summary, then its events, each tagged."""
     tagged = lambda df, tag, n: df.select(F.lit(n).alias("n"), F.col("rank") if "rank" in df.columns else F.lit(0).alias("rank"), F.to_json(F.struct(F.lit(tag).alias("type"), *[c for c in df.columns if c != "rank"])).alias("value"))

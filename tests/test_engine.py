@@ -211,11 +211,60 @@ def test_project_paths(spark):
     assert {r.project_slug: r.path for r in reports.project_paths(df).collect()} == {"-a-b": "/a/b", "-c": "/z", "-d-e": "/d/e"}
 
 
+def end_of(parents, node):
+    """Along the parents to the end, or to the first node that comes again."""
+    seen = set()
+    while node not in seen:
+        seen.add(node)
+        if parents.get(node) in (None, node):
+            break
+        node = parents[node]
+    return node
+
+
+def plain_merges(assertions, key_of):
+    """Statement by statement: entries {source key: (target key, status)}, targets, representatives."""
+    order = lambda a: (a[3], a[0], a[1])
+    for level in (lambda a: (a[0], a[1]), lambda a: a[1], lambda a: key_of.get(a[1], a[1])):
+        best = {}
+        for a in sorted(assertions, key=order):
+            best[level(a)] = a
+        assertions = list(best.values())
+    entries, edges, names = {}, {}, {}
+    for a in sorted(assertions, key=order):
+        source, target = key_of.get(a[1], a[1]), None if a[2] is None else key_of.get(a[2], a[2])
+        status = "unmerged" if target is None else "redundant" if target == source else "conflict" if end_of(edges, target) == source else "active"
+        entries[source] = (target, status)
+        if status == "active":
+            edges[source] = target
+    for a in sorted(assertions, key=order):
+        target = None if a[2] is None else key_of.get(a[2], a[2])
+        if edges.get(key_of.get(a[1], a[1])) == target and target is not None and target not in edges:
+            names[target] = a[2]
+    return entries, {k: end_of(edges, k) for k in {*edges, *edges.values()}}, names
+
+
+def test_merges_by_plain_rules(spark):
+    import random
+
+    r = random.Random(6)
+    few = [("m", "a", "b", "1"), ("m", "b", "c", "2"), ("m", "c", "a", "3"), ("n", "d", "a", "1"), ("n", "d", None, "2"), ("m", "e", "e", "1"), ("q", "f", "g", "9"), ("q", "g", "f", "8"), ("q", "h", "f", "1")]
+    many = [(r.choice("mn"), f"p{r.randint(0, 30)}", r.choice([None, *(f"p{i}" for i in range(31))]), f"{r.randint(0, 99):02}") for _ in range(90)]
+    for rows, key_of in ((few, {}), (many, {}), (many, {f"p{i}": f"p{i - i % 3}" for i in range(31)})):
+        rows = list({(a[0], a[1], a[3]): a for a in rows}.values())
+        groups = spark.createDataFrame(list(key_of.items()), "anchor string, group_key string") if key_of else None
+        entries, targets, names = dims.resolved_merges(spark.createDataFrame(rows, "author string, source string, target string, updated_at string"), groups)
+        want = plain_merges(rows, key_of)
+        assert {x.source_key: (x.target_key, x.status) for x in entries.collect()} == want[0]
+        assert {x.group: x.target for x in targets.collect()} == want[1] and {x.target_key: x.target for x in names.collect()} == want[2]
+    none = dims.resolved_merges(spark.createDataFrame([], "author string, source string, target string, updated_at string"))
+    assert [x.count() for x in none] == [0, 0, 0]
+
+
 def test_dimensions(spark):
-    assert dims.closure({"a": "b", "b": "c", "c": None, "x": "y", "y": "x", "u": "?"}) == {"a": "c", "b": "c", "c": "c", "x": "x", "y": "y", "u": "?"}
-    targets, entries = dims.resolved_merges([("m", "a", "b", "1"), ("m", "b", "c", "2"), ("m", "c", "a", "3"), ("n", "d", "a", "1"), ("n", "d", None, "2"), ("m", "e", "e", "1")], {})
-    assert targets == {"a": "c", "b": "c", "c": "c"}
-    assert sorted((s, st) for s, _, st in entries) == [("a", "active"), ("b", "active"), ("c", "conflict"), ("d", "unmerged"), ("e", "redundant")]
+    chains = {"a": "b", "b": "c", "c": None, "x": "y", "y": "x", "u": "?", "z": "x", "w": "z", "s": "s"} | {f"n{i}": f"n{i + 1}" for i in range(40)}
+    got = {r.machine_id: r.target for r in dims.alias_targets(spark.createDataFrame(list(chains.items()), "machine_id string, merged_into string")).collect()}
+    assert got == {k: end_of(chains, k) for k in chains} and got["w"] == "x" and got["n0"] == "n40" and got["u"] == "?"
     rows = spark.createDataFrame([("m1", "p", None, 5), ("m2", "p", "r", 5), ("m1", "p--claude-worktrees-x", "w", 9)], "machine_id string, project_slug string, repo_id string, probed_at long")
     assert [(r[0], r[1]) for r in dims.newest_identity(rows).collect()] == [("p", "p")]
     mapping = spark.createDataFrame([("a", "t"), ("b", "t"), ("c", "c")], "machine_id string, target string")
@@ -236,7 +285,9 @@ def test_log_files(spark, tmp_path):
     logs.rewritten(df, str(tmp_path / "log"), "e1")
     epoch, back = logs.loaded(spark, str(tmp_path / "log"))
     assert epoch == "e1" and sorted(r.message_id for r in back.collect()) == ["2", "m"]
-    whole = next((tmp_path / "log").glob("part-*")).read_text()
+    parts = sorted((tmp_path / "log").glob("part-*"))
+    whole = "".join(x.read_text() for x in parts)
+    assert parts[0].read_text().startswith('{"epoch":"e1"}\n')
     (tmp_path / "torn.ndjson").write_text(whole + '{"message_id": "3", "se')
     assert logs.loaded(spark, str(tmp_path / "torn.ndjson"))[1].count() == 2
     lines = whole.splitlines()
@@ -246,6 +297,53 @@ def test_log_files(spark, tmp_path):
     assert logs.loaded(spark, str(tmp_path / "bad.ndjson"), strict=False)[1].count() == 2
 
 
+def test_appends_are_whole_or_not_there(spark, tmp_path):
+    log = str(tmp_path / "log")
+    first = events(spark, dict(message_id="a"), dict(message_id="b"), dict(message_id="c", request_id=None)).repartition(3)
+    assert archive.appended(spark, log, first, "t1") == 3 and archive.appended(spark, log, first, "t1") == 0
+    second = events(spark, dict(message_id="b", input_tokens=9), dict(message_id="d"), dict(message_id="c", request_id=None), dict(message_id="c", request_id=""))
+    (tmp_path / "log" / "push=t2").mkdir()  # a push that broke off
+    (tmp_path / "log" / "push=t2" / "part-0.parquet").write_bytes(b"torn")
+    assert archive.log(spark, log).count() == 3
+    assert archive.appended(spark, log, second, "t2") == 3
+    held = archive.log(spark, log)
+    assert sorted((r.seq, r.message_id) for r in held.collect()) == [(1, "a"), (2, "b"), (3, "c"), (4, "b"), (5, "d"), (6, "c")]
+    assert {(r.message_id, r.request_id): r.seq for r in archive.stamped(second, held).collect()} == {("b", "r"): 4, ("d", "r"): 5, ("c", None): 3, ("c", ""): 6}
+    assert archive.appended(spark, log, second, "t3") == 0 and archive.log(spark, log).count() == 6
+    left = archive.push_batches(second, held.filter("seq > 3"), 1)
+    assert [(r.message_id, r.batch) for r in left.collect()] == [("c", 0)]
+
+
+def test_ranks_have_no_gap_whatever_the_partitions(spark):
+    rows = [(i * 7919 % 1000, i % 3) for i in range(1000)]
+    for n in (1, 7):
+        got = archive.ranked(spark.createDataFrame(rows, "a int, b int").repartition(n), ["a", "b"], "at").collect()
+        assert sorted((r.a, r.at) for r in got) == [(i, i) for i in range(1000)]
+    assert archive.ranked(spark.createDataFrame([], "a int"), ["a"], "at").count() == 0
+
+
+def test_cache_parses_only_what_changed(spark, tmp_path):
+    import os
+
+    root, cache = tmp_path / "in", str(tmp_path / "cache")
+    root.mkdir()
+    transcript_files(root)
+    runs = lambda: {d for d in os.listdir(f"{cache}/version=1/events") if d.startswith("run=")}
+    scan = lambda **more: sorted((r.message_id, r.input_tokens, r.session_id) for r in transcripts.cached(spark, str(root), "me", cache, **more).collect())
+    plain = lambda: sorted((r.message_id, r.input_tokens, r.session_id) for r in transcripts.scanned(spark, [(str(root), "me")]).collect())
+    assert scan() == plain() and scan() == plain() and len(runs()) == 1
+    (root / "proj" / "more.jsonl").write_text(text_of(id="m8"))
+    with (root / "alone.jsonl").open("a") as f:
+        f.write("\n" + text_of(id="m9"))
+    (root / "proj" / "sess.jsonl").unlink()
+    assert scan() == plain() and len(runs()) == 2 and scan() == plain() and len(runs()) == 2
+    new = next(d for d in runs() if spark.read.parquet(f"{cache}/version=1/events/{d}").filter("message_id = 'm8'").count())
+    assert {r[0].rpartition("/")[2] for r in spark.read.parquet(f"{cache}/version=1/events/{new}").select("path").distinct().collect()} == {"more.jsonl", "alone.jsonl"}
+    assert scan(version=2) == plain() and len(os.listdir(f"{cache}/version=2/events")) >= 1
+    transcripts.forget_cache(spark, cache)
+    assert scan() == plain() and len(runs()) == 1
+
+
 def line(**more):
     return {"type": "assistant", "timestamp": "2024-01-01T00:00:00Z", "message": {"id": "m1", "model": "claude-haiku-4-5", "usage": {"input_tokens": 1, "output_tokens": 2}}, **more}
 
