@@ -35,6 +35,31 @@ def gridded(placed: DataFrame, starts: DataFrame, axes: tuple[str, ...] = ()) ->
     return spine.join(sums, ["frame", *axes, "idx"], "left").na.fill(0, ["n_events", *TOKENS, "cost"])
 
 
+#: Levels of an assembled grid, by which axes they have.
+LEVELS = {"total": (), "project": ("project_slug",), "machine": ("machine_id",), "machine-project": ("machine_id", "project_slug")}
+
+
+def levels(by_project: bool, by_machine: bool) -> list[str]:
+    """What a request asks for. Projects by themselves are left out where machines are asked for: they lie within these."""
+    return ["total", *(["project"] if by_project and not by_machine else []), *(["machine"] if by_machine else []), *(["machine-project"] if by_project and by_machine else [])]
+
+
+def assembled(placed: DataFrame, starts: DataFrame, wanted: list[str]) -> DataFrame:
+    """placed: events with frame and idx; starts: frame, idx, bucket_start. All wanted levels in one pass over the events:
+    level, machine_id and project_slug (null where the level has none), frame, idx, bucket_start and sums. Each level is dense:
+    every bucket of both frames for each value that is in either, so one of the frame before alone has zeros now."""
+    keys = ["machine_id", "project_slug"]
+    own = placed.groupingSets([["frame", "idx", *LEVELS[x]] for x in wanted], "frame", "idx", *keys)
+    level = F.when(F.grouping("machine_id") + F.grouping("project_slug") == 2, "total").when(F.grouping("machine_id") == 1, "project").when(F.grouping("project_slug") == 1, "machine").otherwise("machine-project")
+    sums = own.agg(level.alias("level"), F.count(F.lit(1)).alias("n_events"), *(F.sum(c).alias(c) for c in [*TOKENS, "cost"]))
+    none = placed.sparkSession.createDataFrame([("total", None, None)], "level string, machine_id string, project_slug string")
+    values = sums.select("level", *keys).unionByName(none).distinct() if "total" in wanted else sums.select("level", *keys).distinct()
+    grid = values.crossJoin(starts).alias("g")  # the dense grid is this product: the buckets are MOST_BUCKETS a frame at most
+    at = ["level", "frame", "idx"]
+    met = grid.join(sums.alias("s"), [F.col(f"g.{c}") == F.col(f"s.{c}") for c in at] + [F.col(f"g.{c}").eqNullSafe(F.col(f"s.{c}")) for c in keys], "left")
+    return met.select("g.*", "s.n_events", *(f"s.{c}" for c in [*TOKENS, "cost"])).na.fill(0, ["n_events", *TOKENS, "cost"])
+
+
 def frames(events: DataFrame, start: Column, before: Column | None, bucket: int, count: int) -> DataFrame:
     """events (with ms) of the current frame and, if asked for, of the one before."""
     own = events.select("*", F.lit("current").alias("frame"), F.floor((F.col("ms") - start) / bucket).cast("int").alias("idx"))
@@ -50,15 +75,17 @@ def spine(spark, count: int, current: Column, previous: Column | None) -> DataFr
     return out if previous is None else out.unionByName(idx.select(F.lit("previous").alias("frame"), "idx", previous.cast("long").alias("bucket_start")))
 
 
-def rolling(events: DataFrame, span: str, now: int, bucket: int | None = None, previous: bool = True, axes: tuple[str, ...] = ()) -> DataFrame:
-    """Buckets that end exactly at now (an event at now is out), and the same before them."""
+def rolling(events: DataFrame, span: str, now: int, bucket: int | None = None, previous: bool = True, axes: tuple[str, ...] = (), wanted: list[str] | None = None) -> DataFrame:
+    """Buckets that end exactly at now (an event at now is out), and the same before them; with wanted, the levels of
+    assembled()."""
     bucket = bucket or BUCKETS.get(span, LINE_MS)
     count = checked(WINDOWS[span], bucket)
     start, before = now - count * bucket, now - 2 * count * bucket
     events = events.filter((F.col("ts") >= T.from_ms(F.lit(before if previous else start))) & (F.col("ts") < T.from_ms(F.lit(now)))).withColumn("ms", T.epoch_ms(F.col("ts")))
     placed = frames(events, F.lit(start), F.lit(before) if previous else None, bucket, count)
     at = lambda s: F.lit(s) + F.col("idx") * bucket
-    return gridded(placed, spine(events.sparkSession, count, at(start), at(before) if previous else None), axes)
+    starts = spine(events.sparkSession, count, at(start), at(before) if previous else None)
+    return assembled(placed, starts, wanted) if wanted else gridded(placed, starts, axes)
 
 
 def today(events: DataFrame, now: int, tz: str, bucket: int = T.HOUR_MS, previous: bool = True, axes: tuple[str, ...] = ()) -> DataFrame:

@@ -75,8 +75,14 @@ def sessions(events: DataFrame, tz: str = "UTC", since: str | None = None, until
     return out
 
 
+def locale(column: str) -> list[Column]:
+    """The order of names as people expect it (the root locale: case matters last, signs weigh as they are), and of equal ones
+    by their bytes."""
+    return [F.collate(column, "UNICODE"), F.col(column)]
+
+
 def session_order() -> list[Column]:
-    return [F.col("cost").desc(), F.col("project_slug"), F.col("session_id")]
+    return [F.col("cost").desc(), *locale("project_slug"), *locale("session_id")]
 
 
 def projects(events: DataFrame, tz: str = "UTC", since: str | None = None, until: str | None = None) -> DataFrame:
@@ -161,8 +167,8 @@ def top_family(events: DataFrame, keys: list[str]) -> DataFrame:
 
 def shares(report: DataFrame, value: str = "cost") -> DataFrame:
     """report with share, each row's part of the sum over these rows in whole percent (.5 up), null where that is 0."""
-    whole = F.sum(value).over(Window.partitionBy())
-    return report.withColumn("share", F.when(whole > 0, T.half_up(100 * F.col(value) / whole)))
+    whole = F.broadcast(report.agg(F.sum(value).alias("_whole")))  # one row
+    return report.crossJoin(whole).withColumn("share", F.when(F.col("_whole") > 0, T.half_up(100 * F.col(value) / F.col("_whole")))).drop("_whole")
 
 
 def series_summary(rows: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -172,8 +178,8 @@ def series_summary(rows: DataFrame, keys: list[str], value: str = "value") -> Da
 
 def bar_scaled(report: DataFrame, value: str = "cost") -> DataFrame:
     """report with bar, each value's part of the largest one in these rows, 0 at least."""
-    most = F.greatest(F.max(value).over(Window.partitionBy()), F.lit(0.0))
-    return report.withColumn("bar", F.when(most > 0, F.greatest(F.col(value), F.lit(0.0)) / most).otherwise(0.0))
+    most = F.broadcast(report.agg(F.greatest(F.max(value), F.lit(0.0)).alias("_most")))  # one row
+    return report.crossJoin(most).withColumn("bar", F.when(F.col("_most") > 0, F.greatest(F.col(value), F.lit(0.0)) / F.col("_most")).otherwise(0.0)).drop("_most")
 
 
 def token_bands(report: DataFrame) -> DataFrame:
@@ -182,6 +188,18 @@ def token_bands(report: DataFrame) -> DataFrame:
     return report.unpivot(keys, TOKENS, "band", "value")
 
 
+def family_bands(report: DataFrame) -> DataFrame:
+    """A report's breakdowns by model family: key columns, family, tokens, cost, TOKENS, and the cost of output, of the cache,
+    and of input as what is left of the cost, 0 at least."""
+    keys = [c for c in report.columns if c not in (*SUMS, "n_events", "models", "breakdown")]
+    from ..functions.pricing import family
+
+    rows = report.select(*keys, F.inline("breakdown"))
+    rest = F.greatest(F.lit(0.0), F.col("cost") - F.col("cost_output") - F.col("cost_cache"))
+    sums = rows.groupBy(*keys, family(F.col("model")).alias("family")).agg(*(F.sum(c).alias(c) for c in (*TOKENS, "cost", "cost_output", "cost_cache")), F.sum(rest).alias("cost_input"))
+    return sums.withColumn("tokens", sum((F.col(c) for c in TOKENS[1:]), F.col(TOKENS[0])))
+
+
 def corpus_extent(events: DataFrame, tz: str, today: str) -> DataFrame:
     """First day, and the last one or today if that is later; null for no events."""
     return dated(events, tz).agg(F.min("date").alias("first"), F.max("date").alias("last")).select("first", F.when(F.col("first").isNotNull(), F.greatest("last", F.lit(today))).alias("last"))

@@ -2,7 +2,7 @@
 
 import pytest
 
-from tallyspark.plans import catalog, more  # noqa: F401  more adds to the catalog
+from tallyspark.plans import catalog, extra, more  # noqa: F401  these add to the catalog
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
