@@ -2,18 +2,18 @@
 
 Level 1 holds the words as sorted 63-bit hashes (Elias-Fano) and their counts in as few bytes as they take; a word's
 number is its place. Level k holds the n-grams of k words as successors of contexts, the numbered n-grams of level
-k - 1: word numbers of a context are put on the context's base (its number times V), which makes one monotone
-Elias-Fano sequence of a whole shard, and an n-gram is found by a successor search from its context's base. With it go
-monotone pointers to each context's first successor (Elias-Fano), discounted probabilities and a back-off weight for
-each context, quantised to 16 bits. P(w|c) = max(n(cw) - D, 0) / n(c) + D N1+(c) / n(c) P(w|c without its first word),
+k - 1: monotone pointers (Elias-Fano) lead to each context's first successor, and the word numbers of a context, each on top
+of what the context before ends with, make one monotone Elias-Fano sequence of a shard. An n-gram is found by a successor
+search between its context's pointers, for its word's number on its context's base. With it go discounted probabilities
+and a back-off weight for each context, quantised to 16 bits. P(w|c) = max(n(cw) - D, 0) / n(c) + D N1+(c) / n(c) P(w|c without its first word),
 down to P(w) = (n(w) + A) / (N + A (V + 1)), where an unknown word has n = 0; a text begins and ends with the end token.
 
 Each level is dealt to shards by ranges of context numbers, from sorted counts that every task has pre-aggregated for
 blocks of texts, so a frequent n-gram is one entry a block. A context with more than a share HOT of a shard's tokens (and
 of all tokens) is hot: its successors go to the shards of their own words instead, and its totals, a few rows, are summed apart. A
 shard is one file a level in the shared folder. Nothing else about the corpus passes through the driver but a row for
-each shard. Scoring tasks map the files, or read them whole from a store that isn't mounted, and look up the distinct
-n-grams of a block of texts in order.
+each shard. Scoring tasks map the files as they need them, MOST_OPEN at a time and without keeping them open, or read them whole
+from a store that isn't mounted, and look up the distinct n-grams of a block of texts in order.
 
 Defined cases: a null text is empty, which is one end token; without training texts every word is unknown; rows with
 equal ids are scored alike if their texts are; null ids count as the empty text when ids choose the training rows.
@@ -26,7 +26,9 @@ from __future__ import annotations
 import json
 import math
 import mmap
+import sys
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +50,8 @@ END = np.uint64((1 << HASH_BITS) - 1)
 #: log10 of a probability between LEAST and 0, in 65,534 steps; 65,535 is none.
 LEAST, NONE = -16.0, 65_535
 LN10 = math.log(10)
+#: Shards that a worker has mapped at a time; where a map keeps its file open, fewer.
+MOST_OPEN = 2_048 if sys.version_info >= (3, 13) else 200
 #: Queries that are searched for together; their arrays stay in a processor's cache.
 STEP = 1 << 15
 
@@ -90,7 +94,7 @@ class EliasFano:
     @staticmethod
     def arrays(values: np.ndarray, universe: int) -> dict:
         n = len(values)
-        bits = max(0, (universe // n).bit_length() - 1) if n else 0
+        bits = min(56, max(0, (universe // n).bit_length() - 1)) if n else 0  # with a byte's shift they lie in 64 bits
         v = values.astype(np.uint64)
         parts = [np.zeros(0, np.uint8)]
         if bits:
@@ -123,11 +127,15 @@ class EliasFano:
         top = self.select(i, True) - i
         return (top.astype(np.uint64) << np.uint64(self.bits)) | self.lows(i)
 
-    def find(self, v: np.ndarray) -> np.ndarray:
-        """The place of each value, -1 where it isn't: a successor search inside the bucket of its high bits. Quickest for sorted values."""
-        return np.concatenate([self.found(v[i : i + STEP]) for i in range(0, len(v), STEP)]) if self.n and len(v) else np.full(len(v), -1, np.int64)
+    def find(self, v: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None) -> np.ndarray:
+        """The place of each value, -1 where it isn't: a successor search inside the bucket of its high bits, and, if given,
+        between the places low and high (exclusive). Quickest for sorted values."""
+        if not self.n or not len(v):
+            return np.full(len(v), -1, np.int64)
+        parts = [slice(i, i + STEP) for i in range(0, len(v), STEP)]
+        return np.concatenate([self.found(v[x], *((low[x], high[x]) if low is not None else ())) for x in parts])
 
-    def found(self, v: np.ndarray) -> np.ndarray:
+    def found(self, v: np.ndarray, least: np.ndarray | None = None, most: np.ndarray | None = None) -> np.ndarray:
         out = np.full(len(v), -1, np.int64)
         top = (v >> np.uint64(self.bits)).astype(np.int64)
         within = np.flatnonzero((top <= self.top) & (top >= 0))
@@ -144,7 +152,9 @@ class EliasFano:
         run[long] = self.select(top[long], False) - top[long] - first[long]
         # a bucket of a frequent context can be long: halve it
         last = first + run
-        end, live = last.copy(), np.flatnonzero(run > 0)
+        if least is not None:
+            first, last = np.maximum(first, least[within]), np.minimum(last, most[within])
+        end, live = last.copy(), np.flatnonzero(first < last)
         while len(live):
             mid = (first[live] + end[live]) >> 1
             under = self.lows(mid) < low[live]
@@ -181,7 +191,7 @@ def mapped(uri: str) -> dict[str, np.ndarray | int]:
     fs, path = filesystem(uri)
     if isinstance(fs, pafs.LocalFileSystem):
         with open(path, "rb") as f:
-            data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+            data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **({"trackfd": False} if sys.version_info >= (3, 13) else {}))
     else:
         with fs.open_input_file(path) as f:
             data = f.read()
@@ -327,22 +337,34 @@ class Model:
 
 
 class Opened:
-    """The files of a model, in one worker."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        open_ = lambda level: {s: mapped(f"{model.folder}/{name}") for s, name, _, _ in model.levels[level][0]}
-        self.words = {s: (p, of(p, "hash")) for s, p in open_(0).items()}
-        self.grams = [{s: (p, of(p, "next")) for s, p in open_(k).items()} for k in range(1, len(model.levels))]
+    """The files of a model, in one worker: mapped when they are needed, and let go when too many others are."""
+
+    def __init__(self, model: Model, most: int = MOST_OPEN):
+        self.model, self.most = model, most
+        self.files = [{s: name for s, name, _, _ in level[0]} for level in model.levels]
+        self.held: OrderedDict[tuple[int, int], tuple[dict, dict[str, EliasFano]]] = OrderedDict()
+
+    def shard(self, level: int, s: int) -> tuple[dict, dict[str, EliasFano]] | None:
+        """A shard's arrays and sequences; None if it has no file."""
+        if s not in self.files[level]:
+            return None
+        key = (level, s)
+        if key not in self.held:
+            if len(self.held) >= self.most:
+                self.held.popitem(last=False)
+            parts = mapped(f"{self.model.folder}/{self.files[level][s]}")
+            self.held[key] = parts, {x: of(parts, x) for x in (("pointer", "next") if level else ("hash",))}
+        self.held.move_to_end(key)
+        return self.held[key]
 
     def numbers(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sorted hashes -> word numbers (-1: unknown) and counts."""
         ids, counts = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
         edge = np.searchsorted((h >> np.uint64(HASH_BITS - self.model.bits)).view(np.int64), np.arange((1 << self.model.bits) + 1))
-        for s, (parts, words) in self.words.items():
+        for s in np.flatnonzero(np.diff(edge)).tolist():
             i, j = edge[s], edge[s + 1]
-            if i < j:
-                at = words.find(h[i:j])
+            if own := self.shard(0, s):
+                parts, at = own[0], own[1]["hash"].find(h[i:j])
                 hit = np.flatnonzero(at >= 0)
                 n = parts["count"][at[hit]].astype(np.int64)
                 if len(parts["big"]):
@@ -360,9 +382,14 @@ class Opened:
         ranked = shard[order]
         for s in np.unique(ranked).tolist():
             own = order[np.searchsorted(ranked, s) : np.searchsorted(ranked, s, "right")]
-            if s in self.grams[k]:
-                parts, after = self.grams[k][s]
-                at = after.find(local[own].astype(np.uint64) * np.uint64(max(1, self.model.v)) + word[own].astype(np.uint64))
+            if held := self.shard(k + 1, s):
+                parts, pointer, after = held[0], held[1]["pointer"], held[1]["next"]
+                place = local[own]
+                new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+                first, end = (pointer.get(place[new] + x).astype(np.int64) for x in (0, 1))
+                base = np.where(first > 0, after.get(np.maximum(first - 1, 0)), np.uint64(0)) if after.n else np.zeros(len(new), np.uint64)
+                first, end, base = (np.repeat(x, np.diff(np.append(new, len(place)))) for x in (first, end, base))
+                at = after.find(base + word[own].astype(np.uint64), first, end)
                 hit = np.flatnonzero(at >= 0)
                 number[own[hit]] = self.model.levels[k + 1][1][s] + at[hit]
                 log_p[own[hit]] = restored(parts["p"][at[hit]])
@@ -374,9 +401,10 @@ class Opened:
         _, base, hot, _ = self.model.levels[k]
         shard = np.searchsorted(base, context, "right") - 1
         edge = np.searchsorted(shard, np.arange(len(base)))
-        for s, (parts, _) in self.grams[k].items():
+        for s in np.flatnonzero(np.diff(edge)).tolist():
             i, j = edge[s], edge[s + 1]
-            if i < j:
+            if held := self.shard(k + 1, s):
+                parts = held[0]
                 q = parts["back"][context[i:j] - base[s]]
                 out[i:j] = np.where(q == NONE, 0, restored(q))
         if len(hot):
@@ -519,8 +547,14 @@ def merged_grams(model: Model, heavy: int):
         total[size:] = hot_n
         with np.errstate(divide="ignore", invalid="ignore"):
             back = np.where(kinds[:size] > 0, quantised(np.log10(D * kinds[:size] / total[:size])), NONE).astype(np.uint16)
+        # a context's words stand on the last of the contexts before it
+        word = (value % np.uint64(v)).astype(np.int64)
+        ends = np.flatnonzero(kinds)
+        under = np.zeros(len(ends), np.int64)
+        under[1:] = np.cumsum(word[first[ends + 1] - 1])[:-1]
+        own = np.repeat(under, kinds[ends]) + word
         parts = {
-            **named("pointer", EliasFano.arrays(first.astype(np.uint64), len(value) + 1)), **named("next", EliasFano.arrays(value, (size + len(hot)) * v)),
+            **named("pointer", EliasFano.arrays(first.astype(np.uint64), len(value) + 1)), **named("next", EliasFano.arrays(own.astype(np.uint64), int(own[-1]) + 1 if len(own) else 1)),
             "p": quantised(np.log10((n - D) / total[place])), "back": back,
         }
         name = f"{uuid.uuid4().hex}.grams"

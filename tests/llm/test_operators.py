@@ -169,7 +169,7 @@ def test_warc_ranges_join_neighbours():
 
 def test_elias_fano():
     r = np.random.default_rng(1)
-    for n, top in ((0, 5), (1, 10), (5_000, 6_000), (60_000, 60_100), (5_000, 1 << 40), (70_000, 1 << 63)):
+    for n, top in ((0, 5), (1, 10), (5_000, 6_000), (60_000, 60_100), (5_000, 1 << 40), (70_000, 1 << 63), (3, 1 << 63), (40, 1 << 63)):
         v = np.unique(r.integers(0, top, n).astype(np.uint64))
         ef = lm.EliasFano(*(lm.EliasFano.arrays(v, top)[k] for k in ("low", "high", "ones", "zeros", "n", "bits")))
         if len(v):
@@ -178,6 +178,47 @@ def test_elias_fano():
         assert ((ef.find(q) >= 0) == np.isin(q, v)).all()
 
 
+def test_successors_lie_between_pointers():
+    r = np.random.default_rng(3)
+    lists = [np.unique(r.integers(0, 50, r.integers(0, 9))) for _ in range(300)]
+    first = np.cumsum([0, *map(len, lists)])
+    ends = [x[-1] if len(x) else 0 for x in lists]
+    base = np.concatenate([[0], np.cumsum(ends)[:-1]])
+    flat = np.concatenate([b + x for b, x in zip(base, lists)]).astype(np.uint64)
+    ef = lm.EliasFano(*(lm.EliasFano.arrays(flat, int(flat[-1]) + 1)[k] for k in ("low", "high", "ones", "zeros", "n", "bits")))
+    c, w = np.repeat(np.arange(300), 50), np.tile(np.arange(50), 300)
+    got = ef.find((base[c] + w).astype(np.uint64), first[c], first[c + 1])
+    want = [first[i] + np.searchsorted(lists[i], x) if x in lists[i] else -1 for i, x in zip(c.tolist(), w.tolist())]
+    assert got.tolist() == want
+
+
+def test_lm_opens_few_files(tmp_path):
+    """Ten times as many shards as a process may have open."""
+    import subprocess
+    import sys
+
+    code = f"""
+import resource, sys, uuid
+import numpy as np
+resource.setrlimit(resource.RLIMIT_NOFILE, (256, 256))
+from tallyspark.llm import lm
+model = lm.Model("file://{tmp_path}", 12)
+listed, words = [], []
+for s in range(4096):
+    h = np.array([(s << 51) + k for k in range(3)], np.uint64)
+    lm.write_file(f"file://{tmp_path}/{{s}}.words", lm.packed({{**lm.named("hash", lm.EliasFano.arrays(h, 1 << 63)), "count": np.arange(3, dtype=np.uint8) + 1, "big": np.zeros(0, np.int64), "big_count": np.zeros(0, np.int64)}}))
+    listed.append({{"shard": s, "file": f"{{s}}.words", "n_entries": 3, "n_tokens": 6, "hot": [], "hot_n": []}})
+    words.append(h)
+model.add(listed, 100)
+opened = lm.Opened(model, 300)
+for _ in range(2):
+    ids, counts = opened.numbers(np.concatenate(words))
+    assert (ids == np.arange(3 * 4096)).all() and (counts == np.tile([1, 2, 3], 4096)).all()
+assert len(opened.held) == 300
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300, cwd=str(__import__("pathlib").Path(lm.__file__).parents[2]))
+
+
 def brute_lm(train, texts, order):
     tok = lambda t: [b"", *(t or "").encode("utf-8", "replace").lower().split(), b""]
     c, grams, kinds, total = Counter(), Counter(), Counter(), Counter()
