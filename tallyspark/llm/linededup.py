@@ -7,13 +7,13 @@
    others a few pass.
 3. Only suspected lines travel with their text: they are shuffled by their whole key, which counts documents and finds
    the largest document id exactly. Keys under the threshold and false suspects end here.
-4. Each document drops the confirmed keys that it isn't the keeper of.
+4. Each document drops the lines whose confirmed keys it isn't the keeper of, by their places.
 
 A key of a third of all documents is one hash per input task in step 1 and a partial count in step 3; its join with
 the documents that hold it is salted. Few suspects are found among a task's lines by broadcast; many are joined by hash
 alone, with the document's row and the line's place, and the texts of the lines that are left follow by row. Defined
 cases: null text is one empty line; lines repeated inside a document count once; rows with equal ids count as one
-document; a null id is a document that is never the largest. Empty tables give empty results.
+document (their places are told apart by a 64-bit hash of the text); a null id is a document that is never the largest. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -135,18 +135,23 @@ def long_keys(text: Column, least: int) -> Column:
     return F.array_distinct(F.filter(F.transform(lines_of(text), key_of), lambda k: F.length(k) >= least))
 
 
+def placed_keys(text: Column, least: int) -> Column:
+    """Place and key of every line whose key has at least `least` code points."""
+    return F.filter(F.transform(lines_of(text), lambda x, i: F.struct(i.alias("at"), key_of(x).alias("key"))), lambda s: F.length(s["key"]) >= least)
+
+
 def held_by_row(docs: DataFrame, found: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id and key of suspected lines where suspects are too many to broadcast: only hashes are joined with them, with
+    """doc_id, t, at and key of suspected lines where suspects are too many to broadcast: only hashes are joined with them, with
     row and place; the texts of rows with suspected lines are read again from a stored copy, by row."""
-    rows = stored(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "line-rows", "zstd")
-    lines = rows.select("row", F.posexplode(long_keys(F.col("text"), min_chars)).alias("at", "key")).select("row", "at", F.xxhash64("key").alias("h"))
+    rows = stored(docs.select("doc_id", "text", "t", F.monotonically_increasing_id().alias("row")), "line-rows", "zstd")
+    lines = rows.select("row", F.inline(placed_keys(F.col("text"), min_chars))).select("row", "at", F.xxhash64("key").alias("h"))
     places = stored(joined(lines, found, "h").groupBy("row").agg(F.collect_list("at").alias("places")), "line-places")
-    both = rows.join(places, "row").withColumn("keys", long_keys(F.col("text"), min_chars))
-    return both.select("doc_id", F.explode(F.transform("places", lambda i: F.col("keys")[i])).alias("key"))
+    both = rows.join(places, "row").withColumn("lines", lines_of(F.col("text")))
+    return both.select("doc_id", "t", F.inline(F.transform("places", lambda i: F.struct(i.alias("at"), key_of(F.col("lines")[i]).alias("key")))))
 
 
-def dropped_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id and drop: of each document that loses lines, the keys that it loses."""
+def dropped_places(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """docs: doc_id, text and t, a hash of the text. doc_id, t and drop: of each text that loses lines, their places."""
     spark = session(docs.sparkSession)
     keys = docs.select("doc_id", F.explode(long_keys(F.col("text"), min_chars)).alias("key"))
     hashes = stored(keys.select(F.xxhash64("key").alias("h")).mapInArrow(local_hashes, "h long, again boolean"), "line-hashes")
@@ -157,24 +162,27 @@ def dropped_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     stored(dealt.mapInArrow(filters(folder, FILTER_BITS), "shard int"), "line-filters-done")
     found = stored(dealt.select("shard", "h").mapInArrow(suspects(folder, FILTER_BITS), "h long").distinct(), "line-suspects")
     if bytes_of(found) <= BROADCAST_BYTES and found.count() <= BROADCAST_ROWS:
-        held = keys.withColumn("h", F.xxhash64("key")).join(F.broadcast(found), "h")
+        lines = docs.select("doc_id", "t", F.inline(placed_keys(F.col("text"), min_chars)))
+        held = lines.withColumn("h", F.xxhash64("key")).join(F.broadcast(found), "h")
     else:
         held = held_by_row(docs, found, min_chars)
-    held = stored(held.groupBy("key", "doc_id").agg(F.lit(1).alias("one")), "line-held")
-    sure = held.groupBy("key").agg(F.count("one").alias("n_docs"), F.max("doc_id").alias("keeper")).filter(F.col("n_docs") >= min_docs)
+    held = stored(held.groupBy("key", "doc_id", "t").agg(F.collect_list("at").alias("places")), "line-held")
+    once = held.groupBy("key", "doc_id").agg(F.lit(1).alias("one"))
+    sure = once.groupBy("key").agg(F.count("one").alias("n_docs"), F.max("doc_id").alias("keeper")).filter(F.col("n_docs") >= min_docs)
     lost = joined(held, stored(sure, "line-sure"), "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    return lost.groupBy("doc_id").agg(F.collect_list("key").alias("drop"))
+    return lost.groupBy("doc_id", "t").agg(F.flatten(F.collect_list("places")).alias("drop"))
 
 
 def deduped(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs: doc_id and text. Returns doc_id, n_lines, n_dropped and kept, the text without its dropped lines."""
-    docs = docs.select("doc_id", "text")
-    drops = dropped_keys(docs, min_chars, min_docs).withColumnRenamed("doc_id", "of")
-    both = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("of")), "left")
-    lines = lines_of(F.col("text"))
-    kept = F.when(F.col("drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("drop", key_of(x))))
-    both = both.select("doc_id", lines.alias("lines"), kept.alias("kept"))
-    return both.select(
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
+    drops = dropped_places(docs, min_chars, min_docs).withColumnsRenamed({"doc_id": "_id", "t": "_t"})
+    # null ids are told apart by their texts, so that they don't meet in one task
+    both = docs.join(drops, (F.col("t") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    both = both.select("doc_id", lines_of(F.col("text")).alias("lines"), "drop")
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drop")
+    kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.transform(places, lambda i: F.col("lines")[i]))
+    return both.select("doc_id", "lines", kept.alias("kept")).select(
         "doc_id", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"),
         F.array_join("kept", "\n").alias("kept"),
     )

@@ -331,13 +331,6 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """rows with doc_id, and the label of its class so far."""
-    if labels is None:
-        return rows.withColumn("label", F.col("doc_id"))
-    return joined(rows, labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-
-
 def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     """rows with row, and the label of its class so far."""
     if labels is None:

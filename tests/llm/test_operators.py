@@ -631,6 +631,17 @@ def test_line_dedup_odd(spark):
     assert linededup.deduped(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_many_dropped_lines_is_linear(spark):
+    import time
+
+    text = "\n".join(f"line number {i} of a text that others repeat, every one" for i in range(40_000))
+    df = spark.createDataFrame([(i, text + f"\n{i}") for i in range(6)], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: (r.n_lines, r.n_dropped, len(r.kept)) for r in linededup.deduped(df).collect()}
+    assert time.time() - began < 60
+    assert got == {i: (40_001, 0 if i == 5 else 40_000, len(text) + 2 if i == 5 else 1) for i in range(6)}
+
+
 # --- near-duplicates
 
 
