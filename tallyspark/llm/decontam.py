@@ -7,8 +7,10 @@ and partitioned by size; a document's restricted size picks, for each size class
 the implied Jaccard similarity is below MISS. Where even one-row bands cannot reach it (a document with the shingles
 of very many items), the class is counted exactly by posting lists instead. Candidates are verified exactly.
 
-Nothing is shuffled: documents stream past an index of at most BLOCK_ITEMS items, and a larger benchmark is taken in
-blocks of that size, so what a task holds is bounded. Words are lower-cased runs of letters, digits and '_'.
+No document is shuffled. The benchmark is dealt at random to blocks of about BLOCK_ITEMS items or BLOCK_BYTES of text, and the
+task that gets a block stores its index as a file in the shared folder; the driver sees a name a block. Documents stream
+past the indexes: a task takes CHUNK_WORDS words of texts at a time, hashes them once and tries every index on them, of
+which it holds KEPT. Words are lower-cased runs of letters, digits and '_'.
 
 Defined cases: null and empty texts have no shingle and match nothing, as items and as documents; an item of one to
 four words is one shingle of its own length; equal items and equal documents each give their own rows.
@@ -16,9 +18,10 @@ four words is one shingle of its own length; equal items and equal documents eac
 
 from __future__ import annotations
 
+import pickle
 import re
 import uuid
-from collections import defaultdict
+from collections import OrderedDict, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, WordHashes, mix, session, shingle_hashes
+from .common import MIX, WordHashes, filesystem, mix, new_dir, session, shingle_hashes, stored, write_file
 
 WIDTH, THRESHOLD = 5, 0.8
 PERMS, ROWS, MISS = 256, (8, 6, 4, 3, 2, 1), 1e-6
 BLOCK_ITEMS, BLOCK_BYTES, FILTER_BITS = 5_000, 8 << 20, 22
+#: Words of the texts that a task tries on one index after another, and indexes that it keeps.
+CHUNK_WORDS, KEPT = 4 << 20, 4
 WORD = re.compile(r"\w+")
 
 
@@ -43,13 +48,16 @@ def rows_for(jaccard: float) -> int:
     return next((r for r in ROWS if (1 - jaccard**r) ** (PERMS // r) < MISS), 0)
 
 
+HASHES = WordHashes()
+
+
 class Index:
     """The items of one block."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], threshold: float = THRESHOLD):
-        self.threshold, self.hashes = threshold, WordHashes()
+        self.threshold = threshold
         texts = [words(t) for _, t in items]
-        sets = [np.unique(shingle_hashes(self.hashes.of(w), WIDTH)) for w in texts]
+        sets = [np.unique(shingle_hashes(HASHES.of(w), WIDTH)) for w in texts]
         keep = [i for i, s in enumerate(sets) if len(s)]
         self.ids, self.sets = [items[i][0] for i in keep], [sets[i] for i in keep]
         self.widths = sorted({min(WIDTH, len(texts[i])) for i in keep})
@@ -93,9 +101,8 @@ class Index:
             h ^= h >> np.uint64(31)
         return mix(h)
 
-    def restricted(self, text: str | None) -> np.ndarray:
-        """Numbers of the item shingles that the text has."""
-        h = self.hashes.of(words(text))
+    def restricted(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the item shingles that a text with these word hashes has."""
         found = []
         for width in self.widths:
             if len(h) >= width:
@@ -114,9 +121,9 @@ class Index:
         at = np.repeat(self.first[own] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         return np.bincount(self.posting[at], minlength=len(self.sets))
 
-    def match(self, text: str | None) -> list[tuple[int, int]]:
-        """(number of item, shingles shared) of every item that the text contains."""
-        own = self.restricted(text)
+    def match(self, h: np.ndarray) -> list[tuple[int, int]]:
+        """(number of item, shingles shared) of every item that a text with these word hashes contains."""
+        own = self.restricted(h)
         if not len(own):
             return []
         signature, found, counts = None, set(), None
@@ -145,24 +152,68 @@ class Index:
         return out
 
 
-def blocks(items: DataFrame, id_col: str = "item_id") -> Iterator[list[tuple[int | None, str | None]]]:
-    """The items, at most about BLOCK_ITEMS and BLOCK_BYTES of text at a time (a longer item is a block of its own)."""
+def indexed(folder: str, threshold: float):
+    """mapInArrow over the items of one block after another: a stored index each."""
+
+    def done(block: int, items: list[tuple[int | None, str | None]]) -> pa.RecordBatch:
+        name = f"{folder}/{block}-{uuid.uuid4().hex}.index"
+        write_file(name, pickle.dumps(Index(items, threshold), 5))
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([name])], ["block", "file"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, items = None, []
+        for b in batches:
+            for k, item_id, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if items and k != block:
+                    yield done(block, items)
+                    items = []
+                block = k
+                items.append((item_id, text))
+        if items:
+            yield done(block, items)
+
+    return run
+
+
+def blocks(items: DataFrame, threshold: float, id_col: str = "item_id") -> list[str]:
+    """The files of the items' indexes. Rows are dealt by a hash of what they hold and of their place, so that equal items
+    are many blocks' too. An item of more than a block's bytes makes its block larger."""
+    spark = items.sparkSession
     items = items.select(F.col(id_col).cast("long").alias("item_id"), F.col("text").cast("string"))
     size = items.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     n = max(size[0] // BLOCK_ITEMS, (size[1] or 0) // BLOCK_BYTES) + 1
-    for k in range(n):
-        yield [(r[0], r[1]) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
+    dealt = items.withColumn("row", F.monotonically_increasing_id()).select(F.pmod(F.xxhash64("item_id", "text", "row"), F.lit(n)).cast("int").alias("block"), "item_id", "text")
+    made = stored(dealt.repartitionById(n, "block").mapInArrow(indexed(new_dir(spark, "benchmark"), threshold), "block int, file string"), "benchmark-files")
+    return [r["file"] for r in made.orderBy("block").collect()]  # a row a block
+
+
+INDEXES: OrderedDict[str, Index] = OrderedDict()
 
 
-INDEXES: dict[str, Index] = {}
+def index_of(file: str) -> Index:
+    """A stored index; a worker keeps the last KEPT."""
+    if file not in INDEXES:
+        while len(INDEXES) >= KEPT:
+            INDEXES.popitem(last=False)
+        fs, path = filesystem(file)
+        with fs.open_input_file(path) as f:
+            INDEXES[file] = pickle.loads(f.read())
+    INDEXES.move_to_end(file)
+    return INDEXES[file]
 
 
-def index_of(key: str, block: list[tuple[int | None, str | None]], threshold: float) -> Index:
-    """The index of a block, built once a worker."""
-    if key not in INDEXES:
-        INDEXES.clear()
-        INDEXES[key] = Index(block, threshold)
-    return INDEXES[key]
+def hashed(batches: Iterator[pa.RecordBatch], at: int, many: bool) -> Iterator[tuple[list[pa.RecordBatch], list[list[np.ndarray]]]]:
+    """Batches, and the word hashes of their texts (column at): CHUNK_WORDS at a time where there are many indexes."""
+    own, words_, n = [], [], 0
+    for b in batches:
+        own.append(b)
+        words_.append([HASHES.of(words(t)) for t in b.column(at).to_pylist()])
+        n += sum(map(len, words_[-1]))
+        if not many or n >= CHUNK_WORDS:
+            yield own, words_
+            own, words_, n = [], [], 0
+    if own:
+        yield own, words_
 
 
 PAIRS = "doc_id long, item_id long, n_shared long, n_item long, containment double"
@@ -172,34 +223,37 @@ def pairs(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
     """A row for every document (doc_id, text) and every item (item_id, text) that it contains."""
     session(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    out = None
-    for block in blocks(items):
+    files = blocks(items, threshold)
 
-        def run(batches: Iterator[pa.RecordBatch], block=block, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
-            index = index_of(key, block, threshold)
-            for b in batches:
-                rows = [(d, index.ids[i], n, int(index.size[i]), n / int(index.size[i])) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, n in index.match(t)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 4 else pa.int64()) for k, c in enumerate(zip(*rows, strict=True))], ["doc_id", "item_id", "n_shared", "n_item", "containment"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, texts in hashed(batches, 1, len(files) > 1):
+            for file in files:
+                index = index_of(file)
+                for b, hashes in zip(own, texts, strict=True):
+                    rows = [(d, index.ids[i], n, int(index.size[i]), n / int(index.size[i])) for d, h in zip(b.column(0).to_pylist(), hashes, strict=True) for i, n in index.match(h)]
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 4 else pa.int64()) for k, c in enumerate(zip(*rows, strict=True))], ["doc_id", "item_id", "n_shared", "n_item", "containment"])
 
-        found = docs.mapInArrow(run, PAIRS)
-        out = found if out is None else out.unionByName(found)
-    return out
+    return docs.mapInArrow(run, PAIRS)
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs (any columns, among them text) without the documents that contain an item."""
     session(docs.sparkSession)
-    at = docs.columns.index("text")
-    for block in blocks(items):
-
-        def run(batches: Iterator[pa.RecordBatch], block=block, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
-            index = index_of(key, block, threshold)
-            for b in batches:
-                yield b.filter(pa.array([not index.match(t) for t in b.column(at).to_pylist()], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    at, files = docs.columns.index("text"), blocks(items, threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, texts in hashed(batches, at, len(files) > 1):
+            keep = [np.ones(b.num_rows, bool) for b in own]
+            for file in files:
+                index = index_of(file)
+                for left, hashes in zip(keep, texts, strict=True):
+                    for i in np.flatnonzero(left).tolist():
+                        left[i] = not index.match(hashes[i])
+            for b, left in zip(own, keep, strict=True):
+                yield b.filter(pa.array(left))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def sql(documents: str = "documents", benchmark: str = "benchmark", threshold: float = THRESHOLD) -> str:

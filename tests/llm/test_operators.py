@@ -420,9 +420,11 @@ def test_decontamination_gapped_many_and_odd(spark, odd, monkeypatch):
     df = spark.createDataFrame(texts, "doc_id long, text string")
     want = contained(texts, items)
     assert {(x.doc_id, x.item_id) for x in decontam.pairs(df, it).collect()} == want
-    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 20)
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 7)
     assert {(x.doc_id, x.item_id) for x in decontam.pairs(df, it).collect()} == want
     assert {x.doc_id for x in decontam.pairs(odd, it).filter("item_id = 92").collect()} == {5}
+    copies = spark.createDataFrame([(1, "one two three four five six")] * 30, "item_id long, text string")
+    assert len(decontam.blocks(copies, 0.8)) == 5 and decontam.pairs(odd, copies).count() == 60
     left = decontam.clean(odd, it)
     assert left.columns == odd.columns and left.count() == len(ODD) - 2
     assert decontam.pairs(odd, it.limit(0)).count() == 0
