@@ -225,6 +225,8 @@ AT, DOT = re.compile(r" [(\[]?at[)\]]? (?=\S)"), re.compile(r" [(\[]?dot[)\]]? (
 SPACES = re.compile(r"[ \t\n\r\x0b\x0c]")
 #: Characters around an anchor that are decoded with it, and more up to whole tokens; tokens that are padded to one length together.
 REACH, PADDED = 48, 40_000
+#: Tokens of a stretch that are decoded at a time.
+LONG = 20_000
 TRIM_LEFT, TRIM_RIGHT = "\"'([<", "\"').,;:]>!?"
 
 
@@ -245,8 +247,8 @@ def spelt(text: str) -> Iterator[int]:
             yield token_end(text, dot.end()) - 1
 
 
-def windows(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Token spans of the stretches around anchors; stretches are disjoint and hold whole tokens."""
+def windows(text: str) -> Iterator[np.ndarray]:
+    """Token spans (start, end) of the stretches around anchors; stretches are disjoint and hold whole tokens."""
     anchors = [m.start() for m in ANCHOR.finditer(text)]
     if " dot" in text or "dot)" in text or "dot]" in text:
         anchors = sorted([*anchors, *spelt(text)])
@@ -261,13 +263,12 @@ def windows(text: str) -> Iterator[list[tuple[int, int]]]:
             if anchors[i] + REACH > end:
                 end = token_end(text, min(len(text), anchors[i] + REACH))
             i += 1
-        yield [(m.start(), m.end()) for m in TOKEN.finditer(text, a, end)]
+        yield np.fromiter((x for m in TOKEN.finditer(text, a, end) for x in m.span()), np.int64).reshape(-1, 2)
 
 
-def batches_of(own: list[tuple[int, list[tuple[int, int]]]]) -> Iterator[list[tuple[int, list[tuple[int, int]]]]]:
-    """Stretches, shortest first, so many at a time that padding them to one length stays within PADDED tokens; a longer
-    one is decoded by itself, in one run."""
-    part: list[tuple[int, list[tuple[int, int]]]] = []
+def batches_of(own: list[tuple[int, np.ndarray]]) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Stretches, shortest first, so many at a time that padding them to one length stays within PADDED tokens."""
+    part: list[tuple[int, np.ndarray]] = []
     for x in sorted(own, key=lambda x: len(x[1])):
         if part and (len(part) + 1) * len(x[1]) > PADDED:
             yield part
@@ -277,30 +278,57 @@ def batches_of(own: list[tuple[int, list[tuple[int, int]]]]) -> Iterator[list[tu
         yield part
 
 
+def long_path(text: str, spans: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The best tags of one long stretch, LONG tokens at a time: the scores of the tags so far go on from part to part, and a
+    byte a token and tag tells the way back. Each part sees its neighbours' tokens, so this is the path of one run."""
+    w, move = model
+    n, best = len(spans), None
+    back = np.zeros((n, len(move)), np.uint8)
+    for i in range(0, n, LONG):
+        j, low, high = min(n, i + LONG), max(0, i - 1), min(n, i + LONG + 1)
+        score = w[feature_ids([text[a:b] for a, b in spans[low:high].tolist()])[i - low : j - low]].sum(1)
+        for t in range(i, j):
+            if best is None:
+                best = score[0]
+                continue
+            step = best[:, None] + move
+            back[t] = step.argmax(0)
+            best = step.max(0) + score[t - i]
+    path = np.zeros(n, np.int64)
+    path[-1] = best.argmax()
+    for t in range(n - 1, 0, -1):
+        path[t - 1] = back[t, path[t]]
+    return path
+
+
+def tagged(text: str, spans: np.ndarray, tags: np.ndarray) -> Iterator[tuple[int, int, str]]:
+    """Runs of tokens of one kind, without the punctuation around them."""
+    edge = np.flatnonzero(np.concatenate([[True], tags[1:] != tags[:-1], [True]]))
+    for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        if tags[i]:
+            a, b = int(spans[i, 0]), int(spans[j - 1, 1])
+            token = text[a:b]
+            if TAGS[tags[i]] == "secret" and "=" in token:
+                a += token.index("=") + 1
+            a += len(text[a:b]) - len(text[a:b].lstrip(TRIM_LEFT))
+            b -= len(text[a:b]) - len(text[a:b].rstrip(TRIM_RIGHT))
+            if a < b and re.search("[0-9@]| dot|[(\\[]dot", text[a:b]):
+                yield a, b, TAGS[tags[i]]
+
+
 def decoded(texts: list[str], model: tuple[np.ndarray, np.ndarray]) -> list[list[tuple[int, int, str]]]:
     """Spans by the field for each text: runs of tokens of one kind, without the punctuation around them."""
     w, move = model
-    own = [(i, s) for i, t in enumerate(texts) for s in windows(t) if s]
+    own = [(i, s) for i, t in enumerate(texts) for s in windows(t) if len(s)]
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    for part in batches_of(own):
-        ids, mask = padded([feature_ids([texts[i][a:b] for a, b in s]) for i, s in part])
+    for i, s in own:
+        if len(s) > LONG:
+            out[i] += tagged(texts[i], s, long_path(texts[i], s, model))
+    for part in batches_of([x for x in own if len(x[1]) <= LONG]):
+        ids, mask = padded([feature_ids([texts[i][a:b] for a, b in s.tolist()]) for i, s in part])
         path = viterbi(w[ids].sum(2), mask, move)
         for (i, s), tags in zip(part, path, strict=True):
-            j = 0
-            while j < len(s):
-                e = j
-                while e + 1 < len(s) and tags[e + 1] == tags[j]:
-                    e += 1
-                if tags[j]:
-                    a, b = s[j][0], s[e][1]
-                    token = texts[i][a:b]
-                    if TAGS[tags[j]] == "secret" and "=" in token:
-                        a += token.index("=") + 1
-                    a += len(texts[i][a:b]) - len(texts[i][a:b].lstrip(TRIM_LEFT))
-                    b -= len(texts[i][a:b]) - len(texts[i][a:b].rstrip(TRIM_RIGHT))
-                    if a < b and re.search("[0-9@]| dot|[(\\[]dot", texts[i][a:b]):
-                        out[i].append((a, b, TAGS[tags[j]]))
-                j = e + 1
+            out[i] += tagged(texts[i], s, tags[: len(s)])
     return out
 
 
@@ -325,7 +353,7 @@ def merged(base: list[tuple[int, int, str]], more: Iterable[tuple[int, int, str]
 SPANS = "array<struct<kind:string,start:long,end:long,base:boolean>>"
 
 
-#: Most tokens of the labelled table that the field is fitted on.
+#: Tokens of the labelled table that the field is fitted on at most, unless find() is told another number.
 MOST_TOKENS = 100_000
 
 
@@ -335,21 +363,26 @@ def labelled_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "sentence long, position long, token string, tag string")
 
 
-def sentences_of(table: DataFrame) -> list[tuple[list[str], list[str]]]:
-    """The sentences of a labelled table, at most MOST_TOKENS tokens of it; unknown tags are outside, null tokens go."""
+def sentences_of(table: DataFrame, most_tokens: int = MOST_TOKENS) -> list[tuple[list[str], list[str]]]:
+    """The whole sentences within the first most_tokens tokens of a labelled table (of a longer first one, so many tokens);
+    unknown tags are outside, null tokens go."""
     out: dict[int, tuple[list[str], list[str]]] = {}
-    for r in table.filter("token IS NOT NULL").orderBy("sentence", "position", "token").limit(MOST_TOKENS).collect():
+    rows = table.filter("token IS NOT NULL").orderBy("sentence", "position", "token").limit(most_tokens + 1).collect()
+    if len(rows) > most_tokens:
+        rows = [r for r in rows if r["sentence"] != rows[-1]["sentence"]] or rows[:-1]
+    for r in rows:
         tokens, tags = out.setdefault(r["sentence"], ([], []))
         tokens.append(r["token"])
         tags.append(r["tag"] if r["tag"] in TAGS else "O")
     return list(out.values())
 
 
-def find(docs: DataFrame, table: DataFrame | None = None) -> DataFrame:
+def find(docs: DataFrame, table: DataFrame | None = None, most_tokens: int = MOST_TOKENS) -> DataFrame:
     """docs: doc_id, text. Returns doc_id and spans: (kind, start, end, base) by start, then kind. table: labelled
-    sentences (sentence, position, token, tag) to train the field on; an empty one finds base spans only."""
+    sentences (sentence, position, token, tag) to train the field on, at most most_tokens of them; an empty one finds base
+    spans only."""
     spark = session(docs.sparkSession)
-    sentences = sentences_of(labelled_table(spark) if table is None else table)
+    sentences = sentences_of(labelled_table(spark) if table is None else table, most_tokens)
     model = trained(sentences) if sentences else None
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 

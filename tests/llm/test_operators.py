@@ -98,6 +98,17 @@ def test_pii_spans_cross_no_cut():
     assert [s[:2] for s in pii.merged(base, more) if not s[3]] == [(9, 12), (15, 20), (30, 31)]
 
 
+def test_pii_long_stretches_decode_in_parts(spark, monkeypatch):
+    model, r = pii.trained(pii.labelled(100)), random.Random(5)
+    text = " ".join(t for tokens, _ in pii.labelled(300, seed=3) for t in [*tokens, *(str(r.randint(0, 10**9)) for _ in range(5))])
+    whole = pii.decoded([text], model)
+    for n in (1, 7, 100):
+        monkeypatch.setattr(pii, "LONG", n)
+        assert [sorted(x) for x in pii.decoded([text], model)] == [sorted(x) for x in whole] and whole[0]
+    table = spark.createDataFrame([(s, k, "x", "O") for s in range(3) for k in range(4)], "sentence long, position long, token string, tag string")
+    assert [len(x) for x, _ in pii.sentences_of(table, 9)] == [4, 4] and [len(x) for x, _ in pii.sentences_of(table, 3)] == [3] and len(pii.sentences_of(table)) == 3
+
+
 def test_pii_field_learns_and_decodes_exactly():
     model = pii.trained(pii.labelled())
     right = total = 0
