@@ -210,12 +210,12 @@ def family_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{DAILY}, n AS (SELECT *, row_number() OVER (ORDER BY date) AS i, count(*) OVER () AS n FROM d), w AS (SELECT *, greatest(3, least(n, floor(n / 3 + 0.5))) AS k FROM n),
 t AS (SELECT pow(10.0, greatest(floor(log10(min(cost) FILTER (cost > 0))), floor(log10(max(cost))) - 6)) AS th FROM d)
-SELECT a.date, round((SELECT avg(b.cost) FROM w b WHERE b.i BETWEEN a.i - a.k + 1 AND a.i), 6) AS trend, round(CASE WHEN a.cost <= th THEN a.cost / th ELSE 1 + log10(a.cost / th) END, 6) AS scaled FROM w a, t""")
+SELECT a.date, round((SELECT avg(b.cost) FROM w b WHERE b.i BETWEEN a.i - a.k + 1 AND a.i), 10) AS trend, round(CASE WHEN a.cost <= th THEN a.cost / th ELSE 1 + log10(a.cost / th) END, 6) AS scaled FROM w a, t""")
 def trend_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days with their trend, as wide as their number asks for, and on a symmetric log scale."""
     days = daily_cost(spark, sf_dir)
     width, threshold = compose.trend_width(days.count()), compose.linear_threshold(days, "cost").first()[0]
-    return compose.moving_average(days, [], "date", width, "cost").select("date", F.round("moving_avg", 6).alias("trend"), F.round(compose.symlog(F.col("cost"), threshold), 6).alias("scaled"))
+    return compose.moving_average(days, [], "date", width, "cost").select("date", F.round("moving_avg", 10).alias("trend"), F.round(compose.symlog(F.col("cost"), threshold), 6).alias("scaled"))
 
 
 # --- grids and blocks --------------------------------------------------------------------------------------------

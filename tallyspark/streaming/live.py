@@ -152,6 +152,7 @@ class Family:
 def refresh_parts(spark: SparkSession, path: str, families: list[Family], changed: DataFrame, events: DataFrame) -> None:
     """Fold those partitions of each report anew that changed events are in, before or after, and overwrite these alone; a
     partition that has no rows any more goes. Running it again for the same changes does no harm."""
+    events = events.persist()  # each kind of report reads it
     for family in families:
         of = lambda df, c=family.part: df.select(c.cast("string").alias("part"))
         touched = of(changed).unionByName(of(changed.filter("before IS NOT NULL").select("before.*"))).filter("part IS NOT NULL").distinct().persist()
@@ -163,8 +164,9 @@ def refresh_parts(spark: SparkSession, path: str, families: list[Family], change
             at = spark._jvm.org.apache.hadoop.fs.Path(f"{to}/part={r['part']}")
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
         touched.unpersist()
+    events.unpersist()
 
 
 def report(spark: SparkSession, path: str, family: Family) -> DataFrame:
     """A kept report, all partitions."""
-    return spark.read.option("inferSchema", False).parquet(f"{path}/{family.name}")
+    return spark.read.parquet(f"{path}/{family.name}").withColumn("part", F.col("part").cast("string"))
