@@ -28,10 +28,18 @@ JSONL = dict(pathGlobFilter="*.jsonl", recursiveFileLookup=True)
 
 
 def read(spark: SparkSession, root: str | list[str]) -> DataFrame:
-    """Lines of all *.jsonl files below a root (or of a list of files): path, line (their rank in it) and value."""
+    """Lines of all *.jsonl files below a root (or of a list of files): path, line (their rank in it) and value. A root that
+    isn't there yet has none."""
+    if isinstance(root, str) and not there(spark, root):
+        return spark.createDataFrame([], "path string, line struct<block:bigint,place:bigint>, value string")
     return lines(spark.read.text(root, lineSep="\n", **JSONL))
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return to.getFileSystem(spark._jsc.hadoopConfiguration()).exists(to)
+
+
 def lines(text: DataFrame) -> DataFrame:
     """Rows of a text source -> path, line and value. Carriage returns at line ends and lines of white space go."""
     at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
@@ -104,6 +112,8 @@ def scanned(spark: SparkSession, roots: list[tuple[str, str]]) -> DataFrame:
 
 def listed(spark: SparkSession, root: str) -> DataFrame:
     """path, size and modified of all *.jsonl files below a root. Their content isn't read."""
+    if not there(spark, root):
+        return spark.createDataFrame([], "path string, size long, modified timestamp")
     now = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", True).load(root)
     about = F.col("_metadata")
     return now.select(about["file_path"].alias("path"), about["file_size"].alias("size"), about["file_modification_time"].alias("modified"))
@@ -141,9 +151,7 @@ def cached(spark: SparkSession, root: str, machine_id: str, cache: str, version:
 
 def kept(spark: SparkSession, path: str, schema: str | None) -> DataFrame | None:
     """A table that may not be there yet."""
-    to = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = to.getFileSystem(spark._jsc.hadoopConfiguration()).exists(to)
-    return (spark.read.schema(schema) if schema else spark.read).parquet(path) if there else None
+    return (spark.read.schema(schema) if schema else spark.read).parquet(path) if there(spark, path) else None
 
 
 def forget_cache(spark: SparkSession, cache: str) -> None:

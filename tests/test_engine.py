@@ -448,6 +448,16 @@ def test_scan_cuts_large_files(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_roots_that_are_not_there_have_nothing(spark, tmp_path):
+    (tmp_path / "a" / "p").mkdir(parents=True)
+    (tmp_path / "a" / "p" / "s.jsonl").write_text(text_of() + "\n")
+    roots = [(str(tmp_path / "none"), "x"), (str(tmp_path / "a"), "me")]
+    assert [(r.machine_id, r.ord.root) for r in transcripts.scanned(spark, roots).collect()] == [("me", 1)]
+    assert transcripts.scanned(spark, roots[:1]).count() == 0 and transcripts.listed(spark, roots[0][0]).count() == 0
+    assert transcripts.cached(spark, roots[0][0], "x", str(tmp_path / "cache")).count() == 0
+    assert tail.TailReader(roots[0][0]).latestOffset() == {}
+
+
 def test_nulls_roles_and_halves_are_mismatches(spark, tmp_path):
     usage = {"input_tokens": 1, "output_tokens": 2}
     bad = [line(requestId=None), line(cwd=None), line(isApiErrorMessage=None), line(message={"id": "m", "model": "x", "role": "user", "usage": usage}), line(message={"id": "m", "model": "x", "usage": None}),
