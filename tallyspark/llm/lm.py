@@ -2,10 +2,10 @@
 
 Level 1 holds the words as sorted 63-bit hashes (Elias-Fano) and their counts in as few bytes as they take; a word's
 number is its place. Level k holds the n-grams of k words as successors of contexts, the numbered n-grams of level
-k - 1: monotone pointers (Elias-Fano) lead to each context's first successor, and the word numbers of a context, each on top
-of what the context before ends with, make one monotone Elias-Fano sequence of a shard. An n-gram is found by a successor
-search between its context's pointers, for its word's number on its context's base. With it go discounted probabilities
-and a back-off weight for each context, quantised to 16 bits. P(w|c) = max(n(cw) - D, 0) / n(c) + D N1+(c) / n(c) P(w|c without its first word),
+k - 1: monotone pointers (Elias-Fano) lead to each context's first successor, and word numbers, each on its context's base
+(the context's place times V), make one monotone Elias-Fano sequence of a shard. An n-gram is found by a successor search
+between its context's pointer and as many successors further, for its word on that base. With it go discounted
+probabilities and a back-off weight for each context, quantised to 16 bits. P(w|c) = max(n(cw) - D, 0) / n(c) + D N1+(c) / n(c) P(w|c without its first word),
 down to P(w) = (n(w) + A) / (N + A (V + 1)), where an unknown word has n = 0; a text begins and ends with the end token.
 
 Each level is dealt to shards by ranges of context numbers, from sorted counts that every task has pre-aggregated for
@@ -386,10 +386,11 @@ class Opened:
                 parts, pointer, after = held[0], held[1]["pointer"], held[1]["next"]
                 place = local[own]
                 new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-                first, end = (pointer.get(place[new] + x).astype(np.int64) for x in (0, 1))
-                base = np.where(first > 0, after.get(np.maximum(first - 1, 0)), np.uint64(0)) if after.n else np.zeros(len(new), np.uint64)
-                first, end, base = (np.repeat(x, np.diff(np.append(new, len(place)))) for x in (first, end, base))
-                at = after.find(base + word[own].astype(np.uint64), first, end)
+                many = np.diff(np.append(new, len(place)))
+                first = pointer.get(place[new]).astype(np.int64)
+                end = first + parts["kinds"][place[new]]
+                base = place.astype(np.uint64) * np.uint64(max(1, self.model.v))
+                at = after.find(base + word[own].astype(np.uint64), np.repeat(first, many), np.repeat(end, many))
                 hit = np.flatnonzero(at >= 0)
                 number[own[hit]] = self.model.levels[k + 1][1][s] + at[hit]
                 log_p[own[hit]] = restored(parts["p"][at[hit]])
@@ -547,14 +548,8 @@ def merged_grams(model: Model, heavy: int):
         total[size:] = hot_n
         with np.errstate(divide="ignore", invalid="ignore"):
             back = np.where(kinds[:size] > 0, quantised(np.log10(D * kinds[:size] / total[:size])), NONE).astype(np.uint16)
-        # a context's words stand on the last of the contexts before it
-        word = (value % np.uint64(v)).astype(np.int64)
-        ends = np.flatnonzero(kinds)
-        under = np.zeros(len(ends), np.int64)
-        under[1:] = np.cumsum(word[first[ends + 1] - 1])[:-1]
-        own = np.repeat(under, kinds[ends]) + word
         parts = {
-            **named("pointer", EliasFano.arrays(first.astype(np.uint64), len(value) + 1)), **named("next", EliasFano.arrays(own.astype(np.uint64), int(own[-1]) + 1 if len(own) else 1)),
+            **named("pointer", EliasFano.arrays(first.astype(np.uint64), len(value) + 1)), "kinds": narrow(kinds), **named("next", EliasFano.arrays(value, (size + len(hot)) * v)),
             "p": quantised(np.log10((n - D) / total[place])), "back": back,
         }
         name = f"{uuid.uuid4().hex}.grams"
