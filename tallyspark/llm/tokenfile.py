@@ -34,6 +34,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -161,7 +162,9 @@ class Encoder:
         key, raw, known = short_keys(data, begin, size), data.tobytes(), self.long
         longer = np.flatnonzero(size > SHORT)
         key[longer] = np.fromiter((known.setdefault(raw[i:j], len(known)) for i, j in zip(begin[longer].tolist(), (begin + size)[longer].tolist(), strict=True)), np.uint64, len(longer)) | np.uint64(1 << 63)
-        keys, first, at = np.unique(key, return_index=True, return_inverse=True)
+        at, keys = pd.factorize(key)  # by hashing, where np.unique sorts
+        first = np.empty(len(keys), np.int64)
+        first[at[::-1]] = np.arange(len(at))[::-1]
         keys = keys.tolist()
         if new := [i for i, h in enumerate(keys) if h not in self.number]:
             begins, ends = begin[first[new]], (begin + size)[first[new]]
