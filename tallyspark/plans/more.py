@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -29,14 +31,31 @@ LINES = f"""SELECT event_id, {KIND} AS kind, concat('proj-', CAST(user_id % 5 AS
 
 
 def files_written(folder: str):
+    """mapInArrow over slug, session and line (with its end) -> rows written, a file for each run of equal slug and session. Lines
+    go out as batches come, so that a task holds a batch however long its files are."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, place = pafs.FileSystem.from_uri(folder)
-        for b in batches:
-            for slug, session, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                fs.create_dir(f"{place}/{slug}", recursive=True)
-                with fs.open_output_stream(f"{place}/{slug}/{session}.jsonl") as f:
-                    f.write(text.encode() + b"\n")
-            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+        own, out, n = None, None, 0
+        try:
+            for b in batches:
+                keys = list(zip(*(b.column(i).to_pylist() for i in range(2)), strict=True))
+                text = b.column(2).cast(pa.large_string())
+                at = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+                edges = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)] if keys else []
+                for i, j in pairwise(edges):
+                    if keys[i] != own:
+                        if out:
+                            out.close()
+                        own = keys[i]
+                        fs.create_dir(f"{place}/{own[0]}", recursive=True)
+                        out = fs.open_output_stream(f"{place}/{own[0]}/{own[1]}.jsonl")
+                    out.write(text.buffers()[2].slice(at[i], at[j] - at[i]))
+                n += len(keys)
+        finally:
+            if out:
+                out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
 
     return run
 
@@ -51,8 +70,9 @@ def transcript_files(spark: SparkSession, sf_dir: str) -> str:
     at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     record = F.to_json(F.struct(F.when(F.col("kind") == "user", "user").otherwise("assistant").alias("type"), at.alias("timestamp"), (F.col("kind") == "error").alias("isApiErrorMessage"), message.alias("message")))
     line = F.when(F.col("kind") == "torn", F.substring(record, 1, 60)).otherwise(record)
-    texts = rows.groupBy("slug", "session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
-    texts.mapInArrow(files_written(root), "n long").agg(F.sum("n")).first()
+    ended = rows.select("slug", "session", "event_id", F.concat(line, F.lit("\n")).alias("line"))
+    dealt = ended.repartition("slug", "session").sortWithinPartitions("slug", "session", "event_id", "line").select("slug", "session", "line")
+    dealt.mapInArrow(files_written(root), "n long").agg(F.sum("n")).first()
     return root
 
 

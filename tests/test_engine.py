@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from tallyspark.functions import paths, pricing
 from tallyspark.functions import timefns as T
 from tallyspark.operators import archive, blocks, compose, dims, intraday, reports
 from tallyspark.operators.events import Query, deduplicated, last_of_batch, searched, tree_filtered, united
-from tallyspark.plans import fixtures, params
+from tallyspark.plans import fixtures, more, params
 from tallyspark.sources import logs, tail, transcripts
 from tallyspark.streaming import live
 
@@ -549,3 +550,13 @@ def test_empty_tables(spark):
     df = costed(spark, events(spark).limit(0))
     assert reports.daily(df).count() == 0 and blocks.blocks(df, ["session_id"]).count() == 0 and reports.sessions(df).count() == 0
     assert one(blocks.summary(blocks.blocks(df)), "typical_tokens") == 0.0
+
+
+def test_transcript_files_are_written_line_by_line(tmp_path):
+    """A file may span batches, and a batch files: no text of a whole file is in one row."""
+    lines = [("p", "a", f"{{é{i}}}\n") for i in range(5)] + [("p", "b", "x\n"), ("q", "b", "y\n"), ("q", "b", "z\n")]
+    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*lines)], ["slug", "session", "line"])
+    batches = [whole.slice(0, 2), whole.slice(2, 0), whole.slice(2, 5), whole.slice(7)]
+    assert [b.to_pylist() for b in more.files_written(f"file://{tmp_path}")(iter(batches))] == [[{"n": 8}]]
+    read = {str(p.relative_to(tmp_path)): p.read_text() for p in tmp_path.rglob("*.jsonl")}
+    assert read == {"p/a.jsonl": "".join(x for _, s, x in lines if s == "a"), "p/b.jsonl": "x\n", "q/b.jsonl": "y\nz\n"}
