@@ -1,4 +1,5 @@
-"""Machines, project identities and merge assertions. Facts join them as Spark sees fit: by broadcast while they are small."""
+"""Machines, project identities and merge assertions. Facts join them as Spark sees fit: by broadcast while they are small; nodes
+of chains join each other by shuffle."""
 
 from __future__ import annotations
 
@@ -9,6 +10,12 @@ from ..functions import paths
 from ..sources.shared import stored
 
 
+def sorted_in(few: DataFrame) -> DataFrame:
+    """A side of a join that is as large as the other one, or nearly: both are shuffled and sorted. By its size on disk Spark would
+    broadcast it up to some million rows, in each of the rounds anew, and every broadcast passes through the driver."""
+    return few.hint("merge")
+
+
 def jumped(edges: DataFrame) -> DataFrame:
     """edges (node, to; one row a node) -> node, end, low, last: where a node's path leads after at least as many steps as
     there are nodes, a node without an edge being its own end, and the least node and newest edge (order) of those steps. Steps
@@ -16,11 +23,11 @@ def jumped(edges: DataFrame) -> DataFrame:
     number of nodes where there is a cycle."""
     nodes = edges.select("node").unionByName(edges.select(F.col("to").alias("node"))).filter("node IS NOT NULL").distinct()
     own = F.coalesce("to", "node")
-    at = stored(nodes.join(edges, "node", "left").select("node", own.alias("end"), F.least("node", own).alias("low"), F.col("order").alias("last")), "jumps")
+    at = stored(nodes.join(sorted_in(edges), "node", "left").select("node", own.alias("end"), F.least("node", own).alias("low"), F.col("order").alias("last")), "jumps")
     steps, n = 1, at.count()
     while steps < n:
         onward = at.select(F.col("node").alias("end"), F.col("end").alias("_end"), F.col("low").alias("_low"), F.col("last").alias("_last"))
-        then = stored(at.join(onward, "end").select("node", F.col("_end").alias("end"), F.least("low", "_low").alias("low"), F.greatest("last", "_last").alias("last"), (F.col("_end") != F.col("end")).alias("_moved")), "jumps")
+        then = stored(at.join(sorted_in(onward), "end").select("node", F.col("_end").alias("end"), F.least("low", "_low").alias("low"), F.greatest("last", "_last").alias("last"), (F.col("_end") != F.col("end")).alias("_moved")), "jumps")
         steps *= 2
         at, still = then.drop("_moved"), then.filter("_moved").isEmpty()
         if still:
@@ -33,8 +40,8 @@ def in_cycles(edges: DataFrame) -> DataFrame:
     order. A path that has gone on for as many steps as there are nodes is in a cycle or at its end, and every node of a cycle
     is where some path is then."""
     far = jumped(edges)
-    met = far.select(F.col("end").alias("node")).distinct().join(edges.select("node"), "node", "left_semi")
-    return far.join(met, "node").select("node", "low", "last")
+    met = far.select(F.col("end").alias("node")).distinct().join(sorted_in(edges.select("node")), "node", "left_semi")
+    return far.join(sorted_in(met), "node").select("node", "low", "last")
 
 
 def closed(edges: DataFrame) -> DataFrame:
@@ -44,7 +51,7 @@ def closed(edges: DataFrame) -> DataFrame:
     if edges.isEmpty():
         return edges.select("node", F.col("to").alias("target"))
     ring = in_cycles(edges).select("node", F.lit(True).alias("_ring"))
-    cut = edges.join(ring, "node", "left").withColumn("to", F.when(F.col("_ring").isNull(), F.col("to"))).drop("_ring")
+    cut = edges.join(sorted_in(ring), "node", "left").withColumn("to", F.when(F.col("_ring").isNull(), F.col("to"))).drop("_ring")
     return jumped(stored(cut, "edges")).select("node", F.col("end").alias("target"))
 
 
@@ -53,7 +60,7 @@ def alias_targets(machines: DataFrame) -> DataFrame:
     entered, and an id that is no machine may be an end."""
     known = closed(machines.select(F.col("machine_id").alias("node"), F.col("merged_into").alias("to")))
     own = machines.select("machine_id").distinct()
-    return own.join(known.withColumnRenamed("node", "machine_id"), "machine_id", "left").select("machine_id", F.coalesce("target", "machine_id").alias("target"))
+    return own.join(sorted_in(known.withColumnRenamed("node", "machine_id")), "machine_id", "left").select("machine_id", F.coalesce("target", "machine_id").alias("target"))
 
 
 def folded(rows: DataFrame, key: str, mapping: DataFrame, sums: list[str], others: list[str] = []) -> DataFrame:  # noqa: B006

@@ -560,3 +560,12 @@ def test_transcript_files_are_written_line_by_line(tmp_path):
     assert [b.to_pylist() for b in more.files_written(f"file://{tmp_path}")(iter(batches))] == [[{"n": 8}]]
     read = {str(p.relative_to(tmp_path)): p.read_text() for p in tmp_path.rglob("*.jsonl")}
     assert read == {"p/a.jsonl": "".join(x for _, s, x in lines if s == "a"), "p/b.jsonl": "x\n", "q/b.jsonl": "y\nz\n"}
+
+
+def test_chains_pass_no_nodes_through_the_driver(spark):
+    machines = spark.createDataFrame([(str(i), str(i + 1)) for i in range(40)] + [("x", "y"), ("y", "x"), ("z", None)], "machine_id string, merged_into string")
+    found = dims.alias_targets(machines)
+    assert "Broadcast" not in found._jdf.queryExecution().toString()
+    assert {r.machine_id: r.target for r in found.collect()} == {str(i): "40" for i in range(40)} | {"x": "x", "y": "y", "z": "z"}
+    edges = machines.filter("merged_into IS NOT NULL").select(F.col("machine_id").alias("node"), F.col("merged_into").alias("to"), F.struct(F.lit(0)).alias("order"))
+    assert "Broadcast" not in dims.in_cycles(edges)._jdf.queryExecution().toString()
