@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, BROADCAST_ROWS, SPACE, bytes_of, filesystem, joined, mix, new_dir, session, stored, write_file
+from .common import BROADCAST_ROWS, SPACE, filesystem, joined, mix, new_dir, session, small, stored, write_file
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Hashes a shard takes on average at most, and bits of each of its two filters (16 a hash, 4 probes: 0.2 % false suspects).
@@ -161,7 +161,7 @@ def dropped_places(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     dealt = hashes.select(shard.alias("shard"), "h", "again").repartitionById(shards, "shard")
     stored(dealt.mapInArrow(filters(folder, FILTER_BITS), "shard int"), "line-filters-done")
     found = stored(dealt.select("shard", "h").mapInArrow(suspects(folder, FILTER_BITS), "h long").distinct(), "line-suspects")
-    if bytes_of(found) <= BROADCAST_BYTES and found.count() <= BROADCAST_ROWS:
+    if small(found) and found.count() <= BROADCAST_ROWS:
         lines = docs.select("doc_id", "t", F.inline(placed_keys(F.col("text"), min_chars)))
         held = lines.withColumn("h", F.xxhash64("key")).join(F.broadcast(found), "h")
     else:

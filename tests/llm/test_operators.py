@@ -830,3 +830,13 @@ def test_pipeline_odd(spark, odd, tmp_path):
         assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
         # every leak goes, and what follows bears the empty corpus
         assert 0 < got.count() < len(ODD) if name == "odd" else got.count() == 0
+
+
+def test_broadcasts_are_bounded_by_rows_in_the_driver(spark):
+    """Sorted numbers are next to nothing in their files, but not in the driver's hash table."""
+    few = common.stored(spark.range(0, 900_000, 1, 1).select(F.col("id").alias("row"), F.lit(7).alias("label")), "few")
+    assert common.bytes_of(few) <= common.BROADCAST_BYTES and few.count() <= common.BROADCAST_ROWS and not common.small(few)
+    many = spark.range(2_000).select((F.col("id") * 1_000).alias("row"))
+    assert common.joined(many, few, "row", "left").filter("label = 7").count() == 900
+    assert "strategy=broadcast" not in common.joined(many, few, "row")._jdf.queryExecution().optimizedPlan().toString()
+    assert common.small(few.limit(0)) and common.small(common.stored(few.filter("row < 100000"), "few"))
