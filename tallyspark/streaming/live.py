@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -15,6 +16,8 @@ from pyspark.sql.types import DataType, StructField, StructType
 from ..operators.events import KEY, deduplicated, total
 from ..sources import tail, transcripts
 
+#: Buckets of keys that share a state, and segments that a bucket's state may have.
+BUCKETS, SEGMENTS = 1 << 16, 16
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -53,24 +56,38 @@ def refreshed(report: DataFrame, held: DataFrame, changed: DataFrame, keys: list
 
 class Winner(StatefulProcessor):
     """Of each key the event that counts; a batch's fuller row replaces it, under the rank of the first one. Events and ranks
-    travel as JSON; size and place are what Python compares."""
+    travel as JSON; size and place are what Python compares. Keys share the state of their bucket, so that Python asks the
+    state store once a bucket and not once a key: a list of segments, each the rows that won in one batch, later ones first
+    to count. At SEGMENTS the list is written anew as one."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "size long, ord string, event string")
+        self.held = handle.getListState("held", "won string")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timers: Any) -> Iterator[Row]:
-        best = first = None
-        for r in rows:
-            place = tuple(r[c] for c in r.__fields__ if c.startswith("_place"))
-            if best is None or (-r["_size"], place) < best[:2]:
-                best = (-r["_size"], place, r["_event"])
-            if first is None or place < first[0]:
-                first = (place, r["_ord"])
-        size, ord_, event = self.held.get() if self.held.exists() else (None, None, None)
-        if size is None or -best[0] > size:
-            now = (-best[0], ord_ or first[1], best[2])
-            self.held.update(now)
-            yield Row(ord=now[1], event=now[2], before=event)
+        best: dict[str, list] = {}
+        for _, k, ord_, event, size, *place in rows:
+            rank = (-size, place)
+            at = best.get(k)
+            if at is None:
+                best[k] = [rank, event, place, ord_]
+                continue
+            if rank < at[0]:
+                at[:2] = rank, event
+            if place < at[2]:
+                at[2:] = place, ord_
+        segments = [s for (s,) in self.held.get()]
+        held = {k: row for s in segments for k, *row in json.loads(s)}
+        won = []
+        for k, ((less, _), event, _, first) in best.items():
+            size, ord_, before = held.get(k, (None, None, None))
+            if size is None or -less > size:
+                won.append((k, -less, ord_ or first, event))
+                yield Row(ord=won[-1][2], event=event, before=before)
+        if won and len(segments) + 1 >= SEGMENTS:
+            held.update((k, row) for k, *row in won)
+            self.held.put([(json.dumps([(k, *row) for k, row in held.items()]),)])
+        elif won:
+            self.held.appendValue((json.dumps(won),))
 
 
 def leaves(name: str, kind: DataType) -> list[Column]:
@@ -81,26 +98,29 @@ def leaves(name: str, kind: DataType) -> list[Column]:
 JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
 
 
-def winners(stream: DataFrame) -> DataFrame:
+def winners(stream: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """The change feed of a stream of events: each event that wins its key, with before, the event that it replaces (null if
-    the key is new). State is the winner of each key ever seen, in RocksDB: a late fuller row wins at any age."""
+    the key is new). State is the winner of each key ever seen, in RocksDB: a late fuller row wins at any age. buckets, by the
+    hash of the key, may not change between runs of a query; a batch reads those that its keys are in."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     kinds = {f.name: f.dataType for f in stream.schema.fields}
     rest = StructType([f for f in stream.schema.fields if f.name != "ord"])
     rows = stream.select(
-        *(F.struct(F.col(k).alias("k")).alias(f"_{k}") for k in KEY), total().alias("_size"), *(c.alias(f"_place{i}") for i, c in enumerate(leaves("ord", kinds["ord"]))),  # a null key is a key
+        F.pmod(F.xxhash64(*KEY), F.lit(buckets)).alias("_bucket"), F.to_json(F.struct(*KEY), JSON).alias("_key"),  # a null key is a key
         F.to_json(F.struct("ord"), JSON).alias("_ord"), F.to_json(F.struct(*rest.names), JSON).alias("_event"),
+        total().alias("_size"), *(c.alias(f"_place{i}") for i, c in enumerate(leaves("ord", kinds["ord"]))),
     )
-    out = rows.groupBy(*(f"_{k}" for k in KEY)).transformWithState(Winner(), "ord string, event string, before string", "Update", "None")
-    ord_ = F.from_json("ord", StructType([StructField("ord", kinds["ord"])]))["ord"]
-    read = lambda c: F.struct(*(F.from_json(c, rest, JSON)[n].alias(n) if n != "ord" else ord_.alias("ord") for n in stream.columns))
-    return out.select(read("event").alias("e"), F.when(F.col("before").isNotNull(), read("before")).alias("before")).select("e.*", "before")
+    out = rows.groupBy("_bucket").transformWithState(Winner(), "ord string, event string, before string", "Update", "None")
+    # a generator of one row: each text is parsed once, not once for each of its fields
+    parsed = F.struct(F.from_json("event", rest, JSON).alias("e"), F.from_json("before", rest, JSON).alias("b"), F.from_json("ord", StructType([StructField("ord", kinds["ord"])]))["ord"].alias("ord"))
+    read = lambda c: F.struct(*(F.col(f"x.{c}.{n}" if n != "ord" else "x.ord").alias(n) for n in stream.columns))
+    return out.select(F.explode(F.array(parsed)).alias("x")).select(read("e").alias("e"), F.when(F.col("x.b").isNotNull(), read("b")).alias("before")).select("e.*", "before")
 
 
 # --- the table and its reports -----------------------------------------------------------------------------------
 
 
-def merge_stream(stream: DataFrame, path: str, on_change: Callable[[DataFrame, DataFrame, int], None] | None = None) -> DataStreamWriter:
+def merge_stream(stream: DataFrame, path: str, on_change: Callable[[DataFrame, DataFrame, int], None] | None = None, buckets: int = BUCKETS) -> DataStreamWriter:
     """A foreachBatch writer of the change feed below path, a folder a batch, so that a replayed batch replaces its own;
     on_change gets (changes, table after them, batch number)."""
     spark = stream.sparkSession
@@ -112,7 +132,7 @@ def merge_stream(stream: DataFrame, path: str, on_change: Callable[[DataFrame, D
         if on_change and not changed.isEmpty():
             on_change(changed, table(spark, path), batch_id)
 
-    return winners(stream).writeStream.outputMode("update").foreachBatch(run)
+    return winners(stream, buckets).writeStream.outputMode("update").foreachBatch(run)
 
 
 def table(spark: SparkSession, path: str) -> DataFrame:

@@ -569,3 +569,69 @@ def test_chains_pass_no_nodes_through_the_driver(spark):
     assert {r.machine_id: r.target for r in found.collect()} == {str(i): "40" for i in range(40)} | {"x": "x", "y": "y", "z": "z"}
     edges = machines.filter("merged_into IS NOT NULL").select(F.col("machine_id").alias("node"), F.col("merged_into").alias("to"), F.struct(F.lit(0)).alias("order"))
     assert "Broadcast" not in dims.in_cycles(edges)._jdf.queryExecution().toString()
+
+
+class Held:
+    """A list state that counts how often it is asked."""
+
+    def __init__(self):
+        self.rows, self.calls = [], []
+
+    def get(self):
+        self.calls.append("get")
+        return iter(list(self.rows))
+
+    def put(self, rows):
+        self.calls.append("put")
+        self.rows = list(rows)
+
+    def appendValue(self, row):  # noqa: N802
+        self.calls.append("append")
+        self.rows.append(row)
+
+
+def test_keyed_state_is_asked_once_a_bucket():
+    """However many keys a bucket has; what it holds stays the winners through segments and their merges."""
+    import random
+
+    r, winner, state = random.Random(3), live.Winner(), Held()
+    winner.init(type("Handle", (), {"getListState": lambda self, name, schema: state})())
+    held = {}
+    for batch in range(40):
+        rows = [(0, f"k{r.randint(0, 60)}", f"o{batch}-{i}", f"e{batch}-{i}", r.randint(0, 30), f"p{r.randint(0, 3)}", i) for i in range(100 if batch < 4 else 2)]
+        want = []
+        for k in dict.fromkeys(x[1] for x in rows):
+            mine = [x for x in rows if x[1] == k]
+            best, first = min(mine, key=lambda x: (-x[4], x[5:])), min(mine, key=lambda x: x[5:])
+            if k not in held or best[4] > held[k][0]:
+                before = held[k][2] if k in held else None
+                held[k] = (best[4], held[k][1] if k in held else first[2], best[3])
+                want.append((held[k][1], best[3], before))
+        state.calls.clear()
+        got = [(x.ord, x.event, x.before) for x in winner.handleInputRows((0,), iter(rows), None)]
+        assert got == want and state.calls.count("get") == 1 and len(state.calls) == (2 if want else 1)
+        assert len(state.rows) < live.SEGMENTS
+    assert len(held) == 61
+
+
+def test_feed_parses_each_text_once(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    stream = live.winners(live.transcript_stream(spark, str(tmp_path), "me"))
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    fed = plan[: plan.index("TransformWithState")]  # what is above the state
+    assert fed.count("from_json(") == 3
+
+
+def test_buckets_hold_many_keys(spark, tmp_path):
+    """Few buckets give the same table and feed as many."""
+    root = tmp_path / "in"
+    (root / "p").mkdir(parents=True)
+    for batch in range(3):
+        (root / "p" / f"s{batch}.jsonl").write_text("".join(text_of(id=f"m{i}", input_tokens=(i * 7 + batch * 5) % 11) + "\n" for i in range(batch, 30)))
+        for n in (1, 3, 1 << 16):
+            live.merge_stream(live.transcript_stream(spark, str(root), "me"), str(tmp_path / f"out{n}"), buckets=n).option("checkpointLocation", str(tmp_path / f"cp{n}")).trigger(availableNow=True).start().awaitTermination()
+    feed = lambda n: sorted(map(str, spark.read.parquet(str(tmp_path / f"out{n}")).select("message_id", "input_tokens", "session_id", "ord", "before", "batch").collect()))
+    assert feed(1) == feed(3) == feed(1 << 16) and len(feed(1)) > 30
+    rows = transcripts.scanned(spark, [(str(root), "me")])
+    pick = lambda df: sorted((x.message_id, x.input_tokens, x.session_id) for x in df.collect())
+    assert pick(live.table(spark, str(tmp_path / "out1"))) == pick(deduplicated(rows))
