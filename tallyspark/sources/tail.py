@@ -4,7 +4,7 @@ A batch takes from each file what lies between its last offset and the last line
 being written waits. A file that is shorter than its offset was cut or replaced and is read from its start again; one that
 went and came back too. Offsets are a map of path and bytes, a small entry for each live file, in the query's own offset
 log, so a restarted query goes on where the last one stopped. Long ranges are cut to CHUNK_BYTES: a chunk owns the lines
-that begin in it. The listing and the search for the last line end of files that changed run on the driver.
+that begin in it, and reads them by PIECE. The listing and the search for the last line end of files that changed run on the driver.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 from . import transcripts
 
-CHUNK_BYTES, STEP = 32 << 20, 64 << 10
+CHUNK_BYTES, PIECE, STEP = 32 << 20, 1 << 20, 64 << 10
 COLUMNS = "path string, start long, value string"
 
 
@@ -48,26 +48,32 @@ def complete(f: pa.NativeFile, size: int, least: int = 0) -> int:
     return least
 
 
-def lines_of(f: pa.NativeFile, whole: int, first: int, last: int) -> tuple[list[int], list[str]]:
-    """Starts and texts of the lines that begin in [first, last) of a range that starts at `whole`, where a line does."""
-    size = f.size()
-    data = f.read_at(max(0, min(last, size) - first), first)
-    while data and not data.endswith(b"\n") and first + len(data) < size:  # the last line may end behind the chunk
-        more = f.read_at(STEP, first + len(data))
-        cut = more.find(b"\n")
-        data += more if cut < 0 else more[: cut + 1]
-    at = first
-    if first > whole and f.read_at(1, first - 1) != b"\n":  # the line that is open here began before
-        cut = data.find(b"\n")
-        at, data = (first + cut + 1, data[cut + 1 :]) if cut >= 0 else (last, b"")
-    starts, texts = [], []
-    for line in data.split(b"\n")[:-1]:
-        if at >= last:
+def lines_of(f: pa.NativeFile, whole: int, first: int, last: int) -> Iterator[tuple[list[int], list[str]]]:
+    """Starts and texts of the lines that begin in [first, last) of a range that starts at `whole`, where a line does: those
+    of a piece at a time, so that a task holds a piece and the line that is open at its end."""
+    size, at, read, parts = f.size(), first, first, []
+    skip = first > whole and f.read_at(1, first - 1) != b"\n"  # the line that is open here began before
+    while at < last and read < size:
+        piece = f.read_at(min(PIECE, last - read) if read < last else STEP, read)  # the last line may end behind the chunk
+        read += len(piece)
+        cut = piece.rfind(b"\n") + 1
+        parts.append(piece[:cut] if cut else piece)
+        if not piece:  # it was cut meanwhile
             break
-        starts.append(at)
-        texts.append(line.decode("utf-8", "replace"))
-        at += len(line) + 1
-    return starts, texts
+        if not cut:
+            continue
+        lines = b"".join(parts).split(b"\n")[:-1]
+        parts = [piece[cut:]]
+        starts, texts = [], []
+        for line in lines:
+            if at >= last:
+                break
+            if not skip:
+                starts.append(at)
+                texts.append(line.decode("utf-8", "replace"))
+            skip = False
+            at += len(line) + 1
+        yield starts, texts
 
 
 class TailReader(DataSourceStreamReader):
@@ -109,13 +115,14 @@ class TailReader(DataSourceStreamReader):
         fs, _, before = opened(self.root)
         for path, whole, first, last in partition.value:
             try:
-                with fs.open_input_file(path) as f:
-                    starts, texts = lines_of(f, whole, first, last)
+                f = fs.open_input_file(path)
             except FileNotFoundError:  # it went after the listing
                 continue
-            for i in range(0, len(starts), 10_000):
-                n = len(starts[i : i + 10_000])
-                yield pa.RecordBatch.from_arrays([pa.array([before + path] * n), pa.array(starts[i : i + n], pa.int64()), pa.array(texts[i : i + n])], ["path", "start", "value"])
+            with f:
+                for starts, texts in lines_of(f, whole, first, last):
+                    for i in range(0, len(starts), 10_000):
+                        n = len(starts[i : i + 10_000])
+                        yield pa.RecordBatch.from_arrays([pa.array([before + path] * n), pa.array(starts[i : i + n], pa.int64()), pa.array(texts[i : i + n])], ["path", "start", "value"])
 
 
 class TailSource(DataSource):

@@ -635,3 +635,34 @@ def test_buckets_hold_many_keys(spark, tmp_path):
     rows = transcripts.scanned(spark, [(str(root), "me")])
     pick = lambda df: sorted((x.message_id, x.input_tokens, x.session_id) for x in df.collect())
     assert pick(live.table(spark, str(tmp_path / "out1"))) == pick(deduplicated(rows))
+
+
+def test_tail_reads_chunks_by_pieces(tmp_path, monkeypatch):
+    """No more than a piece is read at once, however long the chunk; lines over several pieces and chunks are whole."""
+    import random
+
+    r = random.Random(8)
+    lines = [bytes(r.choice(b"ab") for _ in range(r.choice((0, 3, 9, 70)))) for _ in range(90)]
+    (tmp_path / "x.jsonl").write_bytes(b"\n".join(lines) + b"\nopen")
+    asked = []
+
+    class File:
+        def __init__(self):
+            self.data = (tmp_path / "x.jsonl").read_bytes()
+
+        def size(self):
+            return len(self.data)
+
+        def read_at(self, n, at):
+            asked.append(n)
+            return self.data[at : at + n]
+
+    monkeypatch.setattr(tail, "PIECE", 8)
+    monkeypatch.setattr(tail, "STEP", 5)
+    last = len(b"\n".join(lines)) + 1
+    for chunk in (50, 10_000):
+        got = [list(zip(*piece)) for first in range(0, last, chunk) for piece in tail.lines_of(File(), 0, first, min(last, first + chunk))]
+        assert [v for piece in got for _, v in piece] == [x.decode() for x in lines]
+        assert [s for piece in got for s, _ in piece] == [len(b"\n".join([*lines[:i], b""])) for i in range(len(lines))]
+        assert max(map(len, got)) <= 8
+    assert max(asked) <= 8
