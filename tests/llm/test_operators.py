@@ -840,3 +840,13 @@ def test_broadcasts_are_bounded_by_rows_in_the_driver(spark):
     assert common.joined(many, few, "row", "left").filter("label = 7").count() == 900
     assert "strategy=broadcast" not in common.joined(many, few, "row")._jdf.queryExecution().optimizedPlan().toString()
     assert common.small(few.limit(0)) and common.small(common.stored(few.filter("row < 100000"), "few"))
+
+
+def test_sides_that_are_not_small_are_never_broadcast(spark):
+    """By the bytes of its files, which its copies for each salt don't count in, Spark would broadcast this side 16 times over."""
+    few = common.stored(spark.range(0, 900_000, 1, 1).select(F.col("id").alias("row"), F.lit(7).alias("label")), "few")
+    many = spark.range(0, 40_000_000, 1, 4).select((F.col("id") % 900_000).alias("row"), F.lit(1).alias("n"))
+    assert not common.small(few)
+    for how in ("inner", "left"):
+        plan = common.joined(many, few, "row", how)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
