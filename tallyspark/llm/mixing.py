@@ -20,7 +20,7 @@ import warnings
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, stored
+from .common import SPACE, sorted_in, stored
 
 #: Target of a marginal without stated weights: its observed shares to this power, normalised. Below 1 this lifts small groups.
 TEMPER = {"source": 0.7, "lang": 0.7, "topic": 0.8}
@@ -121,7 +121,7 @@ def with_probability(rows: DataFrame, temper: dict[str, float], targets: dict[st
         return rows.join(F.broadcast(prob), list(DIMS))
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(SALTS)))
-    return rows.join(prob.withColumn("_salt", salts), [*DIMS, "_salt"]).drop("_salt")
+    return rows.join(sorted_in(prob.withColumn("_salt", salts)), [*DIMS, "_salt"]).drop("_salt")
 
 
 def mixed(docs: DataFrame, temper: dict[str, float] = TEMPER, targets: dict[str, dict[str, float]] | None = None, tolerance: float = TOLERANCE) -> DataFrame:

@@ -850,3 +850,22 @@ def test_sides_that_are_not_small_are_never_broadcast(spark):
     for how in ("inner", "left"):
         plan = common.joined(many, few, "row", how)._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_near_duplicates_leave_no_broadcast_to_spark(spark, monkeypatch):
+    """Where no table is small all joins are shuffled, but those with the under 1000 heavy keys, and the classes are the same."""
+    plans, store = [], common.stored
+
+    def seen(df, name, *more):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return store(df, name, *more)
+
+    for module in (common, neardup):
+        monkeypatch.setattr(module, "small", lambda few: False)
+    monkeypatch.setattr(neardup, "stored", seen)
+    docs = copies()
+    left = neardup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in left.collect()) == sorted(set(brute_classes(docs).values()))
+    plans.append(("left", left._jdf.queryExecution().executedPlan().toString()))
+    assert all("BroadcastHashJoin" not in plan for name, plan in plans if name != "links")
+    assert all("SortMergeJoin" in plan for name, plan in plans if name == "links" and "Join" in plan)
